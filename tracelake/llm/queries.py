@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, chat, lines, media, simhash
+from tracelake.llm import bpe, chat, html, lines, media, simhash
 from tracelake.llm.common import table
 
 SQL: dict[str, str] = {}
@@ -40,6 +40,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = F.lit("\\### Assistant: </turn> ok")
@@ -47,6 +51,24 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.union(probe)))
 
 
+# The rendering in SQL: a conversation is escaped if a body holds an escaped control string or an end mark before its own.
+SQL["op8_chat"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, bool_or(regexp_matches(text, '\\+(</?turn[ >]|### )') OR instr(chr(10) || text || chr(10) || '</turn>' || chr(10), chr(10) || '</turn>' || chr(10)) <= length(text)) OVER (PARTITION BY conv_id) AS escaped FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(8 + length(role) + 9 + length(CASE WHEN escaped THEN regexp_replace(text, '(\\*(?:</?turn[ >]|### ))', '\\\1', 'g') ELSE text END))::BIGINT AS formatted_chars,
+  true AS exact
+FROM marked GROUP BY conv_id
+"""
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = media.media_columns(media.text_media(table(spark, sf_dir, "documents")))
     return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.sha2("tile", 256), "dhash").alias("feature"))
