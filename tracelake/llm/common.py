@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The white space that the contracts name: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -45,3 +48,30 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def ascii_lower(col):
     """A-Z to a-z and nothing else. ``lower`` folds all of Unicode, but agrees on texts without other letters."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+
+
+def annotate(df: DataFrame, inputs: list, made: list[tuple[str, T.DataType]], values, keep=None) -> DataFrame:
+    """``df`` with the columns ``made``, which ``values`` computes batch by batch in Python.
+
+    ``values`` gets a list of Python values for each of ``inputs`` (columns or their names) and returns a
+    list for each of ``made``. ``keep``, an index into ``made``, names a boolean by which rows are filtered;
+    it is not returned. All columns of ``df`` pass, whatever their names; one of a made name is replaced.
+    """
+    new = {name for name, _ in made}
+    rest = [f for f in df.schema.fields if f.name not in new]
+    n, m = len(rest), len(inputs)
+    source = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], *[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"i{k}") for k, c in enumerate(inputs)])
+    shown = [(k, x) for k, x in enumerate(made) if k != keep]
+    kinds = to_arrow_schema(T.StructType([T.StructField(*x) for x in made]))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)] + [T.StructField(f"m{k}", x[1]) for k, x in shown])
+
+    def run(batches):
+        for batch in batches:
+            found = values(*[batch.column(n + k).to_pylist() for k in range(m)])
+            columns = [*batch.columns[:n], *[pa.array(found[k], kinds.field(k).type) for k, _ in shown]]
+            names = [f"c{i}" for i in range(n)] + [f"m{k}" for k, _ in shown]
+            out = pa.RecordBatch.from_arrays(columns, names=names)
+            yield out if keep is None else out.filter(pa.array(found[keep], pa.bool_()))
+
+    back = source.mapInArrow(run, schema)
+    return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], *[F.col(f"m{k}").alias(x[0]) for k, x in shown])
