@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, chat, decontaminate, html, language, lines, media, quality, simhash
+from tracelake.llm import bpe, chat, decontaminate, html, language, lines, media, pii, quality, simhash
 from tracelake.llm.common import table
 
 SQL: dict[str, str] = {}
@@ -45,6 +45,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "log_weight", "key")
 
 
+def _of_kind(kind: int):
+    return lambda s: s.kind == kind
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
