@@ -1,0 +1,290 @@
+"""Operators over documents against brute force on small hand-made tables with nulls, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import pytest
+import xxhash
+
+from tracelake.llm import bpe, components, decontaminate, language, lines, pii, quality, simhash
+from tracelake.llm.common import shared_dir
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+
+
+LINE_ROWS = [
+    (1, "  A line that many documents HOLD \nshort\nunique line of the first document"),
+    (2, "a line that many documents hold\nÉ line that only two hold, with É"),
+    (3, "x\nA LINE that many documents hold\t\nA line that many documents hold"),
+    (4, None), (5, ""), (6, "É line that only two hold, with É\n\n\n"), (7, "é line that only two hold, with É\nshort\nshort"),
+    (8, "exactly twenty chars"), (9, "EXACTLY twenty chars\nend"), (10, "\x0bexactly twenty chars\x0c"), (11, "z" * 50_000 + "\n" + "z" * 50_000),
+]
+
+
+def brute_lines(rows, least=20, documents=3):
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    held = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            held[key(line)].add(i)
+    out = {}
+    for i, t in rows:
+        all_lines = (t or "").split("\n")
+        kept = [x for x in all_lines if not (len(key(x)) >= least and len(held[key(x)]) >= documents and i != max(held[key(x)]))]
+        out[i] = (len(all_lines), len(all_lines) - len(kept), "\n".join(kept))
+    return out
+
+
+def test_lines(spark):
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.dedup_lines(table(spark, LINE_ROWS)).collect()}
+    assert got == brute_lines(LINE_ROWS)
+    assert got[1][1] == 1 and got[3][1] == 0 and got[10][1] == 0 and got[8][1] == 1
+
+
+def test_lines_edges(spark):
+    assert lines.dedup_lines(table(spark, [])).count() == 0
+    rows = table(spark, [(None, "a line that has no document id"), (1, "a line that has no document id"), (1, "a line that has no document id"), (2, "a line that has no document id")])
+    got = sorted((r.doc_id or 0, r.n_dropped) for r in lines.dedup_lines(rows.withColumnRenamed("lang", "dropped_before")).collect())
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 0)]  # two ids only
+
+
+def test_lines_bitmap_words(spark):
+    long = "\n".join(f"line number {i} of a long list that all share" for i in range(200))
+    rows = [(1, long), (2, long + "\nmore"), (3, long)]
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.dedup_lines(table(spark, rows)).collect()} == brute_lines(rows)
+
+
+def brute_fingerprint(text, n=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, distance=4):
+    ids = list(prints)
+    label = {i: i for i in ids}
+    moved = True
+    while moved:
+        moved = False
+        for a in ids:
+            for b in ids:
+                if bin(prints[a] ^ prints[b]).count("1") <= distance and label[a] > label[b]:
+                    label[a], moved = label[b], True
+    return label
+
+
+def test_simhash(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(12)]
+    rows, k = [], 0
+    for text in base:
+        for _ in range(rng.randint(1, 5)):
+            parts = text.split()
+            for _ in range(rng.randint(0, 2)):
+                parts[rng.randrange(len(parts))] = rng.choice(words).upper()
+            rows.append((k * 7 % 101, " ".join(parts)))
+            k += 1
+    rows += [(200, None), (201, ""), (202, " \t"), (203, "one two"), (204, "ONE  two"), (205, "É é " * 3)]
+    prints = {i: brute_fingerprint(t) for i, t in rows}
+    got = {r.doc_id: (r.f & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(table(spark, rows)).collect()}
+    want = brute_components(prints)
+    assert got == {i: (prints[i], want[i]) for i in prints}
+    assert got[201][1] == 200 and got[204][1] == 203
+
+
+@pytest.mark.parametrize("parts", [2, 3, 4])
+def test_hamming_links(spark, parts):
+    rng = random.Random(parts)
+    values = {rng.getrandbits(64) for _ in range(40)}
+    for v in list(values):
+        for _ in range(4):
+            values.add(v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "f bigint")
+    got = {(r.a, r.b) for r in simhash.links(df, 4, parts).collect()}
+    assert got == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+
+
+def test_simhash_edges(spark):
+    assert simhash.near_duplicates(table(spark, [])).count() == 0
+    got = simhash.near_duplicates(table(spark, [(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e")])).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 5), (5, 5), (5, 5)]
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)]
+    more = [(100, 101), (102, 101), (103, 103), (200, 201), (201, 202), (202, 200), (None, 5)]
+    df = spark.createDataFrame(chain + more, "a bigint, b bigint").repartition(5)
+    got = {r.node: r.root for r in components.components(df).collect()}
+    want = {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100, 200: 200, 201: 200, 202: 200}
+    assert {k: v for k, v in got.items() if k != 103} == want
+
+
+def brute_pii(text):
+    luhn = lambda s: sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(s[::-1])) % 10 == 0
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, pattern in patterns.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((list(patterns).index(kind), m.start(), m.end()))
+    return out
+
+
+PII_TEXTS = [
+    "mail a.b@c.de and a@b.c_d@e.fg.h x@y @z.de", "é 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 01.002.3.255 1.2.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111 4111111111111111", "tel +1 (017) 555-7713 and +49 30 1234567. +1 2 +", None, "", "1" * 30_000, "a" * 30_000 + "@b.c", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" 𝒳 a@b.co",
+    "a@b.c" * 50, "+" * 500 + "1234567890",
+]
+
+
+def test_pii(spark):
+    rows = list(enumerate(PII_TEXTS))
+    got = {r.doc_id: r for r in pii.find(table(spark, rows)).collect()}
+    for i, text in rows:
+        assert [tuple(s) for s in got[i].base] == brute_pii(text), text
+        assert {tuple(s) for s in got[i].base} <= {tuple(s) for s in got[i].spans}
+    assert pii.find(table(spark, [])).count() == 0
+
+
+def test_pii_estimate_tells_good_from_bad():
+    rows = [(0, 1, 1, 1, 1, 2, 3, 50), (0, 1, 1, 0, 1, 2, 3, 20), (0, -1, -1, -1, -1, 2, 3, 40)]
+    p = pii.estimate(rows)
+    assert p[0] > 0.9 and p[1] > 0.9 and p[2] < 0.1
+
+
+def test_bpe_matches_library(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(2)
+    texts = ["", None, "Hello  world\n\n\tit's 42, don't!", "ünïcödé 日本語 🎉🎉 ‍", "Ᲊx\U0003e848栤 \U00013460", " " * 500, "ab" * 9000, "\x00\x1c\x85\xa0"] + ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0xA0, 0x17F), rng.randint(0x400, 0xD7FF)])) for _ in range(60)) for _ in range(60)]
+    got = {r.doc_id: r for r in bpe.encode_documents(table(spark, list(enumerate(texts))), path, P.PATTERN, digests=False).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].token_ids == encoding.encode_ordinary(text or "") and got[i].decoded == (text or "") and got[i].n_tokens == len(got[i].token_ids)
+    assert bpe.encode_documents(table(spark, []), path, P.PATTERN).count() == 0
+
+
+def test_bpe_transducer_is_merging():
+    ranks = {bytes([i]): i for i in range(256)}
+    rng = random.Random(1)
+    tokens = list(ranks)
+    while len(ranks) < 600:
+        joined = rng.choice(tokens[97:101] + tokens[256:]) + rng.choice(tokens[97:101] + tokens[256:])
+        if joined not in ranks and len(joined) < 12:
+            ranks[joined] = len(ranks)
+            tokens.append(joined)
+    t = bpe.Transducer(ranks)
+    for _ in range(3000):
+        piece = bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 24)))
+        if (want := bpe.merge(ranks, piece)) != t.encode(piece):
+            # tokens that merging can't make of their own bytes are outside of what ranks of a trained vocabulary hold
+            assert any(bpe.merge(ranks, t.token[x]) != [x] for x in ranks.values()), (piece, want)
+
+
+def test_utf8_stream():
+    data = "aé日🎉z".encode() + b"\xff\xe6\x97" + "é".encode()
+    for cut in range(1, 7):
+        s = bpe.Utf8Stream()
+        assert "".join(s.feed(data[i : i + cut]) for i in range(0, len(data), cut)) + s.close() == data.decode("utf-8", "replace")
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_decontaminate(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(12, 50)))) for i in range(12)]
+    rows, planted = [], {}
+    for k in range(60):
+        text = " ".join(word() for _ in range(80))
+        if k % 3 == 0:
+            i, item = rng.choice(items)
+            s = list(item)
+            for _ in range(rng.randint(0, decontaminate.budget(len(item)))):
+                s[rng.randrange(len(s))] = rng.choice("xyz")
+            text = text[:50] + " " + "".join(s).upper().replace(" ", "\n") + " " + text[50:]
+            planted[k] = i
+        rows.append((k, text))
+    rows += [(90, None), (91, ""), (92, "short")]
+    bench = spark.createDataFrame(items + [(50, None), (51, "tiny"), (52, "")], "item_id bigint, text string")
+    docs = table(spark, rows)
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == set(planted.items())
+    text = dict(rows)
+    for r in found:
+        assert edits(dict(items)[r.item_id], re.sub(r"\s", " ", text[r.doc_id][r.start : r.end].lower())) == r.edits
+    clean = decontaminate.decontaminate(docs, bench)
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - set(planted) and clean.columns == docs.columns
+    assert decontaminate.contaminated(docs, bench.where("false")).count() == 0 and decontaminate.contaminated(docs.where("false"), bench).count() == 0
+
+
+def test_quality(spark):
+    rng = random.Random(5)
+    good = [f"word{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        text = " ".join(rng.choice(good) for _ in range(40)) + (" vile nasty" if bad else "")
+        rows.append((i, text))
+        if i % 2 == 0:
+            labels.append((i, 1, int(bad)))
+    rows += [(1000, None), (1001, ""), (1001, "")]
+    df = spark.createDataFrame(labels + [(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int")
+    docs = table(spark, rows)
+    kept = {r.doc_id for r in quality.resample(docs, df).collect()}
+    assert not kept & {i for i in range(400) if i % 5 == 0}
+    assert len(kept & {i for i in range(400) if i % 5}) > 310 and {1000, 1001} <= kept
+    assert quality.resample(docs, df.where("false")).count() == len(rows) and quality.resample(docs.where("false"), df).count() == 0
+
+
+def test_kth_largest(spark):
+    rng = random.Random(6)
+    values = [rng.gauss(0, 1) for _ in range(500)] + [0.25] * 20
+    df = spark.createDataFrame([(v,) for v in values], "key double")
+    for k in (1, 2, 17, 260, 520):
+        assert quality.kth_largest(df, k, bins=7) == sorted(values, reverse=True)[k - 1]
+
+
+def test_language(spark):
+    words = {"en": "the and of with this that from have".split(), "de": "der und die nicht für auch schön über".split(), "fr": "les des une est où être garçon été".split(), "es": "los una que está niño año por más".split()}
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k, "s", 0) for i, k in enumerate(list(words) * 40)]
+    rows += [(900, None, "en", "s", 0), (901, "123 !!", "de", "s", 0), (902, "der und nicht", None, "s", 0), (None, "los niño", "es", "s", 0)]
+    got = language.identify(spark.createDataFrame(rows, DOCS)).collect()
+    by = {r.doc_id: r for r in got}
+    held = [r for r in rows[:160] if by[r[0]].held_out]
+    assert len(held) > 10 and all(by[r[0]].lang_pred == r[2] for r in held)
+    assert by[900].lang_pred == by[901].lang_pred == "und" and by[902].lang_pred == "de" and all(0 <= r.score <= 1 for r in got)
+    assert language.identify(spark.createDataFrame([], DOCS)).count() == 0
+    assert {r.lang_pred for r in language.identify(spark.createDataFrame([(5, "text", None, "s", 0)], DOCS)).collect()} == {"und"}
+
+
+def test_shared_dir_is_read_from_the_session(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_digest_of_kept_text(spark):
+    from pyspark.sql import functions as F
+
+    got = lines.dedup_lines(table(spark, [(1, "é\nb")])).select(F.sha2("kept", 256).alias("h")).first().h
+    assert got == hashlib.sha256("é\nb".encode()).hexdigest()
