@@ -53,8 +53,10 @@ def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFra
     least ``least`` code points that at least ``documents`` documents hold lose all their lines but those
     in the largest doc_id. Null or empty text is one empty line and is kept as the empty text. Rows with
     a null doc_id keep all lines and count for no key; rows that repeat a doc_id count as one document,
-    and a line goes from all of them where it goes from one position of that id. Other columns pass.
+    and a line goes from all of them where it goes from one position of that id. Other columns pass, but
+    for those of the names made here.
     """
+    docs = docs.drop("dropped", "kept", "n_lines", "n_dropped")
     marks = drop_bitmaps(docs, least, documents).withColumnRenamed("doc_id", "__id")
     joined = docs.join(marks, docs.doc_id == marks["__id"], "left").drop("__id").withColumn("__lines", text_lines(F.col("text")))
     stays = F.expr(f"filter(__lines, (line, i) -> shiftright(coalesce(dropped[cast(i div {WORD} as int)], 0L), i % {WORD}) & 1L = 0)")

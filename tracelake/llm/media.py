@@ -138,15 +138,16 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def media_columns(media: DataFrame, *, tile: int = 32) -> DataFrame:
-    """Decode the binary column ``media``; all other columns pass.
+    """Decode the binary column ``media``; all other columns pass, but for those of the names made here.
 
     Adds width, height, channels (int), tile (binary: the image area-resized to tile x tile grey 8-bit
     samples, in NPY format), dhash (16 hexadecimal digits), payload_sha256, payload_bytes and tail_crc32
     (of the decoded samples; the last 64) and media_sha256. Null, empty or unreadable media give nulls
     in these columns; media_sha256 is null only for null.
     """
-    rest = [f for f in media.schema.fields if f.name != "media"]
     made = [("width", "int", pa.int32()), ("height", "int", pa.int32()), ("channels", "int", pa.int32()), ("tile", "binary", pa.binary()), ("dhash", "string", pa.string()), ("payload_sha256", "string", pa.string()), ("payload_bytes", "bigint", pa.int64()), ("tail_crc32", "bigint", pa.int64()), ("media_bytes", "bigint", pa.int64()), ("media_sha256", "string", pa.string())]
+    new = {"media", *(n for n, _, _ in made)}
+    rest = [f for f in media.schema.fields if f.name not in new]
     schema = ", ".join([f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(rest)] + [f"{n} {t}" for n, t, _ in made])
     source = media.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], "media")
 
