@@ -122,7 +122,7 @@ def distances(vectors: DataFrame, members: DataFrame, centres: DataFrame) -> Dat
     """(id, cluster, distance): one less the cosine to the medoid."""
     mid = centres.select("cluster", F.col("id").alias("m")).join(vectors.select(F.col("id").alias("m"), "bucket", F.col("weight").alias("wm")), "m")
     rows = members.where("cluster <> -1").join(vectors, "id").join(mid, ["cluster", "bucket"], "left")
-    return rows.groupBy("id", "cluster").agg((1 - F.sum(F.col("weight") * F.coalesce("wm", F.lit(0.0)))).alias("distance"))
+    return rows.groupBy("id", "cluster").agg(F.greatest(F.lit(0.0), 1 - F.sum(F.col("weight") * F.coalesce("wm", F.lit(0.0)))).alias("distance"))
 
 
 def match_identities(candidates: DataFrame, least: float = 0.75) -> dict[int, str]:

@@ -527,7 +527,7 @@ def medoids(spark, d):
     return rounded(mining.medoids(v, _members(v)), "score")
 
 
-@query(_MEMBERS + """ SELECT v.id, m.cluster, round(1 - sum(v.weight * coalesce(c.weight, 0)), 6) AS distance FROM vectors v JOIN members m ON v.id = m.id JOIN best b ON b.cluster = m.cluster LEFT JOIN vectors c ON c.id = b.id AND c.bucket = v.bucket GROUP BY 1, 2""", plain=True)
+@query(_MEMBERS + """ SELECT v.id, m.cluster, round(greatest(0.0, 1 - sum(v.weight * coalesce(c.weight, 0))), 6) AS distance FROM vectors v JOIN members m ON v.id = m.id JOIN best b ON b.cluster = m.cluster LEFT JOIN vectors c ON c.id = b.id AND c.bucket = v.bucket GROUP BY 1, 2""", plain=True)
 def assignment_distance(spark, d):
     v = _vectors(spark, d)
     return rounded(mining.distances(v, _members(v), mining.medoids(v, _members(v))), "distance")
