@@ -45,8 +45,9 @@ def char_class(ranges: str) -> str:
 WHITE = r"\t-\r\x20\x85\xa0"
 
 
-#: Bounds of the memo tables of one worker; beyond them they start afresh. They change no result.
-MAX_WORDS, MAX_ARCS = 400_000, 1_500_000
+#: Bounds of the memo tables of one worker: what is met when they are full is computed and not kept. After STALE
+#: misses they start afresh, for input that has changed. They change no result.
+MAX_WORDS, MAX_ARCS, STALE = 180_000, 220_000, 6_000_000
 INFINITE = float("inf")
 
 
@@ -93,6 +94,9 @@ class Transducer:
         self.states: list[tuple] = [((0, -1, ()),)]
         self.number = {self.states[0]: 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: The state in use where it isn't kept; its number is -1.
+        self.loose: tuple = ()
+        self.misses = 0
 
     def making(self, token: int) -> tuple[float, list, list]:
         """When a token is complete, if ranks are times, and the tokens at its left and right edge until then.
@@ -124,8 +128,6 @@ class Transducer:
         """Whether ``right`` may follow ``left`` (-1: may begin a piece): no edge tokens that meet would join across the seam first."""
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > MAX_ARCS:
-                self.fits.clear()
             after = self.making(right)
             known = after[0] < INFINITE
             if known and left >= 0:
@@ -139,13 +141,15 @@ class Transducer:
                             time = max(joint, begin)
                             if time < x_end and time <= y_end:
                                 known = False
-            self.fits[left, right] = known
+            if len(self.fits) < MAX_ARCS:
+                self.fits[left, right] = known
         return known
 
     def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the arc of ``byte`` out of ``state``: the next state and the tokens written on the way."""
         alive, begun = [], None
-        for node, last, pending in self.states[state]:
+        self.misses += 1
+        for node, last, pending in self.states[state] if state >= 0 else self.loose:
             to = self.child[node].get(byte)
             if to is None:
                 continue
@@ -159,22 +163,29 @@ class Transducer:
         while all(len(h[2]) > same and h[2][same] == first[same] for h in alive) and len(first) > same:
             same += 1
         to = tuple((node, last, pending[same:]) for node, last, pending in alive)
-        if to not in self.number:
-            self.number[to] = len(self.states)
-            self.states.append(to)
-        made = self.arcs[state << 8 | byte] = (self.number[to], first[:same])
+        number = self.number.get(to, -1)
+        keep = state >= 0 and len(self.arcs) < MAX_ARCS
+        if number < 0:
+            if keep:
+                number = self.number[to] = len(self.states)
+                self.states.append(to)
+            else:
+                self.loose = to
+        made = (number, first[:same])
+        if keep:
+            self.arcs[state << 8 | byte] = made
         return made
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.arcs) > MAX_ARCS:
+        if self.misses > STALE:
             self.reset()
         state, out, arcs = 0, [], self.arcs
         for byte in piece:
-            step = arcs.get(state << 8 | byte) or self.arc(state, byte)
+            step = (arcs.get(state << 8 | byte) if state >= 0 else None) or self.arc(state, byte)
             state = step[0]
             if step[1]:
                 out.extend(step[1])
-        out.extend(self.states[state][-1][2])
+        out.extend((self.states[state] if state >= 0 else self.loose)[-1][2])
         return out
 
 
@@ -239,11 +250,13 @@ class Codec:
             def __missing__(self, word: str) -> bytes:
                 ids = codec.transducer.encode(word.encode())
                 packed = struct.pack(f"<{len(ids)}I", *ids)
-                if len(word) < 64:
+                codec.misses += 1
+                if len(word) < 64 and len(self) < MAX_WORDS:
                     self[word] = packed
                 return packed
 
         self.words = Words()
+        self.misses = 0
 
     def split(self, text: str) -> list[str]:
         """Matches of the pattern under Unicode 16.0; only texts with later characters need the longer form."""
@@ -253,8 +266,9 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        if len(self.words) > MAX_WORDS:
+        if self.misses > STALE:
             self.words.clear()
+            self.misses = 0
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes, step: int = 1 << 16) -> Iterator[str]:

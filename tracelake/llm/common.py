@@ -50,6 +50,27 @@ def ascii_lower(col):
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+#: A key that holds more than one in so many rows is hot; fewer than so many keys can be.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key and in ``count`` how many of ``total`` rows hold it.
+
+    Hot keys, at most HOT by their share, are sent to the rows, so theirs are never dealt out by key; the rest is
+    joined as usual, none of its keys having more than one in HOT of all rows.
+    """
+    is_hot = F.col(count) * HOT >= total
+    hot, cold = table.where(is_hot).drop(count), table.where(~is_hot).drop(count)
+    few = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return few.unionByName(rest)
+
+
+#: Rows that are Python values at one time.
+ROWS = 500
+
+
 def annotate(df: DataFrame, inputs: list, made: list[tuple[str, T.DataType]], values, keep=None) -> DataFrame:
     """``df`` with the columns ``made``, which ``values`` computes batch by batch in Python.
 
@@ -66,7 +87,7 @@ def annotate(df: DataFrame, inputs: list, made: list[tuple[str, T.DataType]], va
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)] + [T.StructField(f"m{k}", x[1]) for k, x in shown])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             found = values(*[batch.column(n + k).to_pylist() for k in range(m)])
             columns = [*batch.columns[:n], *[pa.array(found[k], kinds.field(k).type) for k, _ in shown]]
             names = [f"c{i}" for i in range(n)] + [f"m{k}" for k, _ in shown]
