@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,6 @@ def dense_pairs(vectors: DataFrame, least: float, blocks: int = 8) -> DataFrame:
 
     Exact for all pairs; a block pair is a matrix product, so no pair below ``least`` becomes a row.
     """
-    import numpy as np
-    import pandas as pd
-
     part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     rows = vectors.select("id", "v", part.alias("part"))
     pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
@@ -69,7 +68,7 @@ def dense_pairs(vectors: DataFrame, least: float, blocks: int = 8) -> DataFrame:
     meets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
     sent = rows.select("id", "v", "part", F.explode(F.filter(meets, lambda p: (p.i == F.col("part")) | (p.j == F.col("part")))).alias("p")).select("id", "v", "part", "p.i", "p.j")
 
-    def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         unit = lambda x: (m := np.stack(x["v"].to_list()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         left, right = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
