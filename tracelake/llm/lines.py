@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import ASCII_SPACE, ascii_lower, stored
+from tracelake.llm.common import ASCII_SPACE, ascii_lower, spread_join, stored
 
 WORD = 63
 
@@ -39,9 +39,10 @@ def drop_bitmaps(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFr
     ranged = line_hashes(docs, least).repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     entries = stored(ranged, "line-hashes")
     # a document counts once: its first line of a hash is where (hash, document) differs from the row above
-    per_document = entries.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first"))
-    held = per_document.groupBy("h1", "h2").agg(F.count("first").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= documents).select("h1", "h2", "last")
-    gone = entries.join(held, ["h1", "h2"]).where(F.col("doc_id") < F.col("last"))
+    per_document = entries.groupBy("h1", "h2", "doc_id").agg(F.count("pos").alias("rows"))
+    held = per_document.groupBy("h1", "h2").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"), F.sum("rows").alias("rows")).where(F.col("n") >= documents)
+    held = stored(held.select("h1", "h2", "last", "rows"), "repeated-lines")
+    gone = spread_join(entries, held, ["h1", "h2"], "rows", entries.count()).where(F.col("doc_id") < F.col("last"))
     words = gone.groupBy("doc_id", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, pos % {WORD})")).alias("bits"))
     return words.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped"))
 
