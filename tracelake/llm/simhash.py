@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stored
+from tracelake.llm.common import spread_join, stored
 from tracelake.llm.components import components
 
 SEED = 42
@@ -99,10 +99,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, distance: int = 4, parts
     Repeated rows give repeated rows; no rows give none; other columns are left aside.
     """
     prints = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(prints.groupBy("f").agg(F.min("doc_id").alias("least")), "classes")
+    distinct = stored(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     joined = stored(links(distinct.select("f"), distance, parts), "pairs")
     found = components(joined)
     lowest = found.join(distinct, found.node == distinct.f).groupBy("root").agg(F.min("least").alias("low"))
     linked = found.join(lowest, "root").select(F.col("node").alias("f"), "low")
-    classes = distinct.join(linked, "f", "left").select("f", F.coalesce("low", "least").alias("component_id"))
-    return prints.join(classes, "f", "left").select("doc_id", "f", "component_id")
+    classes = stored(distinct.join(linked, "f", "left").select("f", F.coalesce("low", "least").alias("component_id"), "n"), "classes")
+    return spread_join(prints, classes, ["f"], "n", prints.count()).select("doc_id", "f", "component_id")
