@@ -130,9 +130,12 @@ def held_out():
 def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, text): up to PER_LANGUAGE documents of each of the LANGUAGES most frequent values of lang, by a hash of doc_id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    spread = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").join(F.broadcast(most), "lang").withColumn("n", F.row_number().over(spread)).where(F.col("n") <= PER_LANGUAGE).select("doc_id", F.col("lang").alias("l"))
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    # a hash thins each language to about twice the wanted number before any rows of one meet
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    some = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(most), "lang").where(F.col("place").cast("double") * F.col("count") < 2.0 * PER_LANGUAGE * (1 << 30))
+    spread = Window.partitionBy("lang").orderBy("place", "doc_id")
+    ids = some.withColumn("n", F.row_number().over(spread)).where(F.col("n") <= PER_LANGUAGE).select("doc_id", F.col("lang").alias("l"))
     return known.join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").where("lang = l").select("lang", "text")
 
 
