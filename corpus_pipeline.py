@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, decontaminate, lines, quality, simhash
+from tracelake.llm import bpe, decontaminate, lines, quality, similar
 from tracelake.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,11 +31,13 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each near-duplicate group, texts without words being one group.
 
+    Near duplicates share at least 0.8 of their five-word shingles (Jaccard), directly or over others.
+
     Rows that repeat an id count once (the least by text, lang, source, n_chars); rows without an id stay.
     """
     docs = docs.select(*COLUMNS)
     known = docs.where("doc_id IS NOT NULL")
-    gone = stored(simhash.near_duplicates(known).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = stored(similar.groups(known).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
     repeated = stored(known.groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "repeated")
     if not repeated.limit(1).count():

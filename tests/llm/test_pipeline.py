@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text_operators import DOCS, brute_components, brute_fingerprint, brute_lines
-from tracelake.llm import bpe, decontaminate, quality, queries
+from tracelake.llm import bpe, decontaminate, quality, queries, similar
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +97,46 @@ def test_rows_that_repeat_an_id_count_once(spark, folder):
 def test_every_operator_is_registered():
     names = queries.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and set(queries.oracle_sql()) <= set(names)
+
+
+def similar_texts(rng, n):
+    """Texts and near copies: of one family each, with some words replaced."""
+    vocabulary = [f"w{i}" for i in range(400)]
+    out = []
+    for k in range(n):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(30, 300))]
+        out.append(" ".join(words))
+        for changes in range(1, 4):
+            copy = list(words)
+            for _ in range(max(1, changes * len(words) // 160)):
+                copy[rng.randrange(len(copy))] = "new"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_near_duplicates_are_the_similar_texts(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = similar_texts(rng, 40) + ["", " ", "a b c", "A  b c", "x y z"]
+    base = [f"v{i}" for i in range(120)]
+    texts += [" ".join(base[:i] + ["odd"] + base[i + 1 :]) for i in range(0, 120, 2)]
+    texts += [f"{passage} " + " ".join(rng.choice(base) for _ in range(60)) for _ in range(30)]
+    sets = [similar.shingles(t, 5) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar.similarity(sets[i], sets[j]) >= 0.8:
+                far += (brute_fingerprint(texts[i], 4) ^ brute_fingerprint(texts[j], 4)).bit_count() > 4
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    assert far > 50  # what four bits of four-word shingles do not link
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in similar.groups(docs).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
