@@ -1,6 +1,7 @@
 """Operators over documents against brute force on small hand-made tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -257,6 +258,22 @@ def test_quality(spark):
     assert quality.resample(docs, df.where("false")).count() == len(rows) and quality.resample(docs.where("false"), df).count() == 0
 
 
+def test_quality_buckets_grow_with_the_corpus(spark):
+    words = [f"t{i}" for i in range(200_000)]
+    own = quality.buckets(" ".join(words))
+    assert len(own) == len(words)  # none is shared
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.sample(words, 400)) + (" vile nasty" if i % 5 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400) if i % 2 == 0], "doc_id bigint, quality int, toxic int")
+    sample = quality.labelled_sample(labels)
+    ratios = quality.log_ratios(table(spark, rows), sample)
+    target = {r.id for r in sample.where("role = 1").collect()}
+    for word in rows[1][1].split()[:50] + ["vile"]:
+        held = [i for i, text in rows if word in text.split()]
+        want = math.log((sum(i in target for i in held) + 1) / (len(held) * len(target) / len(rows) + 1))
+        assert abs(ratios.of(quality.buckets(word))[0] - want) < 1e-6
+
+
 def test_kth_largest(spark):
     rng = random.Random(6)
     values = [rng.gauss(0, 1) for _ in range(500)] + [0.25] * 20

@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are fitted: the target (documents labelled good and not toxic)
-and the raw corpus (all documents). Both count in how many documents a bucket occurs, so that a word
+and the raw corpus (all documents). A bucket is a 64-bit hash, so there are as many as the corpus has
+distinct n-grams and none is shared. Both count in how many documents a bucket occurs, so that a word
 which one document repeats a thousand times counts once. The ratio of a bucket is
 ``(target + a) / (expected + a)`` with expected = raw count times the target's share of documents: the
 prior ``a`` draws rare buckets to one. A document's importance weight is the product of the ratios of
@@ -15,17 +16,20 @@ not seen; the noise decides only near it.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.common import annotate, stored
 
-BUCKETS = 1 << 17
+#: The bucket of a word said three times in a row, and the row that counts documents.
+THRICE, ALL = 0, 1
+#: Buckets that a task holds before it merges or hands on its counts.
+HELD = 1 << 21
 PRIOR = 1.0
 WORST = 2
 TEMPERATURE = 0.02
@@ -39,10 +43,9 @@ _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+").findall
 def buckets(text: str) -> np.ndarray:
     """Distinct buckets of a text's words and punctuation runs, and one for a word said three times in a row."""
     tokens = _TOKEN(text.encode().lower())
-    hashes = np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
-    found = (hashes * np.uint32(2654435761) >> np.uint32(7)) & np.uint32(BUCKETS - 1)
-    if len(hashes) > 2 and ((hashes[2:] == hashes[1:-1]) & (hashes[1:-1] == hashes[:-2])).any():
-        found = np.append(found, np.uint32(0))
+    found = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    if len(found) > 2 and ((found[2:] == found[1:-1]) & (found[1:-1] == found[:-2])).any():
+        found = np.append(found, np.uint64(THRICE))
     return np.unique(found)
 
 
@@ -57,30 +60,62 @@ def labelled_sample(labels: DataFrame) -> DataFrame:
     return some.select("id", F.when(~held & F.col("good"), 1).when(held & F.col("good"), 2).when(~F.col("good"), 3).otherwise(0).alias("role")).where("role > 0")
 
 
-def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """The log ratio of each bucket; counts come from all documents, as one row a bucket."""
+class Ratios:
+    """The log ratio of each bucket. What one document holds and the target doesn't has no entry: all such have one ratio."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rare: float):
+        self.keys, self.values, self.rare = keys, values, np.float32(rare)
+
+    def of(self, own: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(own), self.rare)
+        at = np.searchsorted(self.keys, own)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == own, self.values[at], self.rare)
+
+
+def log_ratios(docs: DataFrame, sample: DataFrame) -> Ratios:
+    """The log ratios of the buckets; counts come from all documents, and a row a bucket that several hold is gathered."""
     told = docs.select("doc_id", "text").join(F.broadcast(sample.where("role = 1")), F.col("doc_id") == F.col("id"), "left").select(F.coalesce("text", F.lit("")).alias("text"), F.col("role").isNotNull().alias("target"))
 
+    def merged(parts):
+        keys, raw, target = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, raw, target = keys[order], raw[order], target[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], np.add.reduceat(raw, first), np.add.reduceat(target, first)
+
     def count(batches):
-        raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        parts, held = [], 0
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = buckets(text.as_py())
-                raw[own] += 1
-                raw[BUCKETS] += 1
-                if good:
-                    target[own] += 1
-                    target[BUCKETS] += 1
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
-
-    counts = told.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    raw[counts["bucket"].to_numpy()], target[counts["bucket"].to_numpy()] = counts["raw"].to_numpy(), counts["target"].to_numpy()
-    if not target[BUCKETS]:
-        return np.zeros(BUCKETS)
-    share = target[BUCKETS] / raw[BUCKETS]
-    return np.log((target[:-1] + PRIOR) / (raw[:-1] * share + PRIOR))
+                own = np.append(buckets(text.as_py()), np.uint64(ALL))
+                parts.append((own, np.ones(len(own), np.int32), np.full(len(own), int(good), np.int32)))
+                held += len(own)
+                if held > HELD:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield from batched(parts.pop())
+                        held = 0
+        if parts:
+            yield from batched(merged(parts))
+
+    def batched(whole):
+        for at in range(0, len(whole[0]), 1 << 16):
+            keys, raw, target = (x[at : at + (1 << 16)] for x in whole)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(raw.astype(np.int64)), pa.array(target.astype(np.int64))], names=["bucket", "raw", "target"])
+
+    counts = told.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = counts.where((F.col("raw") > 1) | (F.col("target") > 0) | (F.col("bucket") == ALL)).toArrow()
+    keys, raw, target = counts["bucket"].to_numpy().view(np.uint64), counts["raw"].to_numpy(), counts["target"].to_numpy()
+    whole = keys == ALL
+    if not target[whole].sum():
+        return Ratios(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0)
+    share = target[whole][0] / raw[whole][0]
+    order = np.argsort(keys)
+    values = np.log((target + PRIOR) / (raw * share + PRIOR)).astype(np.float32)
+    return Ratios(keys[order], values[order], float(np.log(PRIOR / (share + PRIOR))))
 
 
 def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
@@ -124,15 +159,16 @@ def resample(docs: DataFrame, labels: DataFrame, *, seed: int = 7) -> DataFrame:
 
     Null text is empty; a text without words weighs one. Repeated rows have equal keys and stay or go
     together; rows tied at the k-th key all stay. Without labels, or where labels tell nothing apart, all
-    rows stay. Only ids of at most LABELLED labelled documents and BUCKETS counts are gathered or sent out.
+    rows stay. Gathered and sent out are the ids of at most LABELLED labelled
+    documents and the ratios of the buckets that several documents hold (12 bytes each), which grow with the corpus.
     """
     spark = docs.sparkSession
     sample = stored(labelled_sample(labels), "labels")
-    ratios = spark.sparkContext.broadcast(log_ratios(docs, sample).astype(np.float32))
+    ratios = spark.sparkContext.broadcast(log_ratios(docs, sample))
 
     def weigh(texts):
         table = ratios.value
-        return [[float(np.sort(table[buckets(t or "")])[:WORST].sum(dtype=np.float64)) for t in texts]]
+        return [[float(np.sort(table.of(buckets(t or "")))[:WORST].sum(dtype=np.float64)) for t in texts]]
 
     def scored(rows: DataFrame) -> DataFrame:
         weighed = annotate(rows, ["text"], [("log_weight", T.DoubleType())], weigh)
