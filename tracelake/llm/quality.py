@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed n-grams are fitted: the target (documents labelled good and not toxic)
+Two generative models of hashed n-grams, n being 1, are fitted: the target (documents labelled good and not toxic)
 and the raw corpus (all documents). A bucket is a 64-bit hash, so there are as many as the corpus has
-distinct n-grams and none is shared. Both count in how many documents a bucket occurs, so that a word
+distinct words and none is shared. Both count in how many documents a bucket occurs, so that a word
 which one document repeats a thousand times counts once. The ratio of a bucket is
 ``(target + a) / (expected + a)`` with expected = raw count times the target's share of documents: the
 prior ``a`` draws rare buckets to one. A document's importance weight is the product of the ratios of
