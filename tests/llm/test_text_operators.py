@@ -239,6 +239,33 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0 and decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_decontaminate_parts_and_short_items(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, "\n".join(words(12) for _ in range(3))) for i in range(10)] + [(20, words(60)), (21, "Zulu 42!"), (22, "zz")]
+    rows, want = [], set()
+    for k in range(60):
+        before, after = words(30), words(30)
+        i, item = items[k % 11]
+        own = item.split("\n")
+        # a line alone, two lines apart, the start of the item, its middle, an edited part
+        piece = [rng.choice(own), own[0] + "\n" + words(9) + "\n" + own[-1], item[:80], item[len(item) // 2 : len(item) // 2 + 75], item[:30] + "x" + item[31:90]][k % 5]
+        rows.append((k, f"{before}\n{piece}\n{after}"))
+        want.add((k, i))
+    rows += [(100, words(60)), (101, f"{words(5)} ZULU\t42! {words(5)}"), (102, "zulu 421"), (103, "azulu 42!"), (104, "zz"), (105, "zzz fizz"), (106, None)]
+    want |= {(101, 21), (104, 22)}
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    text, whole = dict(rows), dict(items)
+    for r in found:
+        part = decontaminate.as_text(decontaminate.folded(text[r.doc_id]))[r.start : r.end]
+        own = decontaminate.as_text(decontaminate.folded(whole[r.item_id]))
+        assert r.edits or part in own
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_quality(spark):
     rng = random.Random(5)
     good = [f"word{i}" for i in range(60)]

@@ -5,12 +5,17 @@ q-grams with it, all on diagonals (place in the document less place in the item)
 k. Shared q-grams are counted in overlapping diagonal bands; a band with enough of them is a region, and
 a banded alignment of the item within the region counts its edits. Nothing within the budget is missed.
 
+Items are searched for as a whole and by parts, each with a budget of its own: their lines, and windows
+of WINDOW code points that overlap by half. So any WINDOW * 3 / 2 code points of an item in a row hold a
+whole window. Items too short for that (fewer than SHORTEST) are searched for as they stand, as whole words.
+
 The index of the benchmark goes to the executors in blocks of a bounded size, one pass over the
 documents a block, so a larger benchmark makes more passes and no larger broadcast.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +26,11 @@ from pyspark.sql import types as T
 from tracelake.llm.common import annotate
 
 Q = 12
-#: Edits allowed for each code point of an item; shorter items than this many code points are never searched for.
+#: Edits allowed for each code point of an item or part; items of fewer code points than SHORTEST allow none, and are no parts.
 RATE, SHORTEST = 0.05, 24
+#: Code points of a window of an item.
+WINDOW = 48
+_WORDS = re.compile(r"\w+|[^\w\s]")
 #: Code points of benchmark items in one pass over the documents.
 BLOCK = 1_000_000
 _SPREAD = 20
@@ -65,17 +73,44 @@ def budget(m: int) -> int:
     return max(0, min(int(m * RATE), (m - Q) // Q - 1))
 
 
+def as_text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def parts(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines and windows of an item, but for the whole."""
+    found, at = set(), 0
+    for line in text.split("\n"):
+        start = at + len(line) - len(line.lstrip())
+        end = at + len(line.rstrip())
+        if end - start >= SHORTEST:
+            found.add((start, end))
+        at += len(line) + 1
+    if len(text) > WINDOW:
+        found |= {(i, i + WINDOW) for i in (*range(0, len(text) - WINDOW, WINDOW // 2), len(text) - WINDOW)}
+    return sorted(found - {(0, len(text))})
+
+
 class Index:
-    """Items of one block and where their q-grams stand."""
+    """Items of one block, their parts, and where the q-grams of both stand. Entries are items and parts of ``owner``."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.codes = [folded(text) for _, text in items]
+        self.texts = [folded(text) for _, text in items]
+        self.short: dict[str, list[tuple[int, str]]] = {}
+        entries = []
+        for k, (_, text) in enumerate(items):
+            if len(text) >= SHORTEST:
+                entries += [(k, 0, len(text), True), *((k, a, b, False) for a, b in parts(text))]
+            elif word := _WORDS.match(low := as_text(self.texts[k])):
+                self.short.setdefault(word[0], []).append((k, low))
+        self.owner, self.offset, self.whole = [e[0] for e in entries], [e[1] for e in entries], [e[3] for e in entries]
+        self.codes = [self.texts[k][a:b] for k, a, b, _ in entries]
         self.edits = np.array([budget(len(c)) for c in self.codes], np.int64)
         self.needed = np.array([len(c) - Q + 1 - k * Q for c, k in zip(self.codes, self.edits.tolist(), strict=True)], np.int64)
         self.band = int(self.edits.max(initial=0)) + 1
         hashes = np.concatenate([qgram_hashes(c) for c in self.codes] or [np.zeros(0, np.uint32)])
-        item = np.repeat(np.arange(len(items)), [len(c) - Q + 1 for c in self.codes])
+        item = np.repeat(np.arange(len(entries)), np.array([len(c) - Q + 1 for c in self.codes], np.int64))
         place = np.concatenate([np.arange(len(c) - Q + 1) for c in self.codes] or [np.zeros(0, np.int64)])
         order = np.argsort(hashes, kind="stable")
         self.keys, first = np.unique(hashes[order], return_index=True)
@@ -153,37 +188,82 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, width: int, limit
     return int(cost[d]), int(start[d]), int(place[d] + len(item))
 
 
+def _part_ranges(found: list[tuple[tuple[int, int, int, int], int]], codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
+    """Parts ((item, place, start, end), size) that follow each other in item and text, joined: (item, start, end, edits)."""
+    joined: list[list[int]] = []
+    for item, place, start, end, size in sorted((i, p, s, e, n) for (i, p, s, e), n in found):
+        for run in joined:
+            # within one passage the diagonals differ by edits only; lines are parted by a line feed
+            if run[0] == item and abs((start - place) - (run[3] - run[1])) <= 2 * index.band and place <= run[2] + 2 and start <= run[4] + 2:
+                run[2], run[4] = max(run[2], place + size), max(run[4], end)
+                run[5], run[6] = min(run[5], start - place), max(run[6], start - place)
+                break
+        else:
+            joined.append([item, place, place + size, start, end, start - place, start - place])
+    out = []
+    for item, first, last, start, end, low, high in joined:
+        own = index.texts[item][first:last]
+        if end - start == len(own) and np.array_equal(codes[start:end], own):
+            out.append((item, start, end, 0))
+            continue
+        slack = 2 * index.band
+        best = banded_edits(own, codes, low + first - slack, high - low + 2 * slack, 1 << 29)
+        out.append((item, best[1], best[2], best[0]) if best is not None else (item, start, end, 0))
+    return out
+
+
 def passages(text: str, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item_id, start, end, edits) for each item's places in a text: of overlapping ones that with the fewest edits."""
-    if len(text) < Q:
-        return []
+    """(item_id, start, end, edits) for each place of an item in a text, and of a part of it where the whole is not.
+
+    Of overlapping ones that with the fewest edits, and of parts the longest.
+    """
     codes = folded(text)
+    kept: list[tuple[int, int, int, int]] = []
+    free = lambda item, start, end: not any(k[0] == item and start < k[2] and k[1] < end for k in kept)
+    if index.short:
+        low = as_text(codes)
+        for word in _WORDS.finditer(low):
+            for item, own in index.short.get(word[0], []):
+                end = word.start() + len(own)
+                if low.startswith(own, word.start()) and not (re.match(r"\w", own[-1]) and re.match(r"\w", low[end : end + 1])) and free(item, word.start(), end):
+                    kept.append((item, word.start(), end, 0))
+    if len(text) < Q:
+        return [(index.ids[item], start, end, edits) for item, start, end, edits in kept]
     found: list[tuple[int, int, int, int]] = []
+    pieces = []
     done: set[tuple[int, int]] = set()
-    for item, low, full in index.regions(qgram_hashes(codes)):
+    regions = list(index.regions(qgram_hashes(codes)))
+    for entry, low, full in sorted(regions, key=lambda r: not index.whole[r[0]]):
         # places of one item in neighbouring bands would overlap
-        if {(item, low - index.band), (item, low + index.band)} & done:
+        if {(entry, low - index.band), (entry, low + index.band)} & done:
+            continue
+        limit, size, item = int(index.edits[entry]), len(index.codes[entry]), index.owner[entry]
+        if not index.whole[entry] and any(f[0] == item and full < f[2] and f[1] < full + size for f in found):
             continue
-        limit, size = int(index.edits[item]), len(index.codes[item])
-        if full >= 0 and np.array_equal(codes[full : full + size], index.codes[item]):
-            found.append((item, full, full + size, 0))
-            done.add((item, low))
+        if full >= 0 and np.array_equal(codes[full : full + size], index.codes[entry]):
+            best = 0, full, full + size
+        else:
+            # the band's diagonals, and those that edits before its first shared q-gram may take
+            best = banded_edits(index.codes[entry], codes, low - limit, 2 * index.band + 2 * limit, limit)
+        if best is None:
             continue
-        # the band's diagonals, and those that edits before its first shared q-gram may take
-        best = banded_edits(index.codes[item], codes, low - limit, 2 * index.band + 2 * limit, limit)
-        if best is not None:
+        done.add((entry, low))
+        if index.whole[entry]:
             found.append((item, best[1], best[2], best[0]))
-            done.add((item, low))
-    kept: list[tuple[int, int, int, int]] = []
+        else:
+            pieces.append(((item, index.offset[entry], best[1], best[2]), size))
     for item, start, end, edits in sorted(found, key=lambda x: (x[0], x[3], x[1])):
-        if not any(k[0] == item and start < k[2] and k[1] < end for k in kept):
+        if free(item, start, end):
+            kept.append((item, start, end, edits))
+    for item, start, end, edits in sorted(_part_ranges(pieces, codes, index), key=lambda x: (x[0], x[1] - x[2], x[3], x[1])):
+        if free(item, start, end):
             kept.append((item, start, end, edits))
     return [(index.ids[item], start, end, edits) for item, start, end, edits in kept]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items (item_id, trimmed text) in blocks of at most BLOCK code points, or of one item."""
-    items = benchmark.where("text IS NOT NULL").select("item_id", F.trim("text").alias("text")).where(F.length("text") >= SHORTEST)
+    items = benchmark.where("text IS NOT NULL").select("item_id", F.trim("text").alias("text")).where(F.length("text") > 0)
     block, size = [], 0
     for item_id, text in items.toLocalIterator():
         if block and size + len(text) > BLOCK:
@@ -206,12 +286,14 @@ def _index(sent) -> Index:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row (doc_id, item_id, start, end, edits) for each passage of ``docs`` that is a benchmark item.
+    """One row (doc_id, item_id, start, end, edits) for each passage of ``docs`` that is a benchmark item or part of one.
 
     An item is found where it stands within RATE edits a code point, upper and lower case and kinds of
-    white space being alike; start and end are code points of the text. Null texts and items hold
-    nothing; items of fewer than SHORTEST code points (trimmed) are not searched for. Repeated rows and
-    repeated items give repeated results; no documents or no items give none; other columns are left aside.
+    white space being alike; where it doesn't, its lines and windows are, by the same rule, and those that
+    follow each other are one passage, whose edits are counted against that part of the item. start and end
+    are code points of the text. Items of fewer than SHORTEST code points (trimmed) are found without edits
+    and where no letter or digit adjoins. Null texts and items hold nothing. Repeated rows and repeated items
+    give repeated results; no documents or no items give none; other columns are left aside.
     """
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]))
     whole = None
