@@ -36,3 +36,9 @@ def test_query(spark, oracle, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert tidy(rows, got.columns) == tidy(want.fetchall(), columns)
+
+
+def test_trajectory_compares_all_tokens(spark, monkeypatch):
+    rows = [(1, "", "aa bb cc dd ee ff gg hh", "aa bb cc dd ee ff xx yy"), (2, "", "aa bb cc dd ee ff gg hh", "aa bb cc dd ee ff gg hh")]
+    monkeypatch.setattr(plans, "_cases", lambda s, d: s.createDataFrame(rows, "id int, request string, reference string, candidate string"))
+    assert {r.id: r.value for r in plans.trajectory(spark, "").collect()} == {1: 0.825, 2: 1.0}

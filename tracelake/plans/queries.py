@@ -588,8 +588,8 @@ def format_check(spark, d):
 
 @query()
 def trajectory(spark, d):
-    calls = F.transform(F.slice(tx.tokens(F.col("reference")), 1, 6), lambda t: F.struct(F.left(t, F.lit(2)).alias("name"), F.array(t).alias("input_keys")))
-    other = F.transform(F.slice(tx.tokens(F.col("candidate")), 1, 6), lambda t: F.struct(F.left(t, F.lit(2)).alias("name"), F.array(t).alias("input_keys")))
+    calls = F.transform(tx.tokens(F.col("reference")), lambda t: F.struct(F.left(t, F.lit(2)).alias("name"), F.array(t).alias("input_keys")))
+    other = F.transform(tx.tokens(F.col("candidate")), lambda t: F.struct(F.left(t, F.lit(2)).alias("name"), F.array(t).alias("input_keys")))
     return _cases(spark, d).select("id", F.round(scorers.trajectory(calls, other), 6).alias("value"))
 
 
