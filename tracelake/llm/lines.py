@@ -2,8 +2,8 @@
 
 Keys of lines become 128-bit hashes. They are range-partitioned by (hash, document), so that a line
 which a third of all documents hold spreads over many partitions, and sorted within by hash, document
-and position. One pass down the sorted rows gives each hash its documents' count and the last of them;
-what the hash then drops goes back to its document as a sparse bitmap. Text is never shuffled to find
+and position. Two hash aggregations, which don't use that order, give each hash its documents' count and
+the last of them; what the hash then drops goes back to its document as a sparse bitmap. Text is never shuffled to find
 duplicates: only bitmaps meet it again.
 """
 
