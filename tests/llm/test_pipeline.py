@@ -1,13 +1,13 @@
 """The pipeline and its queries against a brute-force version on a small folder of tables."""
 
 import random
+import zlib
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_text_operators import DOCS, brute_components, brute_fingerprint, brute_lines
+from tests.llm.test_text_operators import DOCS, brute_components, brute_fingerprint, brute_lines, brute_weights
 from tracelake.llm import bpe, decontaminate, quality, queries, similar
 
 
@@ -40,18 +40,18 @@ def folder(spark, tmp_path_factory):
 
 
 def brute_quality(spark, rows, labels):
-    own = [set(quality.buckets(r[1] or "").tolist()) for r in rows]
-    role = {r.id: r.role for r in quality.labelled_sample(spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
-    target = [role.get(r[0]) == 1 for r in rows]
-    share = sum(target) / len(rows)
-    count = lambda b, only: sum(1 for o, t in zip(own, target, strict=True) if b in o and (t or not only))
-    ratio = {b: float(np.float32(np.log((count(b, True) + quality.PRIOR) / (count(b, False) * share + quality.PRIOR)))) for b in set().union(*own)}
-    weight = [sum(sorted(ratio[b] for b in o)[: quality.WORST]) for o in own]
-    at = lambda which: np.array([w for r, w in zip(rows, weight, strict=True) if role.get(r[0]) == which])
-    cut = quality.best_cut(at(2), at(3))
-    noise = [r.g for r in spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "n int, doc_id bigint, text string").select("n", quality.gumbel(F.col("doc_id"), F.col("text"), 7).alias("g")).orderBy("n").collect()]
-    keys = [w + quality.TEMPERATURE * g for w, g in zip(weight, noise, strict=True)]
+    kind = {i: q == 1 and t == 0 for i, q, t in labels}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    weight = brute_weights([r[:2] for r in rows], {i for i, good in kind.items() if good and not held(i)})
+    good = [w for r, w in zip(rows, weight, strict=True) if kind.get(r[0]) and held(r[0])]
+    bad = [w for r, w in zip(rows, weight, strict=True) if kind.get(r[0]) is False]
+    gain, cut = max((sum(b < c for b in bad) / len(bad) - 4.0 * sum(g < c for g in good) / len(good), -c) for c in {*good, *bad})
+    cut = -cut
+    assert gain > 0
+    cut = (cut + max((w for w in good + bad if w < cut), default=cut)) / 2
     k = sum(w >= cut for w in weight)
+    noise = [r.g for r in spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "n int, doc_id bigint, text string").select("n", quality.gumbel(F.col("doc_id"), F.col("text"), 7).alias("g")).orderBy("n").collect()]
+    keys = [w + 0.25 * g for w, g in zip(weight, noise, strict=True)]
     least = sorted(keys, reverse=True)[k - 1]
     return [r for r, key in zip(rows, keys, strict=True) if key >= least - 1e-9]
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, components, decontaminate, language, lines, pii, quality, simhash
 from tracelake.llm.common import shared_dir
@@ -51,8 +52,33 @@ def test_lines(spark):
 def test_lines_edges(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
     rows = table(spark, [(None, "a line that has no document id"), (1, "a line that has no document id"), (1, "a line that has no document id"), (2, "a line that has no document id")])
-    got = sorted((r.doc_id or 0, r.n_dropped) for r in lines.dedup_lines(rows.withColumnRenamed("lang", "dropped_before")).collect())
-    assert got == [(0, 0), (1, 0), (1, 0), (2, 0)]  # two ids only
+    clash = rows.selectExpr("doc_id", "text", "'a' AS lines", "'b' AS Marked", "'c' AS left", "'d' AS kept", "'e' AS `h1.x`", "'f' AS cell")
+    done = lines.dedup_lines(clash)
+    assert done.columns == ["doc_id", "text", "lines", "Marked", "left", "h1.x", "cell", "dropped", "kept", "n_lines", "n_dropped"]
+    got = done.collect()
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 0)]  # two ids only
+    assert {(r.lines, r.Marked, r.left, r["h1.x"], r.cell) for r in got} == {("a", "b", "c", "e", "f")}
+
+
+def test_lines_frequent_ones_are_dealt_over_cells(spark, monkeypatch):
+    rng = random.Random(2)
+    common = [f"a common line, number {i} of a few" for i in range(3)]
+    rows = [(i, "\n".join(rng.sample(common * 2, 4) + [f"a line of document {i} and of {i // 3 * 3}", f"two have this one: {i // 2 * 2}", f"three have it: {i // 3 * 3}"])) for i in range(2500)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.dedup_lines(table(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+    monkeypatch.setattr(lines, "SENT", 10)
+    monkeypatch.setattr(lines, "FEW", 100)
+    again = lines.dedup_lines(table(spark, rows))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in again.collect()} == got
+
+
+def test_lines_stream_without_a_second_shuffle_by_hash(spark, capsys):
+    lines.dropped_lines(table(spark, [(1, "x" * 30)]), 20, 3)
+    frame = spark.range(100).selectExpr("id % 7 AS h1", "id % 3 AS h2", "id % 2 AS cell", "id AS doc_id")
+    run = lines.Window.partitionBy("h1", "h2", "cell")
+    frame.repartitionByRange(4, "h1", "h2", "cell").withColumn("place", F.dense_rank().over(run.orderBy(F.desc("doc_id")))).withColumn("n", F.max("place").over(run)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and plan.count("Sort [") == 1
 
 
 def test_lines_bitmap_words(spark):
@@ -285,20 +311,68 @@ def test_quality(spark):
     assert quality.resample(docs, df.where("false")).count() == len(rows) and quality.resample(docs.where("false"), df).count() == 0
 
 
-def test_quality_buckets_grow_with_the_corpus(spark):
-    words = [f"t{i}" for i in range(200_000)]
-    own = quality.buckets(" ".join(words))
-    assert len(own) == len(words)  # none is shared
+def brute_weights(rows, target):
+    """Log likelihood ratios of texts (id, text) from the definition, with Python's numbers and dictionaries."""
+    bits = max(12, math.ceil(math.log2(4 * len(rows))))
+
+    def grams(text):
+        words = [xxhash.xxh64_intdigest(w, 0) for w in re.findall(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+", (text or "").encode().lower())]
+        pairs = [((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93) % 2**64 >> 64 - bits for a, b in zip(words, words[1:], strict=False)]
+        return [(1, w >> 1) for w in words] + [(2, p) for p in pairs]
+
+    own = [grams(t) for _, t in rows]
+    seen, good_seen, docs, good_docs = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    for (i, _), found in zip(rows, own, strict=True):
+        for g in found:
+            seen[g] += 1
+            good_seen[g] += i in target
+        for g in set(found):
+            docs[g] += 1
+            good_docs[g] += i in target
+    of_docs = sum(i in target for i, _ in rows) / len(rows)
+    share = {n: sum(v for g, v in good_seen.items() if g[0] == n) / sum(v for g, v in seen.items() if g[0] == n) for n in (1, 2)}
+    ratio = {}
+    for g, n in docs.items():
+        log = math.log((good_seen[g] + 0.5) / (seen[g] * share[g[0]] + 0.5))
+        error = {1: 1.25, 2: 5.0}[g[0]] * math.sqrt(1 / (good_docs[g] + 0.5) + 1 / (n * of_docs + 0.5))
+        ratio[g] = math.copysign(max(abs(log) - error, 0), log) if n >= 8 else 0.0
+    return [math.fsum(ratio[g] for g in found) for found in own]
+
+
+def test_quality_weights_are_likelihood_ratios(spark):
     rng = random.Random(9)
-    rows = [(i, " ".join(rng.sample(words, 400)) + (" vile nasty" if i % 5 == 0 else "")) for i in range(400)]
+    words = [f"t{i}" for i in range(3000)] + ["the", "of", "a", "--", "|"] * 100
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 500))) + (" vile nasty |" * rng.randint(1, 3) if i % 5 == 0 else "")) for i in range(400)]
+    rows += [(500, None), (501, ""), (502, "z" * 300_000), (503, "ab " * 60_000), (503, "ab " * 60_000)]
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400) if i % 2 == 0], "doc_id bigint, quality int, toxic int")
-    sample = quality.labelled_sample(labels)
-    ratios = quality.log_ratios(table(spark, rows), sample)
-    target = {r.id for r in sample.where("role = 1").collect()}
-    for word in rows[1][1].split()[:50] + ["vile"]:
-        held = [i for i, text in rows if word in text.split()]
-        want = math.log((sum(i in target for i in held) + 1) / (len(held) * len(target) / len(rows) + 1))
-        assert abs(ratios.of(quality.buckets(word))[0] - want) < 1e-6
+    target = {r.id for r in quality.labelled_sample(labels).where("role = 1").collect()}
+    docs = table(spark, rows).withColumn("part", F.lit(1)).withColumn("KEY", F.lit(2)).withColumn("noise", F.lit(3))
+    got = quality.resample(docs, labels)
+    assert got.columns == [*DOCS.replace(" bigint", "").replace(" string", "").split(", "), "part", "noise", "log_weight", "key"]
+    want = defaultdict(list)
+    for (i, _), w in zip(rows, brute_weights(rows, target), strict=True):
+        want[i].append(w)
+    kept = got.collect()
+    assert len(kept) > 250
+    for r in kept:
+        assert abs(r.log_weight - want[r.doc_id][0]) < 1e-6
+    # what is left out weighs less than what stays, but for the noise
+    assert max(w for i, ws in want.items() if i not in {r.doc_id for r in kept} for w in ws) < min(r.log_weight for r in kept) + 4
+    blocks = quality.BLOCK
+    try:
+        quality.BLOCK = 7  # as many passes as blocks; the same weights
+        again = {r.doc_id: r.log_weight for r in quality.resample(docs.where("doc_id < 500"), labels).collect()}
+    finally:
+        quality.BLOCK = blocks
+    whole = {r.doc_id: r.log_weight for r in quality.resample(docs.where("doc_id < 500"), labels).collect()}
+    assert again.keys() == whole.keys() and all(abs(again[i] - whole[i]) < 1e-9 for i in whole)
+
+
+def test_quality_models_grow_with_the_corpus():
+    assert [quality.pair_bits(n) for n in (0, 1000, 1 << 20, 1 << 30)] == [12, 12, 22, 32]
+    words = " ".join(f"t{i}" for i in range(100_000))
+    keys, times = quality.grams(words, 40)
+    assert (keys < 1 << 63).sum() == 100_000 and times.sum() == 199_999
 
 
 def test_kth_largest(spark):

@@ -26,7 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The letters and numbers that Unicode has gained since version 16.0, by which the reference tokenizer splits.
+from tracelake.llm.common import kept, tidy
+
+#: The letters and numbers that Unicode has gained since version 16.0, by which the compared tokenizer splits.
 LATER_LETTERS = (
     "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
     "11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
@@ -280,15 +282,9 @@ class Codec:
         yield stream.close()
 
 
-_CODECS: dict = {}
-
-
 def codec(key: tuple, ranks: bytes, pattern: str) -> Codec:
     """This worker's codec for a vocabulary; tasks after the first use it again."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec({base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x.strip())}, pattern)
-    return _CODECS[key]
+    return kept(key, lambda: Codec({base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x.strip())}, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", keep: Iterable[str] = ("doc_id",), digests: bool = True) -> DataFrame:
@@ -328,4 +324,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: st
                     second.append("".join(own.decode(ids)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())], names=[*batch.schema.names[: len(keep)], *[n for n, _ in made]])
 
-    return source.mapInArrow(run, out_schema).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *[n for n, _ in made])
+    return source.mapInArrow(tidy(run, key), out_schema).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *[n for n, _ in made])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one of a local session; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -50,35 +55,81 @@ def ascii_lower(col):
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
-#: A key that holds more than one in so many rows is hot; fewer than so many keys can be.
-HOT = 1000
+#: A key is hot that holds one in HOT of all rows, or more, and at least HOT_ROWS rows. So at most HOT keys are hot, and fewer than rows / HOT_ROWS.
+HOT, HOT_ROWS = 100_000, 1000
 
 
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row a key and in ``count`` how many of ``total`` rows hold it.
 
-    Hot keys, at most HOT by their share, are sent to the rows, so theirs are never dealt out by key; the rest is
-    joined as usual, none of its keys having more than one in HOT of all rows.
+    Hot keys, whose number is bounded, are sent to the rows, so theirs are never dealt out by key; the rest is
+    joined as usual, none of its keys having more than a hundred-thousandth of all rows, or HOT_ROWS.
     """
-    is_hot = F.col(count) * HOT >= total
+    is_hot = (F.col(count) * HOT >= total) & (F.col(count) >= HOT_ROWS)
     hot, cold = table.where(is_hot).drop(count), table.where(~is_hot).drop(count)
     few = rows.join(F.broadcast(hot), on)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return few.unionByName(rest)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+#: What a Python worker keeps between tasks: one model at a time, whichever operator's.
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """The worker's model for ``key``, made when it isn't there; that of another operator goes first."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release(key=None) -> None:
+    """Give memory back to the machine: workers outlive their tasks, and the next stage needs it. What ``key`` names stays."""
+    for other in [k for k in _KEPT if k != key]:
+        del _KEPT[other]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable, key=None) -> Callable:
+    """``run``, a function of Arrow batches, that leaves no memory behind but the model that ``key`` names."""
+
+    def tidied(batches):
+        release(key)
+        try:
+            yield from run(batches)
+        finally:
+            release(key)
+
+    return tidied
+
+
 #: Rows that are Python values at one time.
-ROWS = 500
+ROWS = 200
 
 
-def annotate(df: DataFrame, inputs: list, made: list[tuple[str, T.DataType]], values, keep=None) -> DataFrame:
+def annotate(df: DataFrame, inputs: list, made: list[tuple[str, T.DataType]], values, keep=None, drop=(), key=None) -> DataFrame:
     """``df`` with the columns ``made``, which ``values`` computes batch by batch in Python.
 
     ``values`` gets a list of Python values for each of ``inputs`` (columns or their names) and returns a
     list for each of ``made``. ``keep``, an index into ``made``, names a boolean by which rows are filtered;
-    it is not returned. All columns of ``df`` pass, whatever their names; one of a made name is replaced.
+    it is not returned. All columns of ``df`` pass but those of ``drop``, whatever their names; one of a made
+    name is replaced. ``key`` names the model that the worker keeps.
     """
-    new = {name for name, _ in made}
+    new = {name for k, (name, _) in enumerate(made) if k != keep} | set(drop)
     rest = [f for f in df.schema.fields if f.name not in new]
     n, m = len(rest), len(inputs)
     source = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(rest)], *[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"i{k}") for k, c in enumerate(inputs)])
@@ -94,5 +145,5 @@ def annotate(df: DataFrame, inputs: list, made: list[tuple[str, T.DataType]], va
             out = pa.RecordBatch.from_arrays(columns, names=names)
             yield out if keep is None else out.filter(pa.array(found[keep], pa.bool_()))
 
-    back = source.mapInArrow(run, schema)
+    back = source.mapInArrow(tidy(run, key), schema)
     return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], *[F.col(f"m{k}").alias(x[0]) for k, x in shown])

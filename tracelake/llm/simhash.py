@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import spread_join, stored
+from tracelake.llm.common import spread_join, stored, tidy
 from tracelake.llm.components import components
 
 SEED = 42
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             found = [fingerprint(value.as_py(), words) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())], names=["doc_id", "f"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, f bigint")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id bigint, f bigint")
 
 
 def segments(bits: int, distance: int) -> list[tuple[int, int, int]]:
@@ -90,19 +90,25 @@ def links(distinct: DataFrame, distance: int = 4, parts: int = 3) -> DataFrame:
     return asked.join(made, [F.col("part") == F.col("b_part"), F.col("key") == F.col("b_key"), F.col("a") < F.col("b"), near]).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, distance: int = 4, parts: int = 3) -> DataFrame:
+#: Up to so many fingerprints three segments meet few strangers; beyond, two are used.
+THREE = 1 << 24
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 4, distance: int = 4, parts: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, f (signed long), component_id.
 
     component_id is the smallest doc_id reachable over links, the row's own included. Texts without words
     have fingerprint zero and are linked like any other; null text is empty. A null doc_id has a row, and
-    its text takes part in linking; it is never a component_id unless its whole component has no id.
-    Repeated rows give repeated rows; no rows give none; other columns are left aside.
+    its text takes part in linking; it is never a component_id unless its whole component has no id. A text's
+    hashes are summed in pieces, so a very long one needs no more memory than its words. Ties of a bit (set in
+    exactly half the shingles) are 0. ``parts`` is chosen from the number of different fingerprints. Repeated rows give repeated rows; no rows give none; other columns are left aside.
     """
     prints = stored(fingerprints(docs, words), "fingerprints")
     distinct = stored(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    parts = parts or (3 if distinct.count() <= THREE else 2)
     joined = stored(links(distinct.select("f"), distance, parts), "pairs")
-    found = components(joined)
-    lowest = found.join(distinct, found.node == distinct.f).groupBy("root").agg(F.min("least").alias("low"))
-    linked = found.join(lowest, "root").select(F.col("node").alias("f"), "low")
+    found = stored(components(joined), "components")
+    lowest = stored(found.join(distinct, found.node == distinct.f).groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("size")), "lowest")
+    linked = spread_join(found, lowest, ["root"], "size", found.count()).select(F.col("node").alias("f"), "low")
     classes = stored(distinct.join(linked, "f", "left").select("f", F.coalesce("low", "least").alias("component_id"), "n"), "classes")
     return spread_join(prints, classes, ["f"], "n", prints.count()).select("doc_id", "f", "component_id")

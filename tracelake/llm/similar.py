@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import simhash
-from tracelake.llm.common import spread_join, stored
+from tracelake.llm.common import spread_join, stored, tidy
 from tracelake.llm.components import components
 
 #: Documents in which common shingles are looked for, and in how many of them a shingle is common. Decides the order only.
@@ -63,7 +63,7 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(hashed(text.as_py(), words).view(np.int64), pa.int64())], names=["key"])
 
-    held = some.select("text").mapInArrow(run, "key bigint").groupBy("key").count().where(F.col("count") >= COMMON).select("key").toArrow()
+    held = some.select("text").mapInArrow(tidy(run), "key bigint").groupBy("key").count().where(F.col("count") >= COMMON).select("key").toArrow()
     return np.sort(held["key"].to_numpy().view(np.uint64))
 
 
@@ -99,7 +99,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, words: int, threshold: float)
             if held:
                 yield flush()
 
-    return docs.select("id", "text").mapInArrow(run, "key bigint, id bigint, n int, pos int")
+    return docs.select("id", "text").mapInArrow(tidy(run), "key bigint, id bigint, n int, pos int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -117,7 +117,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) ->
                 keep.append(similarity(own, shingles(y.as_py(), words)) >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def possible(met: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +153,7 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "f"])
 
     # equal word sequences are one class, whose text is that of its least document
-    rows = known.mapInArrow(named, "doc_id bigint, text string, id bigint")
+    rows = known.mapInArrow(tidy(named), "doc_id bigint, text string, id bigint")
     ids = stored(rows.select("doc_id", "id"), "ids")
     classes = stored(ids.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     texts = stored(rows.join(classes.select("id", F.col("least").alias("doc_id")), ["id", "doc_id"], "left_semi").select("id", "text"), "texts")
@@ -162,7 +162,7 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
     shared = stored(spread_join(entries, held, ["key"], "m", entries.count()), "shared")
 
     # pairs by SimHash: of each class with the first of its fingerprint, and of the first of near fingerprints
-    prints = stored(texts.mapInArrow(printed, "id bigint, f bigint"), "fingerprints")
+    prints = stored(texts.mapInArrow(tidy(printed), "id bigint, f bigint"), "fingerprints")
     lowest = stored(prints.groupBy("f").agg(F.min("id").alias("low"), F.count("*").alias("n")), "fingerprints")
     equal = spread_join(prints, lowest, ["f"], "n", prints.count()).select(F.col("low").alias("a"), F.col("id").alias("b"))
     la, lb = lowest.select(F.col("f").alias("a"), F.col("low").alias("la")), lowest.select(F.col("f").alias("b"), F.col("low").alias("lb"))
@@ -185,7 +185,8 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
     met = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized)
     more = stored(verified(stored(possible(met, threshold), "candidates"), texts, words, threshold), "links")
     found = components(links.union(more))
-    low = found.join(classes, found.node == classes.id).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = found.join(low, "root").select(F.col("node").alias("id"), "component_id")
+    found = stored(found, "components")
+    low = stored(found.join(classes, found.node == classes.id).groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "lowest")
+    linked = spread_join(found, low, ["root"], "size", found.count()).select(F.col("node").alias("id"), "component_id")
     final = stored(classes.join(linked, "id", "left").select("id", "n", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return spread_join(ids, final, ["id"], "n", ids.count()).select("doc_id", "component_id")
