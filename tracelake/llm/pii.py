@@ -48,27 +48,62 @@ FOR = {
     "ip": "ip|host|server|address|client|addr|from",
     "card": "card|visa|mastercard|amex|credit|debit|payment|no|number",
     "phone": "tel|phone|call|fax|mobile|cell|whatsapp|number",
-    "secret": "key|token|secret|password|auth|bearer|login",
+    "secret": "key|token|secret|password|auth|bearer|login|credential|credentials|config|env|export",
 }
+#: How the values of well-known credentials begin.
+PREFIXES = r"[\"']?(AKIA|ASIA|AIza|eyJ|gh[pousr]_|glpat-|sk-|pk_|rk_|xox[abprs]-|SG\.|npm_)"
 AGAINST = "version|release|v|isbn|issn|section|chapter|page|figure|order|invoice|doi|rfc|build"
 DOMAINS = r"\.(com|org|net|edu|gov|io|info|biz|co|de|fr|es|it|uk|eu|us|ca|au|nl|ch|at)$"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, end, m, before, after), places in code points."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,m:string,before:string,after:string>>")
-    ordinal = F.sequence(F.lit(0), F.size(found) - 1)
+#: Matches whose places are summed up in one go, see :func:`running`.
+RUN = 256
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc.at + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(found, i))
-        row = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("m"), F.lower(F.right(F.get(pieces, i), F.lit(20))).alias("before"), F.left(F.get(pieces, i + 1), F.lit(2)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(row)).alias("out"))
 
-    walked = F.aggregate(ordinal, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc.out)
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+def running(steps: Column) -> Column:
+    """Running sums of an array of numbers, in two levels: an append copies its array, so no array of more than RUN sums is appended to."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int"))), lambda b: F.slice(steps, b * RUN + 1, RUN))
+    nothing = F.array().cast("array<int>")
+    within = lambda block: F.aggregate(block, nothing, lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+    sums = F.transform(blocks, within)
+    before = F.aggregate(sums, F.array(F.lit(0)), lambda acc, block: F.array_append(acc, F.element_at(acc, -1) + F.coalesce(F.try_element_at(block, F.lit(-1)), F.lit(0))))
+    return F.flatten(F.zip_with(sums, F.slice(before, 1, F.size(sums)), lambda block, low: F.transform(block, lambda x: x + low)))
+
+
+def spans(rows: DataFrame, text: str, patterns: list[tuple[str, str, str | None]]) -> DataFrame:
+    """``rows`` without ``text`` and with a column for each (name, pattern, need): leftmost non-overlapping matches.
+
+    A column is an array of (start, end, m, before, after), places in code points. ``need`` is what a text must hold for
+    the pattern to be tried at all. What a match needs is made once a text, in columns of its own, so time is linear in matches.
+    """
+    rest = [c for c in rows.columns if c != text]
+    made = []
+    for name, pattern, need in patterns:
+        held = F.contains(text, F.lit(need)) if need else F.lit(True)
+        made.append(F.when(held, F.split(text, pattern, -1)).otherwise(F.array(F.lit(""))).alias(f"{name}_between"))
+        made.append(F.when(held, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"{name}_found"))
+    rows = rows.select(*rest, *made)
+    names = [n for n, _, _ in patterns]
+
+    def step(name: str) -> Column:
+        """How far each match begins from where the one before began."""
+        own = F.transform(f"{name}_found", lambda m: F.length(m))
+        return F.zip_with(F.slice(F.transform(f"{name}_between", lambda b: F.length(b)), 1, F.size(own)), F.slice(F.concat(F.array(F.lit(0)), own), 1, F.size(own)), lambda a, b: a + b)
+
+    kept = [x for n in names for x in (f"{n}_between", f"{n}_found")]
+    rows = rows.select(*rest, *kept, *[step(n).alias(f"{n}_steps") for n in names])
+    rows = rows.select(*rest, *kept, *[running(F.col(f"{n}_steps")).alias(f"{n}_starts") for n in names])
+
+    def built(name: str) -> Column:
+        between, starts = F.col(f"{name}_between"), F.col(f"{name}_starts")
+
+        def row(m: Column, i: Column) -> Column:
+            start = F.get(starts, i)
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"), F.lower(F.right(F.get(between, i), F.lit(20))).alias("before"), F.left(F.get(between, i + 1), F.lit(2)).alias("after"))
+
+        return F.transform(f"{name}_found", row)
+
+    return rows.select(*rest, *[built(n).alias(n) for n in names])
 
 
 def digits(m: Column) -> Column:
@@ -99,7 +134,7 @@ def sign(yes: Column) -> Column:
 
 def candidate(kind: str, base: bool, c: Column) -> Column:
     near = F.when(c.before.rlike(rf"\b({AGAINST})\b[^a-z0-9]*$"), -1).when(c.before.rlike(rf"\b({FOR[kind]})\b"), 1).otherwise(0)
-    listed = sign(F.lower(c.m).rlike(DOMAINS)) if kind == "email" else F.lit(1) if kind == "secret" else near
+    listed = sign(F.lower(c.m).rlike(DOMAINS)) if kind == "email" else F.when(c.m.rlike(PREFIXES), 1).otherwise(near) if kind == "secret" else near
     alone = sign(~c.before.rlike("[a-z0-9]$") & ~c.after.rlike("^[A-Za-z0-9]"))
     share = F.length(digits(c.m)) * 4 / F.length(c.m)
     return F.struct(
@@ -115,14 +150,8 @@ VOTES = ("strict", "valid", "listed", "alone")
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, base, wide): arrays of candidates of every text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    names = []
-    for base, patterns in ((True, BASE), (False, WIDE)):
-        for kind, pattern in patterns.items():
-            name = f"{'base' if base else 'wide'}_{kind}"
-            found = spans(F.col("text"), pattern)
-            need = NEEDS.get(kind) if base else None
-            rows = rows.withColumn(name, F.when(F.contains("text", F.lit(need)), found).otherwise(F.array().cast("array<struct<start:int,end:int,m:string,before:string,after:string>>")) if need else found)
-            names.append((name, kind, base))
+    names = [(f"{'base' if base else 'wide'}_{kind}", kind, base) for base, patterns in ((True, BASE), (False, WIDE)) for kind in patterns]
+    rows = spans(rows, "text", [(name, (BASE if base else WIDE)[kind], NEEDS.get(kind) if base else None) for name, kind, base in names])
     marked = []
     for name, kind, base in names:
         kept = F.filter(name, _checker(kind)) if base else F.col(name)
@@ -189,7 +218,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     ``base`` are the base spans; ``spans`` these and the wider ones the classifier accepts that overlap no
     base span of their kind. Null or empty texts have none. Rows are independent but for the classifier's
-    weights; repeated rows give repeated results; no rows give none; other columns are left aside.
+    weights; repeated rows give repeated results; no rows give none; other columns are left aside. A very long text
+    is searched as a whole, in time linear in its length and matches. Wider candidates that overlap each other all stay.
     """
     found = stored(candidates(docs), "candidates")
     each = found.select(F.explode(F.concat("base", "wide")).alias("c")).select("c.*")
@@ -206,9 +236,16 @@ def find(docs: DataFrame) -> DataFrame:
             total = total + t
         return total >= 0
 
-    bare = lambda c: F.struct(c.kind.alias("kind"), c.start.alias("start"), c.end.alias("end"))
-    fresh = F.filter("wide", lambda c: accepted(c) & ~F.exists("base", lambda b: (b.kind == c.kind) & (b.start < c.end) & (c.start < b.end)))
-    return found.select("doc_id", F.sort_array(F.transform("base", bare)).alias("base"), F.sort_array(F.concat(F.transform("base", bare), F.transform(fresh, bare))).alias("spans"))
+    # spans as numbers (kind, start, end): those equal to a base span go by a hash set, before overlaps are looked for
+    bits = 29
+    packed = lambda c: c.kind.cast("bigint") * (1 << 2 * bits) + c.start.cast("bigint") * (1 << bits) + c.end
+    opened = lambda x: F.struct(F.shiftright(x, 2 * bits).cast("int").alias("kind"), (F.shiftright(x, bits) % (1 << bits)).cast("int").alias("start"), (x % (1 << bits)).cast("int").alias("end"))
+    rows = found.select("doc_id", "base", F.transform("base", packed).alias("own"), F.transform(F.filter("wide", accepted), packed).alias("more"))
+    rows = rows.select("doc_id", "base", "own", F.array_except("more", "own").alias("more"))
+    rows = rows.select("doc_id", "base", "own", F.transform("more", opened).alias("more"))
+    apart = F.filter("more", lambda c: ~F.exists("base", lambda b: (b.kind == c.kind) & (b.start < c.end) & (c.start < b.end)))
+    rows = rows.select("doc_id", "own", F.concat("own", F.transform(apart, packed)).alias("every"))
+    return rows.select("doc_id", F.transform(F.array_sort("own"), opened).alias("base"), F.transform(F.array_sort("every"), opened).alias("spans"))
 
 
 def written(spans: Column) -> Column:

@@ -52,7 +52,7 @@ def _of_kind(kind: int):
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
