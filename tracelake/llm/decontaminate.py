@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import annotate
+from tracelake.llm.common import annotate, fresh, kept as worker_kept
 
 Q = 12
 #: Edits allowed for each code point of an item or part; items of fewer code points than SHORTEST allow none, and are no parts.
@@ -33,6 +33,8 @@ WINDOW = 48
 _WORDS = re.compile(r"\w+|[^\w\s]")
 #: Code points of benchmark items in one pass over the documents.
 BLOCK = 1_000_000
+#: Pairs of places that share a q-gram looked at in one go.
+PAIRS = 4_000_000
 _SPREAD = 20
 
 
@@ -108,7 +110,9 @@ class Index:
         self.codes = [self.texts[k][a:b] for k, a, b, _ in entries]
         self.edits = np.array([budget(len(c)) for c in self.codes], np.int64)
         self.needed = np.array([len(c) - Q + 1 - k * Q for c, k in zip(self.codes, self.edits.tolist(), strict=True)], np.int64)
-        self.band = int(self.edits.max(initial=0)) + 1
+        #: Diagonals of half a band of each entry, by its own edits: places of an entry in one band or in neighbouring ones overlap.
+        self.band = self.edits + 1
+        self.shift = max(map(len, self.codes), default=0)
         hashes = np.concatenate([qgram_hashes(c) for c in self.codes] or [np.zeros(0, np.uint32)])
         item = np.repeat(np.arange(len(entries)), np.array([len(c) - Q + 1 for c in self.codes], np.int64))
         place = np.concatenate([np.arange(len(c) - Q + 1) for c in self.codes] or [np.zeros(0, np.int64)])
@@ -120,38 +124,57 @@ class Index:
         self.seen[self.keys >> np.uint32(32 - _SPREAD)] = True
         self.least = int(self.needed.min(initial=1 << 30))
 
-    def regions(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first diagonal, fullest diagonal) of the bands with enough shared q-grams, the fullest first.
+    def diagonals(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(keys, counts, width): shared q-grams of each entry and diagonal, a key being entry * width + diagonal, in order.
 
-        A band spans 2 * self.band diagonals.
+        Diagonals are shifted by the longest entry to be positive. So many pairs of places are looked at in one go, at most.
         """
+        width = len(hashes) + self.shift + 1
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), width
         at = np.flatnonzero(self.seen[hashes >> np.uint32(32 - _SPREAD)])
         if len(at) < self.least:
-            return
+            return none
         key = np.searchsorted(self.keys, hashes[at])
         key[key == len(self.keys)] = 0
         true = self.keys[key] == hashes[at]
         at, key = at[true], key[true]
         if len(at) < self.least:
-            return
+            return none
         many = self.first[key + 1] - self.first[key]
-        entry = np.repeat(self.first[key] - np.concatenate([[0], many.cumsum()[:-1]]), many) + np.arange(many.sum())
-        item = self.item[entry]
-        # diagonals are shifted by the longest item to be positive
-        diagonal = np.repeat(at, many) - self.place[entry] + self.shift
-        low = diagonal // self.band
-        span = (len(hashes) + self.shift) // self.band + 2
-        # a band starts at each multiple of self.band, so each diagonal is in two of them
-        bands, counts = np.unique(np.concatenate([item * span + low, (item * span + low - 1)[low > 0]]), return_counts=True)
-        enough = np.flatnonzero(counts >= self.needed[bands // span])
-        for band in bands[enough[np.argsort(-counts[enough], kind="stable")]].tolist():
-            first = band % span * self.band
-            own = diagonal[(item == band // span) & (diagonal >= first) & (diagonal < first + 2 * self.band)]
-            yield band // span, first - self.shift, int(np.bincount(own - first).argmax()) + first - self.shift
-
-    @property
-    def shift(self) -> int:
-        return max(map(len, self.codes), default=0)
+        keys, counts = none[:2]
+        ends, begin = many.cumsum(), 0
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+            some = many[begin:stop]
+            entry = np.repeat(self.first[key[begin:stop]] - np.concatenate([[0], some.cumsum()[:-1]]), some) + np.arange(some.sum())
+            met = self.item[entry] * width + np.repeat(at[begin:stop], some) - self.place[entry] + self.shift
+            own, times = np.unique(met, return_counts=True)
+            if len(keys):
+                own, back = np.unique(np.concatenate([keys, own]), return_inverse=True)
+                times = np.bincount(back, np.concatenate([counts, times])).astype(np.int64)
+            keys, counts, begin = own, times, stop
+        return keys, counts, width
+
+    def regions(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(entry, first diagonal, fullest diagonal) of the bands with enough shared q-grams, the fullest first.
+
+        A band of an entry spans twice ``band`` diagonals.
+        """
+        keys, counts, width = self.diagonals(hashes)
+        if not len(keys):
+            return
+        entry, diagonal = keys // width, keys % width
+        low = diagonal // self.band[entry]
+        # a band starts at each multiple of the entry's, so each diagonal is in two of them
+        bands, back = np.unique(np.concatenate([entry * width + low, (entry * width + low - 1)[low > 0]]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([counts, counts[low > 0]]))
+        enough = np.flatnonzero(total >= self.needed[bands // width])
+        for band in bands[enough[np.argsort(-total[enough], kind="stable")]].tolist():
+            e = band // width
+            step = int(self.band[e])
+            first = band % width * step
+            a, b = np.searchsorted(keys, [e * width + first, e * width + min(first + 2 * step, width)])
+            yield e, first - self.shift, int(diagonal[a + counts[a:b].argmax()]) - self.shift
 
 
 def banded_edits(item: np.ndarray, text: np.ndarray, low: int, width: int, limit: int) -> tuple[int, int, int] | None:
@@ -188,77 +211,85 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, width: int, limit
     return int(cost[d]), int(start[d]), int(place[d] + len(item))
 
 
-def _part_ranges(found: list[tuple[tuple[int, int, int, int], int]], codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
-    """Parts ((item, place, start, end), size) that follow each other in item and text, joined: (item, start, end, edits)."""
+def _part_ranges(found: list[tuple], codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
+    """Parts (item, place, start, end, size, band) that follow each other in item and text, joined: (item, start, end, edits)."""
     joined: list[list[int]] = []
-    for item, place, start, end, size in sorted((i, p, s, e, n) for (i, p, s, e), n in found):
+    for item, place, start, end, size, band in sorted(found):
         for run in joined:
             # within one passage the diagonals differ by edits only; lines are parted by a line feed
-            if run[0] == item and abs((start - place) - (run[3] - run[1])) <= 2 * index.band and place <= run[2] + 2 and start <= run[4] + 2:
+            if run[0] == item and abs((start - place) - (run[3] - run[1])) <= 2 * max(band, run[7]) and place <= run[2] + 2 and start <= run[4] + 2:
                 run[2], run[4] = max(run[2], place + size), max(run[4], end)
-                run[5], run[6] = min(run[5], start - place), max(run[6], start - place)
+                run[5], run[6], run[7] = min(run[5], start - place), max(run[6], start - place), max(run[7], band)
                 break
         else:
-            joined.append([item, place, place + size, start, end, start - place, start - place])
+            joined.append([item, place, place + size, start, end, start - place, start - place, band])
     out = []
-    for item, first, last, start, end, low, high in joined:
+    for item, first, last, start, end, low, high, band in joined:
         own = index.texts[item][first:last]
         if end - start == len(own) and np.array_equal(codes[start:end], own):
             out.append((item, start, end, 0))
             continue
-        slack = 2 * index.band
-        best = banded_edits(own, codes, low + first - slack, high - low + 2 * slack, 1 << 29)
+        best = banded_edits(own, codes, low + first - 2 * band, high - low + 4 * band, 1 << 29)
         out.append((item, best[1], best[2], best[0]) if best is not None else (item, start, end, 0))
     return out
 
 
+def short_items(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, 0) of the items too short for q-grams, where no letter or digit adjoins."""
+    if not index.short:
+        return []
+    low, out = as_text(codes), []
+    for word in _WORDS.finditer(low):
+        for item, own in index.short.get(word[0], []):
+            end = word.start() + len(own)
+            if low.startswith(own, word.start()) and not (re.match(r"\w", own[-1]) and re.match(r"\w", low[end : end + 1])):
+                out.append((item, word.start(), end, 0))
+    return out
+
+
 def passages(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     """(item_id, start, end, edits) for each place of an item in a text, and of a part of it where the whole is not.
 
-    Of overlapping ones that with the fewest edits, and of parts the longest.
+    Of places of one item that overlap, that with the fewest edits, then the first; of parts the longest.
     """
     codes = folded(text)
-    kept: list[tuple[int, int, int, int]] = []
-    free = lambda item, start, end: not any(k[0] == item and start < k[2] and k[1] < end for k in kept)
-    if index.short:
-        low = as_text(codes)
-        for word in _WORDS.finditer(low):
-            for item, own in index.short.get(word[0], []):
-                end = word.start() + len(own)
-                if low.startswith(own, word.start()) and not (re.match(r"\w", own[-1]) and re.match(r"\w", low[end : end + 1])) and free(item, word.start(), end):
-                    kept.append((item, word.start(), end, 0))
-    if len(text) < Q:
-        return [(index.ids[item], start, end, edits) for item, start, end, edits in kept]
-    found: list[tuple[int, int, int, int]] = []
-    pieces = []
+    kept: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def keep(found: list[tuple[int, int, int, int]]) -> None:
+        for item, start, end, edits in found:
+            own = kept.setdefault(item, [])
+            if not any(start < k[2] and k[1] < end for k in own):
+                own.append((item, start, end, edits))
+
+    keep(short_items(codes, index))
+    whole: list[tuple[int, int, int, int]] = []
+    pieces: list[tuple] = []
+    places: dict[int, list[tuple[int, int]]] = {}
     done: set[tuple[int, int]] = set()
-    regions = list(index.regions(qgram_hashes(codes)))
+    regions = list(index.regions(qgram_hashes(codes))) if len(codes) >= Q else []
     for entry, low, full in sorted(regions, key=lambda r: not index.whole[r[0]]):
-        # places of one item in neighbouring bands would overlap
-        if {(entry, low - index.band), (entry, low + index.band)} & done:
+        limit, size, item, band = int(index.edits[entry]), len(index.codes[entry]), index.owner[entry], int(index.band[entry])
+        # places in neighbouring bands would overlap
+        if {(entry, low - band), (entry, low + band)} & done:
             continue
-        limit, size, item = int(index.edits[entry]), len(index.codes[entry]), index.owner[entry]
-        if not index.whole[entry] and any(f[0] == item and full < f[2] and f[1] < full + size for f in found):
+        if not index.whole[entry] and any(full < b and a < full + size for a, b in places.get(item, ())):
             continue
         if full >= 0 and np.array_equal(codes[full : full + size], index.codes[entry]):
             best = 0, full, full + size
         else:
             # the band's diagonals, and those that edits before its first shared q-gram may take
-            best = banded_edits(index.codes[entry], codes, low - limit, 2 * index.band + 2 * limit, limit)
+            best = banded_edits(index.codes[entry], codes, low - limit, 2 * band + 2 * limit, limit)
         if best is None:
             continue
         done.add((entry, low))
         if index.whole[entry]:
-            found.append((item, best[1], best[2], best[0]))
+            whole.append((item, best[1], best[2], best[0]))
+            places.setdefault(item, []).append((best[1], best[2]))
         else:
-            pieces.append(((item, index.offset[entry], best[1], best[2]), size))
-    for item, start, end, edits in sorted(found, key=lambda x: (x[0], x[3], x[1])):
-        if free(item, start, end):
-            kept.append((item, start, end, edits))
-    for item, start, end, edits in sorted(_part_ranges(pieces, codes, index), key=lambda x: (x[0], x[1] - x[2], x[3], x[1])):
-        if free(item, start, end):
-            kept.append((item, start, end, edits))
-    return [(index.ids[item], start, end, edits) for item, start, end, edits in kept]
+            pieces.append((item, index.offset[entry], best[1], best[2], size, band))
+    keep(sorted(whole, key=lambda x: (x[0], x[3], x[1])))
+    keep(sorted(_part_ranges(pieces, codes, index), key=lambda x: (x[0], x[1] - x[2], x[3], x[1])))
+    return [(index.ids[item], start, end, edits) for own in kept.values() for item, start, end, edits in own]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -275,14 +306,9 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-_INDEXES: dict = {}
-
-
 def _index(sent) -> Index:
-    if sent.value[0] not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[sent.value[0]] = Index(sent.value[1])
-    return _INDEXES[sent.value[0]]
+    """This worker's index of a block, made when first needed."""
+    return worker_kept(sent.value[0], lambda: Index(sent.value[1]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -292,19 +318,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     white space being alike; where it doesn't, its lines and windows are, by the same rule, and those that
     follow each other are one passage, whose edits are counted against that part of the item. start and end
     are code points of the text. Items of fewer than SHORTEST code points (trimmed) are found without edits
-    and where no letter or digit adjoins. Null texts and items hold nothing. Repeated rows and repeated items
+    and where no letter or digit adjoins. An item's result doesn't depend on the others. Of places of one item that
+    overlap, the one with the fewest edits is told, of equal ones the first; all that don't overlap are. A very long
+    text is searched as a whole, in memory of its size. Null texts and items hold nothing. Repeated rows and repeated items
     give repeated results; no documents or no items give none; other columns are left aside.
     """
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]))
     whole = None
     for number, block in enumerate(blocks(benchmark)):
-        sent = docs.sparkSession.sparkContext.broadcast((f"{number}:{hash(tuple(block))}", block))
+        name = f"{number}:{hash(tuple(block))}"
+        sent = docs.sparkSession.sparkContext.broadcast((name, block))
 
         def values(texts, sent=sent):
             index = _index(sent)
             return [[[dict(zip(("item_id", "start", "end", "edits"), p, strict=True)) for p in passages(t or "", index)] for t in texts]]
 
-        part = annotate(docs.select("doc_id", "text"), ["text"], [("found", kind)], values).select("doc_id", F.explode("found").alias("p")).select("doc_id", "p.*")
+        part = annotate(docs.select("doc_id", "text"), ["text"], [("found", kind)], values, key=name).select("doc_id", F.explode("found").alias("p")).select("doc_id", "p.*")
         whole = part if whole is None else whole.union(part)
     if whole is None:
         whole = docs.where("false").select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("edits"))
@@ -314,11 +343,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a passage that :func:`contaminated` finds; all columns pass."""
     for number, block in enumerate(blocks(benchmark)):
-        sent = docs.sparkSession.sparkContext.broadcast((f"{number}:{hash(tuple(block))}", block))
+        name = f"{number}:{hash(tuple(block))}"
+        sent = docs.sparkSession.sparkContext.broadcast((name, block))
 
         def values(texts, sent=sent):
             index = _index(sent)
             return [[not passages(t or "", index) for t in texts]]
 
-        docs = annotate(docs, ["text"], [("__clean", T.BooleanType())], values, keep=0)
+        docs = annotate(docs, ["text"], [(fresh(docs, "clean"), T.BooleanType())], values, keep=0, key=name)
     return docs
