@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from tracelake.llm.common import annotate
 
 FEATURES = 1 << 13
-#: Training documents of a language and languages (the most frequent) at most.
-PER_LANGUAGE, LANGUAGES = 300, 40
+#: Training documents of a language at most, and of all languages together: where there are very many languages, each has fewer.
+PER_LANGUAGE, ALL_LANGUAGES = 300, 60_000
 #: Families of languages, by ISO 639-1 code: fixed values. A language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb",
@@ -128,14 +128,16 @@ def held_out():
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """(lang, text): up to PER_LANGUAGE documents of each of the LANGUAGES most frequent values of lang, by a hash of doc_id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    # a hash thins each language to about twice the wanted number before any rows of one meet
+    """(lang, text): up to PER_LANGUAGE documents of each value of lang, by a hash of doc_id; one of each at least."""
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    sizes = known.groupBy("lang").count()
+    per = max(1, min(PER_LANGUAGE, ALL_LANGUAGES // max(1, sizes.count())))
+    # a hash thins each language to about twice the wanted number before any rows of one meet; one that has few keeps all
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(most), "lang").where(F.col("place").cast("double") * F.col("count") < 2.0 * PER_LANGUAGE * (1 << 30))
+    some = known.select("doc_id", "lang", place.alias("place")).join(sizes, "lang").where((F.col("place").cast("double") * F.col("count") < 2.0 * per * (1 << 30)) | (F.col("count") <= 20))
     spread = Window.partitionBy("lang").orderBy("place", "doc_id")
-    ids = some.withColumn("n", F.row_number().over(spread)).where(F.col("n") <= PER_LANGUAGE).select("doc_id", F.col("lang").alias("l"))
+    ids = some.withColumn("n", F.row_number().over(spread)).where(F.col("n") <= per).select("doc_id", F.col("lang").alias("l"))
+    # at most ALL_LANGUAGES ids, or one of each language
     return known.join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").where("lang = l").select("lang", "text")
 
 
@@ -143,7 +145,9 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of docs (doc_id, text, lang).
 
     A text that is null or has no letter is ``und`` with score 0. Without any labelled row that may be
-    learned from, every text is ``und``. lang serves training only. Repeated rows give repeated results;
+    learned from, every text is ``und``. lang serves training only; every language of a training document is
+    learned. Of languages that win as many duels the one with the larger margins is told, then the first in
+    order. A very long text is weighed as a whole. Repeated rows give repeated results;
     an empty table none; other columns are left aside.
     """
     rows = training_sample(docs).toArrow()
