@@ -1,11 +1,13 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree (end tags that HTML leaves out are implied). Elements that are never the article -
-menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments,
-hidden parts - are cut by tag, role and class. Each paragraph of what is left passes points for its
-length and its commas to its ancestors, the nearest most; an element's points are discounted by the
-share of its text that is inside of links. The best container is kept, with the siblings that score
-close to it or are paragraphs or headings themselves.
+A page becomes a tree (end tags that HTML leaves out are implied). Elements that are certainly never the
+article - menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments, hidden parts - are cut by their tag or by what a class, id or role of theirs says as a whole.
+Each paragraph of what is left passes points for its length and its commas to its ancestors, the nearest
+most; an element's points are discounted by the share of its text that is inside of links; being an
+``article`` or ``main``, or being called one, is worth some points and no more. The best container is
+kept, with the siblings that score close to it or are paragraphs or headings themselves, and so with the
+siblings of what holds it, up to the article that it is in.
 """
 
 from __future__ import annotations
@@ -17,19 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import tidy
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of the key ends an open element of the values, up to the nearest of SCOPE.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead"), "option": ("option",)}
 SCOPE = frozenset("table ul ol dl select body html article section div main aside".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|head"
-#: Tags that are never part of an article, and words of class, id and role that mark such elements.
+#: Tags that are never part of an article.
 CUT_TAGS = frozenset("nav footer aside form button dialog menu input label fieldset".split())
-CUT_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottom sidebar aside rail ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo "
-    "promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments "
-    "disqus reply replies respond discussion form search login widget widgets pagination pager toolbar skip copyright legal disclaimer contentinfo complementary dialog hidden".split()
-)
+#: Words of a class, id or role that say so wherever they stand in it, unless a word beside them says that they are about something else.
+TELLING = frozenset("nav navbar navigation menubar breadcrumb breadcrumbs sidebar ad ads adv advert adverts advertisement advertising adsense sponsored cookie cookies consent gdpr newsletter sharing related recommended comment comments disqus contentinfo".split())
+ABOUT = frozenset("has no with without open closed enabled disabled in is body blog post entry article section main".split())
+#: Words that say so together with each other or with those of PLAIN, when a class, id or role has no other words.
+CALLED = TELLING | frozenset("menu header masthead topbar footer foot rail promo promotion banner sponsor sponsors notice notices alert alerts popup modal overlay subscribe subscription signup share social recommendations reply replies respond form search login widget widgets pagination pager toolbar skip copyright legal disclaimer complementary dialog hidden".split())
+PLAIN = frozenset("site page global top bottom left right bar box list container wrapper wrap block area inner outer slot unit links link buttons button icons media policy form panel group item items primary secondary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD_WORDS = frozenset("article content body entry main post story text page blog".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)()[^>]*>|<[!?/][^>]*>",
@@ -40,33 +46,44 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "words", "gone", "chars", "linked", "points")
+    __slots__ = ("tag", "parent", "inside", "words", "named", "gone", "chars", "linked", "points")
 
-    def __init__(self, tag: str, parent: Node | None, words: frozenset, gone: bool):
-        self.tag, self.parent, self.words, self.gone = tag, parent, words, gone
+    def __init__(self, tag: str, parent: Node | None, words: frozenset, named: bool, gone: bool):
+        self.tag, self.parent, self.words, self.named, self.gone = tag, parent, words, named, gone
         self.inside: list[Node | str] = []
         self.chars = self.linked = 0
         self.points = 0.0
 
 
-def marks(attributes: str) -> tuple[frozenset, bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+def names_cut(name: list[str], text: bool) -> bool:
+    """Whether the words of one class, id or role say that an element is never the article; of a paragraph or heading (``text``) only a single word does."""
+    if text:
+        return len(name) == 1 and name[0] in TELLING
+    words = frozenset(name)
+    return bool(words & TELLING and not words & ABOUT or words & CALLED and words <= CALLED | PLAIN or words & {"comment", "comments"} and not words & ABOUT - {"blog", "post", "entry", "article", "section"})
+
+
+def marks(tag: str, attributes: str) -> tuple[frozenset, bool, bool]:
+    """Words of class, id and role, whether one of these says that it is never the article, and whether the element is hidden."""
     words: set[str] = set()
-    hidden = False
+    named = hidden = False
     if attributes.strip():
         for name, *values in _MARK.findall(attributes):
             value, name = values[0] or values[1] or values[2], name.lower()
             if name in ("class", "id", "role"):
-                words.update(w.lower() for w in _WORD.findall(value))
+                for one in value.split():
+                    own = [w.lower() for w in _WORD.findall(one)]
+                    words.update(own)
+                    named |= names_cut(own, tag in HEADINGS or tag == "p")
             elif name == "style":
                 hidden |= "display:none" in value.replace(" ", "").lower()
             else:
                 hidden |= value.lower() != "false"
-    return frozenset(words), hidden
+    return frozenset(words), named, hidden
 
 
 def parse(page: str) -> Node:
-    top = here = Node("html", None, frozenset(), False)
+    top = here = Node("html", None, frozenset(), False, False)
     at, end = 0, page.rfind(">") + 1  # no tag ends beyond the last bracket
     for found in _TOKEN.finditer(page, 0, end):
         if found.start() > at:
@@ -102,8 +119,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        words, hidden = marks(found[4] or "")
-        node = Node(tag, here, words, hidden)
+        node = Node(tag, here, *marks(tag, found[4] or ""))
         here.inside.append(node)
         if tag not in VOID:
             here = node
@@ -113,24 +129,25 @@ def parse(page: str) -> Node:
 
 
 def cut(top: Node) -> None:
-    """Mark what is never the article; what holds the article or is inside of it by a heading stays."""
+    """Mark what is certainly never the article. What holds an article stays, and so does what holds the first heading but a header of the page."""
     order = [top]
     for node in order:
         order.extend(x for x in node.inside if not isinstance(x, str))
     holds: set[int] = set()
     heads: set[int] = set()
     for node in reversed(order):
-        if node.tag in ("article", "main") and not node.words & CUT_WORDS or id(node) in holds:
+        if node.tag in ("article", "main") and not node.named or id(node) in holds:
             holds.add(id(node.parent))
         if node.tag == "h1" or id(node) in heads:
             heads.add(id(node.parent))
-    within = {id(n) for n in order if n.tag in ("article", "main")}
+    within = {id(n) for n in order if n.tag in ("article", "main", "section")}
     for node in order:
-        if node.parent is not None and id(node.parent) in within:
+        if node.parent is None or id(node) in holds:
+            continue
+        if id(node.parent) in within:
             within.add(id(node))
-        titled = id(node) in within and id(node) in heads
-        marked = node.tag in CUT_TAGS or node.tag == "header" and not titled or node.words & CUT_WORDS and not titled
-        if marked and id(node) not in holds and node.tag not in ("main", "html") and node.parent is not None:
+        titled = id(node) in heads
+        if node.tag in CUT_TAGS or node.tag == "header" and id(node) not in within or node.named and not (titled and node.tag != "header" and not node.words & TELLING):
             node.gone = True
 
 
@@ -187,24 +204,27 @@ def main_parts(top: Node) -> list[Node]:
                 to.points += points / (1, 2, 6, 9)[level]
                 to = to.parent
     rate = lambda n: n.points * (1 - n.linked / n.chars) if n.chars else 0.0
+    # of equal scores the element that ends first
     best = max(scored, key=rate, default=None)
     if best is None:
         # no paragraph of any length: the element that says it is the article, or all that is left
-        best = next((n for n in reversed(order) if n.tag in ("article", "main")), top)
-    above = best
-    while above is not None:
-        if above.tag in ("article", "main"):
-            best = above
-        above = above.parent
-    if best.parent is None or best.tag in ("article", "main"):
-        return [best]
-    least, kept = max(10.0, rate(best) / 5), []
-    for x in best.parent.inside:
-        if isinstance(x, str) or x.gone:
-            continue
-        light = x.chars and x.linked / x.chars < 0.25
-        if x is best or x.points and rate(x) >= least or light and x.tag in ("p", "h1", "h2", "h3"):
-            kept.append(x)
+        return [next((n for n in reversed(order) if n.tag in ("article", "main")), top)]
+    kept, node, least = [best], best, max(10.0, rate(best) / 5)
+    for _ in range(3):
+        if node.parent is None:
+            break
+        whole, within = node.tag in ("article", "main"), node.parent.tag in ("article", "main")
+        beside: list[Node] = []
+        for x in node.parent.inside:
+            if x is node:
+                beside.extend(kept)
+            elif not isinstance(x, str) and not x.gone and x.chars and x.linked / x.chars < 0.25:
+                # beside an article only what scores; within one whatever isn't links
+                if within or x.points and rate(x) >= least or not whole and (x.tag in HEADINGS or x.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure")):
+                    beside.append(x)
+        kept, node = beside, node.parent
+        if whole or within:
+            break
     return kept
 
 
@@ -243,7 +263,8 @@ def main_text(page: str) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages (page_id, url, html).
 
-    Null or empty html gives the empty text. Rows are independent: repeated rows give repeated results,
+    Null or empty html gives the empty text; a very long page is one tree, in memory of its size. Of equal scores the
+    element that ends first in the page is taken. Rows are independent: repeated rows give repeated results,
     no rows none; nulls in page_id and url pass; other columns are left aside. Broken markup never fails.
     """
 
@@ -252,4 +273,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(tidy(run), "page_id bigint, url string, text string, n_chars bigint")
