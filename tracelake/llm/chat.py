@@ -58,11 +58,13 @@ def format_conversations(rows: DataFrame, trained: str = "assistant") -> DataFra
     turn the code points before its loss text and those of the loss text, 0 for turns not of role
     ``trained``), escaped (whether the second rendering was needed), exact (recovered equals source).
     Turns are in order of (turn, role, text), nulls first, so ties are settled and repeated rows stay.
-    Null text and null role are empty. Rows with a null conv_id form one conversation. A conversation's
-    turns meet in one row, as its text does. No rows give no rows; other columns are left aside.
+    Null text and null role are empty. A row with a null conv_id is a conversation of its own. A
+    conversation's turns meet in one row, as its text does. No rows give no rows; other columns are left aside.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    source = rows.groupBy("conv_id").agg(ordered.alias("all")).select("conv_id", F.transform("all", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("source"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    known = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("all"))
+    alone = rows.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("all"))
+    source = known.unionByName(alone).select("conv_id", F.transform("all", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("source"))
     plain = source.withColumn("plain", render(F.col("source"), lambda text: text))
     conflict = plain.withColumn("escaped", ~F.equal_null(parse(F.col("plain")), F.col("source")))
     formatted = conflict.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), escape)).otherwise(F.col("plain"))).drop("plain")
@@ -77,16 +79,29 @@ def format_conversations(rows: DataFrame, trained: str = "assistant") -> DataFra
     return back.select("conv_id", "formatted", "turns", F.transform("turns", run).alias("mask"), "escaped", F.equal_null(F.col("turns"), F.col("source")).alias("exact"))
 
 
-def digests(done: DataFrame, trained: str = "assistant") -> DataFrame:
-    """The digest columns of formatted conversations, from what was read back."""
+def loss_text(formatted: Column, mask: Column, escaped: Column) -> Column:
+    """What the mask cuts out of the rendered text, turn by turn, unescaped and joined."""
+    at = F.aggregate(mask, F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,take:int>>").alias("cuts")), _next_cut, lambda acc: acc.cuts)
+    pieces = F.transform(at, lambda c: F.substr(formatted, c.at, c["take"]))
+    return F.array_join(F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.when(escaped, unescape(p)).otherwise(p)), "")
+
+
+def _next_cut(acc: Column, m: Column) -> Column:
+    begin = acc.at + m.skip
+    cuts = F.when(m["take"] > 0, F.array_append(acc.cuts, F.struct(begin.alias("at"), m["take"].alias("take")))).otherwise(acc.cuts)
+    return F.struct((begin + m["take"] + m.after).alias("at"), cuts.alias("cuts"))
+
+
+def digests(done: DataFrame) -> DataFrame:
+    """The digest columns of formatted conversations, from what was read back; the loss text is cut out of ``formatted`` by the mask."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == trained), lambda t: t.text), "")
+    done = done.select("conv_id", "formatted", "turns", "exact", loss_text(F.col("formatted"), F.col("mask"), F.col("escaped")).alias("loss"))
     return done.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("bigint").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
         "exact",
     )
