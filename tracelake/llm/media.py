@@ -16,37 +16,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import tidy
+
 SIDE = 64
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 to an array (height, width) or (height, width, 3), 8 or 16 bits; bitmaps become 0 (black) and 255."""
+    """P1 to P6 to an array (height, width) or (height, width, 3), 8 or 16 bits; bitmaps become 0 (black) and 255.
+
+    Samples are scaled from their own largest value to 255 (65535 where that is over 255). ValueError for what the
+    format doesn't allow: sizes of more than nine digits or more samples than the data has, samples over the largest value.
+    """
     kind, at = data[:2], 2
     if not re.fullmatch(rb"P[1-6]", kind):
         raise ValueError("not a Netpbm image")
     sizes = []
     for _ in range(2 if kind in (b"P1", b"P4") else 3):
         found = _TOKEN.match(data, at)
-        if not found:
-            raise ValueError("Netpbm header ends early")
+        if not found or not re.fullmatch(rb"[0-9]{1,9}", found[1]):
+            raise ValueError("not a Netpbm header")
         sizes.append(int(found[1]))
         at = found.end()
     width, height, top = *sizes[:2], (sizes[2] if len(sizes) > 2 else 1)
     planes = 3 if kind in (b"P3", b"P6") else 1
+    count, left = width * height * planes, len(data) - at
+    if not 0 < top < 1 << 16 or not count or count > left * (8 if kind == b"P4" else 1):
+        raise ValueError("not the size or the largest value of a Netpbm image")
     shape = (height, width, planes)[: 3 if planes > 1 else 2]
     if kind == b"P1":
-        bits = np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:])[: width * height], np.uint8) - 48
-        return ((1 - bits) * 255).astype(np.uint8).reshape(shape)
+        bits = np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:])[:count], np.uint8)
+        if len(bits) < count or ((bits != 48) & (bits != 49)).any():
+            raise ValueError("not the bits of a bitmap")
+        return ((49 - bits) * 255).astype(np.uint8).reshape(shape)
     if kind == b"P4":
         rows = np.frombuffer(data, np.uint8, height * ((width + 7) // 8), at + 1).reshape(height, -1)
         return ((1 - np.unpackbits(rows, axis=1)[:, :width]) * 255).astype(np.uint8)
     wide = top > 255
     if kind in (b"P2", b"P3"):
-        values = np.array(re.sub(rb"#[^\n]*\n", b"\n", data[at:]).split()[: width * height * planes], dtype=np.int64)
-        return values.astype(np.uint16 if wide else np.uint8).reshape(shape)
-    pixels = np.frombuffer(data, ">u2" if wide else np.uint8, width * height * planes, at + 1)
-    return pixels.astype(np.uint16).reshape(shape) if wide else pixels.reshape(shape)
+        words = re.sub(rb"#[^\n]*\n", b"\n", data[at:]).split()[:count]
+        if not all(re.fullmatch(rb"[0-9]{1,5}", w) for w in words):
+            raise ValueError("not a sample")
+        values = np.array(words, dtype=np.int64)
+    else:
+        values = np.frombuffer(data, ">u2" if wide else np.uint8, count, at + 1)
+    if len(values) < count or int(values.max()) > top:
+        raise ValueError("too few samples, or one over the largest value")
+    if top not in (255, 65535):
+        most = 65535 if wide else 255
+        values = (values.astype(np.int64) * most + top // 2) // top
+    return values.astype(np.uint16 if wide else np.uint8).reshape(shape)
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -54,19 +73,27 @@ def encode_pgm(pixels: np.ndarray) -> bytes:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (palette), 24 or 32 bits to an array (height, width, 3), or (height, width) for grey palettes."""
-    if data[:2] != b"BM":
+    """Uncompressed BMP of 8 (palette), 24 or 32 bits to an array (height, width, 3), or (height, width) for grey palettes.
+
+    Of bit masks (kind 3) only the usual ones of 32 bits are taken. ValueError for anything else.
+    """
+    if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, head, width, height = (int.from_bytes(data[a : a + 4], "little", signed=True) for a in (10, 14, 18, 22))
     depth, packed = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
-    if depth not in (8, 24, 32) or packed not in (0, 3):
+    masks = tuple(int.from_bytes(data[a : a + 4], "little") for a in (54, 58, 62))
+    if depth not in (8, 24, 32) or not (packed == 0 or packed == 3 and depth == 32 and masks == (0xFF0000, 0xFF00, 0xFF)):
         raise ValueError("unsupported BMP")
     stride = (width * depth // 8 + 3) // 4 * 4
+    if width <= 0 or height == 0 or start < 54 or head < 40 or stride * abs(height) > len(data) - start:
+        raise ValueError("not the size of a BMP image")
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     rows = rows if height < 0 else rows[::-1]
     if depth > 8:
         return rows[:, : width * depth // 8].reshape(abs(height), width, depth // 8)[:, :, 2::-1]
     colours = int.from_bytes(data[46:50], "little") or 256
+    if colours > 256 or 14 + head + colours * 4 > len(data) or int(rows[:, :width].max()) >= colours:
+        raise ValueError("not the palette of a BMP image")
     palette = np.frombuffer(data, np.uint8, colours * 4, 14 + head).reshape(-1, 4)[:, 2::-1]
     grey = (palette == palette[:, :1]).all()
     return (palette[:, 0] if grey else palette)[rows[:, :width]]
@@ -134,7 +161,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             texts = [x.as_py() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([text_image(t) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, media binary")
 
 
 def media_columns(media: DataFrame, *, tile: int = 32) -> DataFrame:
@@ -143,7 +170,8 @@ def media_columns(media: DataFrame, *, tile: int = 32) -> DataFrame:
     Adds width, height, channels (int), tile (binary: the image area-resized to tile x tile grey 8-bit
     samples, in NPY format), dhash (16 hexadecimal digits), payload_sha256, payload_bytes and tail_crc32
     (of the decoded samples; the last 64) and media_sha256. Null, empty or unreadable media give nulls
-    in these columns; media_sha256 is null only for null.
+    in these columns; media_sha256 is null only for null. Rows are independent, each decoded whole, in memory of its
+    size; repeated rows give repeated results, no rows none.
     """
     made = [("width", "int", pa.int32()), ("height", "int", pa.int32()), ("channels", "int", pa.int32()), ("tile", "binary", pa.binary()), ("dhash", "string", pa.string()), ("payload_sha256", "string", pa.string()), ("payload_bytes", "bigint", pa.int64()), ("tail_crc32", "bigint", pa.int64()), ("media_bytes", "bigint", pa.int64()), ("media_sha256", "string", pa.string())]
     new = {"media", *(n for n, _, _ in made)}
@@ -170,4 +198,4 @@ def media_columns(media: DataFrame, *, tile: int = 32) -> DataFrame:
             rows = [describe(x.as_py()) for x in batch.column(len(rest))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *[pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(made)]], names=[f"c{i}" for i in range(len(rest))] + [n for n, _, _ in made])
 
-    return source.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], *[n for n, _, _ in made])
+    return source.mapInArrow(tidy(run), schema).select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(rest)], *[n for n, _, _ in made])
