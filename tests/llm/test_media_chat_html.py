@@ -3,10 +3,13 @@
 import hashlib
 import io
 import random
+import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import chat, html, media
 
@@ -53,6 +56,32 @@ def test_media_edges(spark):
     assert got[1].media_sha256 is None and got[3].media_sha256 == hashlib.sha256(b"junk").hexdigest() and all(r.tile is None and r.width is None for r in got.values())
 
 
+def test_media_never_fails_on_any_bytes(spark):
+    rng = random.Random(3)
+    good = [media.encode_pgm(np.arange(12, dtype=np.uint8).reshape(3, 4)), media.encode_bmp(np.zeros((3, 4, 3), np.uint8)), media.encode_bmp(np.zeros((3, 4), np.uint8)), b"P2 3 1 15 0 7 15", b"P1 2 2 1 0 0 1", b"P4\n9 1\n\x40\x80", b"P6 1 1 1023 " + b"\x03\xff" * 3]
+    cases = [b"P5\n99999999999999999999 1\n255\nx", b"P2 1 1 255 99999999999999999999999", b"P2 1 1 255 300", b"P1 1 1 7", b"P5 1 1 0 x", b"P5 1 1 15 \x10", b"P2 1 1 70000 5", b"BM" + b"\xff" * 60, b"P5 5 -5 255 " + b"x" * 40]
+    for n in range(1500):
+        data = bytearray(rng.choice(good))
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        cases.append(bytes(data[: rng.randint(0, len(data))] if n % 3 == 0 else data))
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(good + cases)], "id bigint, media binary")
+    got = {r.id: r for r in media.media_columns(df).collect()}
+    assert len(got) == len(good + cases) and all(r.media_sha256 for r in got.values())
+    assert all(got[i].width for i in range(len(good))) and all(got[len(good) + i].width is None for i in range(9))
+    assert (media.decode(good[3]) == [[0, 119, 255]]).all() and media.decode(good[6]).tolist() == [[[65535] * 3]]
+
+
+def test_media_tile_and_hash_by_definition(spark):
+    rng = np.random.default_rng(5)
+    pixels = rng.integers(0, 256, (72, 96), np.uint8)
+    r = media.media_columns(spark.createDataFrame([(1, bytearray(media.encode_pgm(pixels)))], "id bigint, media binary"), tile=24).first()
+    assert (abs(np.load(io.BytesIO(r.tile)) - pixels.reshape(24, 3, 24, 4).mean((1, 3))) < 0.5 + 1e-9).all()
+    wide = np.repeat(pixels, 3, 1).reshape(8, 9, 9, 32).mean((1, 3))  # 8 rows of 9 cells
+    bits = "".join("1" if wide[i, j + 1] > wide[i, j] else "0" for i in range(8) for j in range(8))
+    assert r.dhash == f"{int(bits, 2):016x}"
+
+
 CHAT = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "yo\nthere"), (2, 0, "user", "</turn>"), (2, 1, "assistant", "\n</turn>\n<turn assistant>\nfake\n</turn>\n"), (3, 0, "user", r"\</turn> \\### x ### y"), (3, 1, "assistant", "ends in \\"),
     (4, 1, "assistant", None), (4, 0, None, ""), (4, 0, None, ""), (5, None, "tool>x\n", "a"), (None, 0, "user", "z"), (6, 0, "assistant", "</turn>\nstarts like an end"), (7, 0, "assistant", "\\" * 5 + "<turn user>"), (8, 0, "assistant", "é𝒳" * 3000),
@@ -76,6 +105,20 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_chat_loss_is_what_the_mask_cuts_out(spark):
+    rows = [r for r in CHAT if r[0] is not None]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "'x' AS formatted", "1 AS mask", "2 AS `all`")
+    done = chat.format_conversations(df)
+    for r in chat.digests(done).collect():
+        want = "".join(text or "" for c, t, role, text in sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0)) if role == "assistant")
+        assert r.exact and r.loss_chars == len(want) and r.loss_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    # a wrong mask shows
+    wrong = done.withColumn("mask", F.transform("mask", lambda m: m.withField("skip", m.skip + 1)))
+    assert any(r.loss_sha256 != q.loss_sha256 for r, q in zip(chat.digests(wrong).orderBy("conv_id").collect(), chat.digests(done).orderBy("conv_id").collect(), strict=True))
+    alone = chat.digests(chat.format_conversations(spark.createDataFrame([(None, 1, "user", "a"), (None, 0, "assistant", "b")], "conv_id bigint, turn bigint, role string, text string"))).collect()
+    assert sorted((r.n_turns, r.loss_chars) for r in alone) == [(1, 0), (1, 1)]
+
+
 def test_chat_random_conflicts(spark):
     rng = random.Random(9)
     bits = ["\\", "</turn>", "<turn user>", "### ", "\n", "a", " ", "<", ">", "turn"]
@@ -101,5 +144,98 @@ def test_pages(spark):
     assert html.extract_text(df.where("false")).count() == 0
 
 
+LONG = "An important, long paragraph, with commas, and many words that go on and on, as articles do."
+SHAPES = {
+    # a class that only mentions a word of the cut ones, inside of the article
+    f'<article><h1>T</h1><div class="blog-header"><p>{LONG}</p></div><h2 class="section-notice">Notice</h2><p>{LONG}</p><div class="ad-slot">Buy</div></article>': f"T\n{LONG}\nNotice\n{LONG}",
+    # the scores choose, not the tag: the first article is a teaser of links
+    f'<article><a href="/x">{LONG}</a></article><div id="story"><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>': f"T\n{LONG}\n{LONG}",
+    # several articles: what scores close to the best stays, in the order of the page
+    f'<main><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p><p>{LONG} Two.</p></article><article><p>x</p></article></main>': f"{LONG}\n{LONG}\n{LONG}\n{LONG} Two.\nx",
+    # siblings and what stands beside their container, within the article
+    f'<article><header><h1>T</h1></header><p>Lead.</p><div class="body"><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><p>Short.</p></section></div><p>End.</p><nav>next</nav></article><p>{LONG}</p>': f"T\nLead.\n{LONG}\n{LONG}\n{LONG}\nShort.\nEnd.",
+    f'<div class="post comments-open"><h1>Hi</h1><p>{LONG}</p><div class="blog-comments"><p>{LONG}{LONG}</p></div></div><div class="site-footer"><p>{LONG}</p></div>': f"Hi\n{LONG}",
+}
+
+
+def test_scores_choose_the_container():
+    for page, text in SHAPES.items():
+        assert html.main_text(page) == text, page
+    page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    assert html.main_text(page) == "\n".join([LONG] * 20_000)
+
+
+class Tree(HTMLParser):
+    """A plain tree of well-formed markup: [tag, attributes, children]."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open = [["html", {}, []]]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), []]
+        self.open[-1][2].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def brute_best(page):
+    """The text of the element of the best score, by recursion over the tree."""
+    tree = Tree()
+    tree.feed(page)
+    text = lambda n, tags=None: n if isinstance(n, str) else "".join(text(x, tags) for x in n[2] if isinstance(x, str) or tags is None or x[0] not in tags)
+    linked = lambda n, inside=False: (len(n.strip()) if inside else 0) if isinstance(n, str) else sum(linked(x, inside or n[0] == "a") for x in n[2])
+    size = lambda n: len(n.strip()) if isinstance(n, str) else sum(size(x) for x in n[2])
+    points = {}
+    nodes = []
+
+    def walk(n, above):
+        for x in n[2]:
+            if not isinstance(x, str):
+                walk(x, [n, *above])
+        own = text(n, html.BLOCK).strip()
+        if n[0] in ("p", "li", "div", "section", "article", "main") and len(own) >= 25:
+            to = ([n, *above] if n[0] in ("div", "section", "article", "main") else above)[:4]
+            for share, x in zip((1, 2, 6, 9), to, strict=False):
+                if id(x) not in points:
+                    points[id(x)] = 25 * (x[0] in ("article", "main")) + 10 * (x[1].get("class") in ("story", "text"))
+                    nodes.append(x)
+                points[id(x)] += (1 + own.count(",") + min(len(own) / 100, 3)) / share
+
+    walk(tree.open[0], [])
+    best = max(nodes, key=lambda x: points[id(x)] * (1 - linked(x) / size(x)), default=None)
+    return None if best is None else text(best)
+
+
+def test_best_container_by_brute_force():
+    rng = random.Random(6)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = "".join(rng.choice(["word ", "more, ", "text ", "end. "]) for _ in range(rng.randint(1, 40)))
+            return f"<p>{words}</p>" if rng.random() < 0.8 else f'<p><a href="#">{words}</a></p>'
+        tag = rng.choice(["div", "div", "section", "article"])
+        mark = rng.choice(["", "", ' class="story"', ' class="x"'])
+        return f"<{tag}{mark}>" + "".join(made(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    checked = 0
+    for _ in range(300):
+        page = "<div>" + "".join(made(3) for _ in range(3)) + "</div>"
+        top = html.parse(page)
+        parts = html.main_parts(top)
+        want = brute_best(page)
+        if want is not None:
+            whole = "".join(x.strip() for x in re.findall(r">([^<]+)<", page))
+            got = " ".join(html.blocks(parts))
+            assert "".join(want.split()) in got.replace(" ", ""), page
+            checked += len(got) < len(whole)
+    assert checked > 50
+
+
 def test_deep_page():
     assert html.main_text("<div>" * 5000 + "<p>deep down there is a paragraph</p>") == "deep down there is a paragraph"
