@@ -20,8 +20,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Settings for rows that are whole texts, where the session has none of its own: rows that a scan decodes at a time, and
+#: rows and bytes that go to a Python worker at a time. Spark's defaults suit short rows; here they would be 50 MB and more.
+TEXT_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def for_texts(spark: SparkSession) -> None:
+    for key, value in TEXT_ROWS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, whatever store the path names."""
+    for_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +54,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     The files are deleted when the application ends.
     """
     spark = df.sparkSession
+    for_texts(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -129,6 +142,7 @@ def annotate(df: DataFrame, inputs: list, made: list[tuple[str, T.DataType]], va
     it is not returned. All columns of ``df`` pass but those of ``drop``, whatever their names; one of a made
     name is replaced. ``key`` names the model that the worker keeps.
     """
+    for_texts(df.sparkSession)
     new = {name for k, (name, _) in enumerate(made) if k != keep} | set(drop)
     rest = [f for f in df.schema.fields if f.name not in new]
     n, m = len(rest), len(inputs)
