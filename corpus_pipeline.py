@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, decontaminate, lines, quality, similar
-from tracelake.llm.common import stored, table
+from tracelake.llm.common import discard, mark, stored, sweep, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,12 +59,29 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
 
 
+#: What the stage before this one has stored, apart from its result.
+_BEFORE: list[str] = []
+
+
+def _stage(function):
+    """A stage, which first deletes what the one before has stored for itself: its result is written by now."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, [p for p in mark() if p not in _BEFORE], [])
+        before = mark()
+        out = function(spark, docs, sf_dir)
+        _BEFORE[:] = [p for p in mark() if p not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("line dedup", lines_stage),
-    ("SimHash near-dedup", near_duplicates_stage),
-    ("benchmark decontamination", decontaminate_stage),
-    ("byte-level BPE", tokens_stage),
+    ("quality classifier", _stage(quality_stage)),
+    ("line dedup", _stage(lines_stage)),
+    ("SimHash near-dedup", _stage(near_duplicates_stage)),
+    ("benchmark decontamination", _stage(decontaminate_stage)),
+    ("byte-level BPE", _stage(tokens_stage)),
 ]
 
 #: SQL can express neither the classifier nor the transducer; tests hold the pipeline against a brute-force version.
@@ -75,7 +92,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between stages the rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        read, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = stored(docs, f"stage{number}")
+            before, docs = read, stored(docs, f"stage{number}")
+            discard(before)
     return docs

@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files are deleted when the application ends.
+    The files are deleted when :func:`discard` or :func:`sweep` says so, or when the application ends.
     """
     spark = df.sparkSession
     for_texts(spark)
@@ -60,7 +60,51 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done.stored_at = path
+    _STORED.append(path)
+    return done
+
+
+#: Stored tables that are still there, the oldest first.
+_STORED: list[str] = []
+
+
+def _delete(spark: SparkSession, paths: list[str], shuffles: bool = True) -> None:
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _STORED.remove(path)
+    if shuffles:  # their files go when the driver's handles on them do
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
+    """Delete stored tables that nothing reads any more, and the shuffle files of what is done."""
+    found = [t.stored_at for t in tables if getattr(t, "stored_at", None) in _STORED]
+    if found:
+        _delete(tables[0].sparkSession, found, shuffles)
+
+
+def mark() -> list[str]:
+    """The stored tables as they are now, for :func:`sweep`."""
+    return list(_STORED)
+
+
+def sweep(spark: SparkSession, since: list[str], keep: list[str]) -> None:
+    """Delete the tables stored after the mark ``since``, but for those in ``keep``."""
+    if found := [p for p in _STORED if p not in since and p not in keep]:
+        _delete(spark, found)
+
+
+#: Narrow rows (a few numbers each) that are sent to all executors instead of dealing out the other side by key.
+SMALL = 1 << 20
+
+
+def sent_if_small(narrow: DataFrame, rows: int | None = None) -> DataFrame:
+    """``narrow``, marked to be broadcast if it has at most SMALL rows (some 50 MB); ``rows`` is their number where it is known."""
+    return F.broadcast(narrow) if (narrow.count() if rows is None else rows) <= SMALL else narrow
 
 
 def ascii_lower(col):

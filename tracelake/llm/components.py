@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stored, tidy
+from tracelake.llm.common import discard, stored, tidy
 
 
 #: Nodes that a task holds at one time; what it has found of links between them is handed on when there are more.
@@ -71,6 +71,7 @@ def components(links: DataFrame) -> DataFrame:
         after = stored(small.distinct(), "links")
         # done when every node hangs on one root that hangs on none
         moved = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() or after.groupBy("b").count().where("count > 1").limit(1).count()
+        discard(star, large, shuffles=False)
         star = after
         if not moved:
             break

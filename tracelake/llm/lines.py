@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import ASCII_SPACE, ascii_lower, fresh, stored
+from tracelake.llm.common import ASCII_SPACE, ascii_lower, discard, fresh, stored
 
 WORD = 63
 #: Frequent hashes are looked for among one in THIN rows, where there are more than that many times FEW.
@@ -57,6 +57,7 @@ def dropped_lines(docs: DataFrame, least: int, documents: int) -> DataFrame:
     run = Window.partitionBy("h1", "h2", "cell")
     streamed = dealt.repartitionByRange(parts, "h1", "h2", "cell").withColumn("place", F.dense_rank().over(run.orderBy(F.desc("doc_id")))).withColumn("n", F.max("place").over(run))
     seen = stored(streamed.where("hot OR n > 1"), "repeated-lines")
+    discard(entries, hot)
     cold = seen.where(~F.col("hot") & (F.col("place") > 1) & (F.col("n") >= documents))
     edges = seen.where("hot AND place = 1").groupBy("h1", "h2", "cell").agg(F.max("n").alias("n"), F.max("doc_id").alias("last"))
     edges = edges.groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.max("last").alias("last")).where(F.col("total") >= documents)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import simhash
-from tracelake.llm.common import spread_join, stored, tidy
+from tracelake.llm.common import discard, sent_if_small, spread_join, stored, tidy
 from tracelake.llm.components import components
 
 #: Documents in which common shingles are looked for, and in how many of them a shingle is common. Decides the order only.
@@ -103,7 +103,9 @@ def prefixes(docs: DataFrame, common: np.ndarray, words: int, threshold: float)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar, by their words."""
+    """The pairs (a, b) of ids whose texts are similar, by their words. Only texts that are in a pair are dealt out."""
+    within = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    docs = docs.join(sent_if_small(within), "id", "left_semi")
     first = pairs.join(docs, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("x"))
     both = first.join(docs, F.col("b") == F.col("id")).select("a", "b", "x", F.col("text").alias("y"))
 
@@ -155,38 +157,49 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
     # equal word sequences are one class, whose text is that of its least document
     rows = known.mapInArrow(tidy(named), "doc_id bigint, text string, id bigint")
     ids = stored(rows.select("doc_id", "id"), "ids")
+    total = ids.count()
     classes = stored(ids.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    texts = stored(rows.join(classes.select("id", F.col("least").alias("doc_id")), ["id", "doc_id"], "left_semi").select("id", "text"), "texts")
+    copies = stored(spread_join(ids, classes, ["id"], "n", total).where("doc_id <> least").select("doc_id", "id"), "copies")
+    texts = stored(rows.join(sent_if_small(copies.distinct()), ["doc_id", "id"], "left_anti").select("id", "text"), "texts")
+    discard(copies)
     entries = stored(prefixes(texts, common_shingles(texts, words), words, threshold), "prefixes")
-    held = stored(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1"), "shared")
-    shared = stored(spread_join(entries, held, ["key"], "m", entries.count()), "shared")
+    n_entries = entries.count()
+    held = stored(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1"), "held")
+    shared = stored(spread_join(entries, held, ["key"], "m", n_entries), "shared")
+    discard(entries)
 
     # pairs by SimHash: of each class with the first of its fingerprint, and of the first of near fingerprints
     prints = stored(texts.mapInArrow(tidy(printed), "id bigint, f bigint"), "fingerprints")
-    lowest = stored(prints.groupBy("f").agg(F.min("id").alias("low"), F.count("*").alias("n")), "fingerprints")
-    equal = spread_join(prints, lowest, ["f"], "n", prints.count()).select(F.col("low").alias("a"), F.col("id").alias("b"))
+    lowest = stored(prints.groupBy("f").agg(F.min("id").alias("low"), F.count("*").alias("n")), "lowest")
+    equal = spread_join(prints, lowest, ["f"], "n", total).select(F.col("low").alias("a"), F.col("id").alias("b"))
     la, lb = lowest.select(F.col("f").alias("a"), F.col("low").alias("la")), lowest.select(F.col("f").alias("b"), F.col("low").alias("lb"))
     near = simhash.links(lowest.select("f"), distance).join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
     # and of each member of a shared shingle with the first
     leads = shared.where("id = lead").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    led = spread_join(shared.where("id > lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), leads.join(held.select("key", "m"), "key"), ["key"], "m", entries.count())
-    candidates = near.union(equal).union(possible(led, threshold)).where("a <> b").distinct()
-    links = stored(verified(stored(candidates, "candidates"), texts, words, threshold), "links")
+    led = spread_join(shared.where("id > lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), leads.join(held.select("key", "m"), "key"), ["key"], "m", n_entries)
+    candidates = stored(near.union(equal).union(possible(led, threshold)).where("a <> b").distinct(), "candidates")
+    discard(prints, lowest, held)
+    links = stored(verified(candidates, texts, words, threshold), "links")
+    discard(candidates)
     label = stored(components(links), "labels")
 
     # then all pairs of a shared shingle that are not in one group yet
-    own = shared.select("key", "id", "n", "pos").join(label, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+    own = shared.select("key", "id", "n", "pos").join(sent_if_small(label), F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
     own = stored(own, "labelled")
     mixed = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     left = stored(own.join(mixed, "key", "left_semi"), "mixed")
+    discard(shared, label, own)
     one = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     other = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
     sized = (F.col("na") >= threshold * F.col("nb") - 1e-6) & (F.col("nb") >= threshold * F.col("na") - 1e-6)
     met = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized)
-    more = stored(verified(stored(possible(met, threshold), "candidates"), texts, words, threshold), "links")
-    found = components(links.union(more))
-    found = stored(found, "components")
+    pairs = stored(possible(met, threshold), "candidates")
+    discard(left)
+    more = stored(verified(pairs, texts, words, threshold), "links")
+    discard(pairs, texts)
+    found = stored(components(links.union(more)), "components")
     low = stored(found.join(classes, found.node == classes.id).groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "lowest")
     linked = spread_join(found, low, ["root"], "size", found.count()).select(F.col("node").alias("id"), "component_id")
     final = stored(classes.join(linked, "id", "left").select("id", "n", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return spread_join(ids, final, ["id"], "n", ids.count()).select("doc_id", "component_id")
+    discard(links, more, found, low, classes)
+    return spread_join(ids, final, ["id"], "n", total).select("doc_id", "component_id")
