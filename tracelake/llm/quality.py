@@ -11,8 +11,8 @@ TEMPERATURE (it is drawn by its weight to the power 1 / TEMPERATURE), and the k
 number of documents whose weight reaches the cut that best parts labelled documents which the target model
 hasn't seen.
 
-Words are kept apart by 63-bit hashes. Pairs of words share buckets, a power of two of at least PAIRS for
-each document, so both models grow with the corpus.
+Words are kept apart by 63-bit hashes. Pairs of words share buckets, a power of two of at least one for every
+PAIRS documents, so both models grow with the corpus.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ DOCUMENTS, WORDS, PAIRED = 0, 1, 2
 HELD = 1 << 20
 #: What is added to all counts; standard errors by which ratios of words and of pairs are drawn to one; documents that must hold an n-gram.
 PRIOR, DOUBT, LEAST = 0.5, (1.25, 5.0), 8
-#: Buckets of pairs for each document, at least.
+#: Documents for each bucket of pairs, at most. (With more buckets tasks would hand on more rows than words.)
 PAIRS = 4
 #: Ratios sent out at one time (12 bytes each); more take more passes over the texts.
 BLOCK = 4_000_000
@@ -49,7 +49,7 @@ _TOP = np.uint64(1 << 63)
 
 def pair_bits(documents: int) -> int:
     """Bits of a bucket of pairs for so many documents."""
-    return max(12, (PAIRS * documents - 1).bit_length())
+    return max(12, (documents // PAIRS).bit_length())
 
 
 def grams(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:

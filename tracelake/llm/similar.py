@@ -7,8 +7,13 @@ further apart, the prefix filter: under any one order of all shingles, two sets
 one among the first n - ceil(s * n) + 1 of each. The order is by hash, shingles that a sample shows to
 be common coming last, so that a passage which many documents hold meets few of them.
 
+Before texts meet, sketches do: bit i of a sketch is the parity of the number of a document's shingles whose hash
+falls into bin i of SKETCH. Bits that differ are bins in which the two sets differ, so there are no more of
+them than shingles in which the sets differ, and a pair with more than its similarity allows is none. Pairs that
+are left meet once more by the counts of their shingles in as many bins as suit their size, in the same way.
+
 A group of n near copies costs no n * n pairs: first the members of each shared shingle are compared
-with the least of them, and then only pairs that are not yet in one group.
+with one of them, another for each shingle, and then only pairs that are not yet in one group.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from tracelake.llm.components import components
 
 #: Documents in which common shingles are looked for, and in how many of them a shingle is common. Decides the order only.
 SAMPLE, COMMON = 4000, 8
+#: Bits of a sketch, in words of 64.
+SKETCH = 512
 #: Rows of shingles or texts in one Arrow batch.
 CHUNK = 50_000
 
@@ -49,6 +56,31 @@ def prefix_size(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
 
 
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes in the bins, as SKETCH / 64 signed words."""
+    bins = keys >> np.uint64(64 - (SKETCH - 1).bit_length())
+    return np.packbits(np.bincount(bins.astype(np.int64), minlength=SKETCH) & 1 == 1).view(">i8").astype(np.int64)
+
+
+def bins(keys: np.ndarray) -> bytes:
+    """Numbers of hashes in the bins: a power of two of them, about one for four hashes, at least 64."""
+    width = max(6, (len(keys) // 4).bit_length())
+    return np.bincount((keys >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width).astype("<u4").tobytes()
+
+
+def least_apart(one: bytes, other: bytes) -> tuple[int, int]:
+    """In how many shingles two sets differ at least, by their bins, and how many both have together."""
+    a, b = sorted((np.frombuffer(x, "<u4").astype(np.int64) for x in (one, other)), key=len)
+    folded = b.reshape(len(a), -1).sum(1)
+    return int(np.abs(a - folded).sum()), int(a.sum() + b.sum())
+
+
+def alike(one: str, other: str, na, nb, threshold: float):
+    """Whether the sketches in two columns allow the similarity of sets of na and nb shingles."""
+    apart = sum((F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
+    return apart <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
 def similarity(a: set[bytes], b: set[bytes]) -> float:
     shared = len(a & b)
     return shared / (len(a) + len(b) - shared) if a or b else 1.0
@@ -122,6 +154,22 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) ->
     return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
+def sifted(pairs: DataFrame, counted: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose bins, in ``counted`` (id, bins), allow the similarity."""
+    first = pairs.join(counted.select(F.col("id").alias("a"), F.col("bins").alias("x")), "a")
+    both = first.join(counted.select(F.col("id").alias("b"), F.col("bins").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                apart, size = least_apart(x.as_buffer(), y.as_buffer())
+                keep.append(apart <= size * (1 - threshold) / (1 + threshold) + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
+
+
 def possible(met: DataFrame, threshold: float) -> DataFrame:
     """Of rows (a, b, na, nb, pa, pb), one a shared prefix shingle, the pairs that can still be similar.
 
@@ -151,8 +199,14 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
 
     def printed(batches):
         for batch in batches:
-            found = np.array([simhash.fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "f"])
+            prints, sketches, numbers = [], [], []
+            for t in batch.column(1):
+                prints.append(simhash.fingerprint(t.as_py(), words))
+                keys = hashed(t.as_py(), words)
+                sketches.append(sketch(keys))
+                numbers.append(bins(keys))
+            found = np.array(prints, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(sketches, pa.list_(pa.int64())), pa.array(numbers, pa.binary())], names=["id", "f", "sketch", "bins"])
 
     # equal word sequences are one class, whose text is that of its least document
     rows = known.mapInArrow(tidy(named), "doc_id bigint, text string, id bigint")
@@ -164,39 +218,45 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
     discard(copies)
     entries = stored(prefixes(texts, common_shingles(texts, words), words, threshold), "prefixes")
     n_entries = entries.count()
-    held = stored(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1"), "held")
+    held = stored(entries.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("key", "id")).alias("lead")).where("m > 1"), "held")
     shared = stored(spread_join(entries, held, ["key"], "m", n_entries), "shared")
     discard(entries)
 
     # pairs by SimHash: of each class with the first of its fingerprint, and of the first of near fingerprints
-    prints = stored(texts.mapInArrow(tidy(printed), "id bigint, f bigint"), "fingerprints")
+    prints = stored(texts.mapInArrow(tidy(printed), "id bigint, f bigint, sketch array<bigint>, bins binary"), "fingerprints")
+    n_prints = prints.count()
     lowest = stored(prints.groupBy("f").agg(F.min("id").alias("low"), F.count("*").alias("n")), "lowest")
-    equal = spread_join(prints, lowest, ["f"], "n", total).select(F.col("low").alias("a"), F.col("id").alias("b"))
+    equal = spread_join(prints.select("id", "f"), lowest, ["f"], "n", n_prints).select(F.col("low").alias("a"), F.col("id").alias("b"))
     la, lb = lowest.select(F.col("f").alias("a"), F.col("low").alias("la")), lowest.select(F.col("f").alias("b"), F.col("low").alias("lb"))
     near = simhash.links(lowest.select("f"), distance).join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    # and of each member of a shared shingle with the first
-    leads = shared.where("id = lead").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    led = spread_join(shared.where("id > lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), leads.join(held.select("key", "m"), "key"), ["key"], "m", n_entries)
-    candidates = stored(near.union(equal).union(possible(led, threshold)).where("a <> b").distinct(), "candidates")
-    discard(prints, lowest, held)
-    links = stored(verified(candidates, texts, words, threshold), "links")
+    # and of each member of a shared shingle with one that a hash of both chooses, another for each shingle
+    sketched = stored(shared.join(sent_if_small(prints.select("id", "sketch").dropDuplicates(["id"]), n_prints * 4), "id"), "sketched")
+    discard(shared)
+    leads = sketched.where("id = lead").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("sketch").alias("sa"))
+    members = sketched.where("id <> lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("sketch").alias("sb"))
+    led = spread_join(members, leads.join(held.select("key", "m"), "key"), ["key"], "m", n_entries).where(alike("sa", "sb", F.col("na"), F.col("nb"), threshold))
+    led = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    candidates = stored(near.union(equal).union(led).where("a <> b").distinct(), "candidates")
+    discard(lowest, held)
+    counted = prints.select("id", "bins").dropDuplicates(["id"])
+    links = stored(verified(stored(sifted(candidates, counted, threshold), "sifted"), texts, words, threshold), "links")
     discard(candidates)
     label = stored(components(links), "labels")
 
-    # then all pairs of a shared shingle that are not in one group yet
-    own = shared.select("key", "id", "n", "pos").join(sent_if_small(label), F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
-    own = stored(own, "labelled")
+    # then all pairs of a shared shingle that are not in one group yet and whose sketches allow it
+    own = sketched.select("key", "id", "n", "pos", "sketch").join(sent_if_small(label), F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", "sketch", F.coalesce("root", "id").alias("root"))
     mixed = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     left = stored(own.join(mixed, "key", "left_semi"), "mixed")
-    discard(shared, label, own)
-    one = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
+    discard(sketched, label)
+    one = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
     sized = (F.col("na") >= threshold * F.col("nb") - 1e-6) & (F.col("nb") >= threshold * F.col("na") - 1e-6)
-    met = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized)
+    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized & alike("sa", "sb", F.col("na"), F.col("nb"), threshold)
+    met = one.join(other.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & apart)
     pairs = stored(possible(met, threshold), "candidates")
     discard(left)
-    more = stored(verified(pairs, texts, words, threshold), "links")
-    discard(pairs, texts)
+    more = stored(verified(stored(sifted(pairs, counted, threshold), "sifted"), texts, words, threshold), "links")
+    discard(pairs, texts, prints)
     found = stored(components(links.union(more)), "components")
     low = stored(found.join(classes, found.node == classes.id).groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "lowest")
     linked = spread_join(found, low, ["root"], "size", found.count()).select(F.col("node").alias("id"), "component_id")
