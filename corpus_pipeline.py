@@ -37,9 +37,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     docs = docs.select(*COLUMNS)
     known = docs.where("doc_id IS NOT NULL")
-    gone = stored(similar.groups(known).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = stored(similar.groups(known).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone", count := docs.count())
     kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    repeated = stored(known.groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "repeated")
+    repeated = stored(known.groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "repeated", count)
     if not repeated.limit(1).count():
         return kept
     same = F.col("doc_id") == F.col("again")

@@ -48,15 +48,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+#: Narrow rows of a stored table in one file, about.
+FILE_ROWS = 200_000
+
+
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
+    ``rows``, for narrow rows, is how many there are or may be: they go to as many files as that takes and no more, since
+    small files by the hundred cost more than what is in them. (As many tasks make them: not for work in Python or over texts.)
     The files are deleted when :func:`discard` or :func:`sweep` says so, or when the application ends.
     """
     spark = df.sparkSession
     for_texts(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

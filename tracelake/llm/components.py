@@ -58,17 +58,18 @@ def components(links: DataFrame) -> DataFrame:
     each round lowers a node's parent or ends, so they end whatever the graph.
     """
     whole = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    star = stored(forest(whole).distinct(), "links")
+    star = stored(forest(whole).distinct(), "links", 2 * links.count())
+    nodes = 2 * star.count()
     while True:
         # star: (a, b) with a < b. First every larger neighbour of a node moves to the least around that node ...
         both = star.select(F.col("a").alias("u"), F.col("b").alias("v")).union(star.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # (a hub's links are split by the adaptive skew join: the other side has one row a node)
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = stored(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "links")
+        large = stored(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "links", nodes)
         # ... then every node and its smaller neighbours move to the least of these
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lowest, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b")
-        after = stored(small.distinct(), "links")
+        after = stored(small.distinct(), "links", nodes)
         # done when every node hangs on one root that hangs on none
         moved = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() or after.groupBy("b").count().where("count > 1").limit(1).count()
         discard(star, large, shuffles=False)

@@ -48,7 +48,7 @@ def dropped_lines(docs: DataFrame, least: int, documents: int) -> DataFrame:
     thin = THIN if total > THIN * FEW else 1
     room = max(1000, total // (2 * parts))
     some = entries.where(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(thin)) == 0).groupBy("h1", "h2").agg((F.count("*") * thin).alias("rows"))
-    hot = stored(some.where(F.col("rows") >= room).select("h1", "h2", F.ceil(F.col("rows") * 2 / room).alias("cells")), "frequent")
+    hot = stored(some.where(F.col("rows") >= room).select("h1", "h2", F.ceil(F.col("rows") * 2 / room).alias("cells")), "frequent", 2 * parts)
     # there are at most about 2 * parts of them
     dealt = entries.join(F.broadcast(hot), ["h1", "h2"], "left")
     # (the cell 0 is written as a value of the row: a constant would be taken out of the range partitioning, and the windows would shuffle again)

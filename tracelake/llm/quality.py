@@ -196,7 +196,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, seed: int = 7, text: bool =
     ratios that aren't one, whose number grows with the corpus; they are sent out in blocks of BLOCK.
     """
     sent_out = docs.sparkSession.sparkContext.broadcast
-    sample = stored(labelled_sample(labels), "labels")
+    sample = stored(labelled_sample(labels), "labels", LABELLED)
     bits = pair_bits(docs.count())
     keys, values = log_ratios(docs, sample, bits)
     rows, weight = docs.drop("log_weight", "key"), F.lit(0.0)

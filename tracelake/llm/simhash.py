@@ -103,12 +103,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, distance: int = 4, parts
     hashes are summed in pieces, so a very long one needs no more memory than its words. Ties of a bit (set in
     exactly half the shingles) are 0. ``parts`` is chosen from the number of different fingerprints. Repeated rows give repeated rows; no rows give none; other columns are left aside.
     """
+    total = docs.count()
     prints = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    distinct = stored(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes", total)
     parts = parts or (3 if distinct.count() <= THREE else 2)
-    joined = stored(links(distinct.select("f"), distance, parts), "pairs")
-    found = stored(components(joined), "components")
-    lowest = stored(found.join(distinct, found.node == distinct.f).groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("size")), "lowest")
+    joined = stored(links(distinct.select("f"), distance, parts), "pairs", 50 * total)
+    found = stored(components(joined), "components", total)
+    lowest = stored(found.join(distinct, found.node == distinct.f).groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("size")), "lowest", total)
     linked = spread_join(found, lowest, ["root"], "size", found.count()).select(F.col("node").alias("f"), "low")
-    classes = stored(distinct.join(linked, "f", "left").select("f", F.coalesce("low", "least").alias("component_id"), "n"), "classes")
-    return spread_join(prints, classes, ["f"], "n", prints.count()).select("doc_id", "f", "component_id")
+    classes = stored(distinct.join(linked, "f", "left").select("f", F.coalesce("low", "least").alias("component_id"), "n"), "classes", total)
+    return spread_join(prints, classes, ["f"], "n", total).select("doc_id", "f", "component_id")

@@ -210,56 +210,58 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
 
     # equal word sequences are one class, whose text is that of its least document
     rows = known.mapInArrow(tidy(named), "doc_id bigint, text string, id bigint")
+    total = known.count()
     ids = stored(rows.select("doc_id", "id"), "ids")
-    total = ids.count()
-    classes = stored(ids.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    copies = stored(spread_join(ids, classes, ["id"], "n", total).where("doc_id <> least").select("doc_id", "id"), "copies")
+    classes = stored(ids.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes", total)
+    copies = stored(spread_join(ids, classes, ["id"], "n", total).where("doc_id <> least").select("doc_id", "id"), "copies", total)
     texts = stored(rows.join(sent_if_small(copies.distinct()), ["doc_id", "id"], "left_anti").select("id", "text"), "texts")
     discard(copies)
     entries = stored(prefixes(texts, common_shingles(texts, words), words, threshold), "prefixes")
     n_entries = entries.count()
-    held = stored(entries.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("key", "id")).alias("lead")).where("m > 1"), "held")
-    shared = stored(spread_join(entries, held, ["key"], "m", n_entries), "shared")
+    held = stored(entries.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("key", "id")).alias("lead")).where("m > 1"), "held", n_entries // 2)
+    shared = stored(spread_join(entries, held, ["key"], "m", n_entries), "shared", held.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
+    n_shared = shared.count()
     discard(entries)
 
     # pairs by SimHash: of each class with the first of its fingerprint, and of the first of near fingerprints
     prints = stored(texts.mapInArrow(tidy(printed), "id bigint, f bigint, sketch array<bigint>, bins binary"), "fingerprints")
     n_prints = prints.count()
-    lowest = stored(prints.groupBy("f").agg(F.min("id").alias("low"), F.count("*").alias("n")), "lowest")
+    lowest = stored(prints.groupBy("f").agg(F.min("id").alias("low"), F.count("*").alias("n")), "lowest", total)
     equal = spread_join(prints.select("id", "f"), lowest, ["f"], "n", n_prints).select(F.col("low").alias("a"), F.col("id").alias("b"))
     la, lb = lowest.select(F.col("f").alias("a"), F.col("low").alias("la")), lowest.select(F.col("f").alias("b"), F.col("low").alias("lb"))
     near = simhash.links(lowest.select("f"), distance).join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
     # and of each member of a shared shingle with one that a hash of both chooses, another for each shingle
-    sketched = stored(shared.join(sent_if_small(prints.select("id", "sketch").dropDuplicates(["id"]), n_prints * 4), "id"), "sketched")
+    sketched = stored(shared.join(prints.select("id", "sketch").dropDuplicates(["id"]), "id"), "sketched", 4 * n_shared)
     discard(shared)
     leads = sketched.where("id = lead").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("sketch").alias("sa"))
     members = sketched.where("id <> lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("sketch").alias("sb"))
     led = spread_join(members, leads.join(held.select("key", "m"), "key"), ["key"], "m", n_entries).where(alike("sa", "sb", F.col("na"), F.col("nb"), threshold))
     led = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = stored(near.union(equal).union(led).where("a <> b").distinct(), "candidates")
+    candidates = stored(near.union(equal).union(led).where("a <> b").distinct(), "candidates", 2 * n_shared + total)
+    n_candidates = candidates.count()
     discard(lowest, held)
     counted = prints.select("id", "bins").dropDuplicates(["id"])
     links = stored(verified(stored(sifted(candidates, counted, threshold), "sifted"), texts, words, threshold), "links")
     discard(candidates)
-    label = stored(components(links), "labels")
+    label = stored(components(links), "labels", 2 * n_candidates)
 
     # then all pairs of a shared shingle that are not in one group yet and whose sketches allow it
     own = sketched.select("key", "id", "n", "pos", "sketch").join(sent_if_small(label), F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", "sketch", F.coalesce("root", "id").alias("root"))
     mixed = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    left = stored(own.join(mixed, "key", "left_semi"), "mixed")
+    left = stored(own.join(mixed, "key", "left_semi"), "mixed", 4 * n_shared)
     discard(sketched, label)
     one = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
     other = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
     sized = (F.col("na") >= threshold * F.col("nb") - 1e-6) & (F.col("nb") >= threshold * F.col("na") - 1e-6)
     apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized & alike("sa", "sb", F.col("na"), F.col("nb"), threshold)
     met = one.join(other.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & apart)
-    pairs = stored(possible(met, threshold), "candidates")
+    pairs = stored(possible(met, threshold), "candidates", 2 * n_shared)
     discard(left)
     more = stored(verified(stored(sifted(pairs, counted, threshold), "sifted"), texts, words, threshold), "links")
     discard(pairs, texts, prints)
-    found = stored(components(links.union(more)), "components")
-    low = stored(found.join(classes, found.node == classes.id).groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "lowest")
+    found = stored(components(links.union(more)), "components", 2 * total)
+    low = stored(found.join(classes, found.node == classes.id).groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "lowest", total)
     linked = spread_join(found, low, ["root"], "size", found.count()).select(F.col("node").alias("id"), "component_id")
-    final = stored(classes.join(linked, "id", "left").select("id", "n", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    final = stored(classes.join(linked, "id", "left").select("id", "n", F.coalesce("component_id", "least").alias("component_id")), "classes", total)
     discard(links, more, found, low, classes)
     return spread_join(ids, final, ["id"], "n", total).select("doc_id", "component_id")
