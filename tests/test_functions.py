@@ -107,3 +107,51 @@ def test_ulid(spark):
     made = value(spark, tx.ulid(F.lit(1_700_000_000_123), F.lit("x")))
     assert len(made) == 26 and value(spark, tx.ulid_millis(F.lit(made))) == 1_700_000_000_123
     assert value(spark, tx.ulid(F.lit(1_700_000_000_124), F.lit("x"))) > made
+
+
+def test_components_of_paths_stars_and_crowds(spark):
+    import random
+
+    from tracelake.operators.mining import components
+
+    rng = random.Random(4)
+    names = rng.sample(range(10**6), 2400)
+    path = [(names[i], names[i + 1]) for i in range(400)]
+    star = [(names[500], names[k]) for k in range(501, 900)]
+    crowd = [(names[1000 + rng.randrange(600)], names[1000 + rng.randrange(600)]) for _ in range(900)]
+    links = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in path + star + crowd] + path[:5]
+    parent = {n: n for n in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame([(n,) for n in names], "id bigint"), spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert {r.id: r.component for r in got} == {n: root(n) for n in names} and len(got) == len(names)
+
+
+def test_events_and_content_by_the_rules():
+    assert messages.sse_events("event: ping\n\ndata: 1\ndata: 2\n\nevent: x\ndata: {}") == [{"event": None, "data": "1\n2"}, {"event": "x", "data": "{}"}]
+    result = {"type": "tool_result", "content": "R"}
+    said = lambda *blocks: messages.content_text(list(blocks))
+    assert said(result, {"type": "text", "text": ""}) == "[tool result] R\n" and said({"type": "text", "text": ""}, result) == "[tool result] R"
+    assert said("a", "b", result, result, "", "c") == "ab\n[tool result] R\n[tool result] R\nc" and said({"type": "image"}) == ""
+
+
+def test_secret_flags_see_what_patterns_before_left(spark):
+    text = "key AKIA" + "B" * 16 + " and password = abcdefghijklmnop1234 and token: " + "AKIA" + "C" * 16
+    rows = spark.createDataFrame([(text,), ("nothing",), (None,)], "t string").select(tx.secret_flags(F.col("t")).alias("f"), tx.redact(F.col("t")).alias("r"), tx.scrub(F.col("t")).alias("s")).collect()
+    assert rows[0].f == ["aws_access_key_id", "generic_kv_secret"] and rows[0].r.text == rows[0].s and rows[0].r.flags == rows[0].f
+    assert rows[1].f == [] and rows[1].r.text == "nothing" and rows[2].f == []
+
+
+def test_whole_suite_and_injected_judge(spark):
+    calls = "array(named_struct('name', 'f', 'input_keys', array('a')))"
+    cases = spark.sql(f"SELECT 1 AS id, 'q' AS request, 'yes' AS reference, '' AS candidate, {calls} AS reference_calls, {calls} AS candidate_calls UNION ALL SELECT 2, 'q', 'yes', 'yes', {calls}, array()")
+    got = {(r.id, r.scorer): r for r in scorers.grade(cases, F.lit(True)).collect()}
+    assert got[1, "trajectory"].value == 1.0 and got[1, "completion"].passed and got[1, "judge"].verdict == "pass"
+    assert not got[2, "trajectory"].passed and got[2, "completion"].verdict == "fail" and (2, "format") not in got

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_sources import NOW, assistant, user
 from tracelake import schemas
@@ -32,6 +33,27 @@ def test_store(spark, tmp_path):
     assert s.summary().first().traces == 6 and s.traces(limit=3).count() == 3 and s.trace(row.id).count() == 1
     with pytest.raises(ValueError):
         s.traces(limit=501)
+    done = s.assign_archetypes(NOW)
+    assert len(done["new"]) == 2 and not done["matched"] and done["unassigned_traces_ratio"] == 0 and done["archetype_count"] == 2
+    named = {r.label for r in s.table("archetypes").collect()}
+    assert len(named) == 2 and all(named) and s.table("archetype_assignments").where("distance BETWEEN 0 AND 0.5").count() == 6
+    again = s.assign_archetypes(NOW + 5, label=lambda texts: "never asked")
+    assert sorted(again["matched"]) == done["new"] and not again["new"] and s.table("archetypes").where(f"updated_ts = {NOW + 5}").count() == 2 and s.table("archetype_assignments").count() == 6
+
+    def call(candidate, prompt):
+        if candidate == "broken":
+            raise RuntimeError
+        return {"text": "hi" if candidate == "good" else "I'm sorry", "cost_usd": 0.5, "latency_ms": 7}
+
+    ladder = spark.createDataFrame([("good",), ("bad",), ("broken",)], "name string")
+    assert s.run(ladder, call, 4, "7", "r1", NOW) == 18 and s.run(ladder, call, 4, "7", "r2", NOW) == 0  # what is saved isn't asked for again
+    kept = {(r.candidate, r.verdict): r.n for r in s.table("replay_results").groupBy("candidate", "verdict").agg(F.count("*").alias("n")).collect()}
+    assert set(kept) >= {("bad", "fail"), ("broken", "fail")} and kept["good", "pass"] == 6 and s.table("eval_scores").where("scorer = 'completion'").count() == 12
+    bare = s.table("traces").withColumn("prompt_text", F.when(F.col("session_id") == "s1", F.lit(None)).otherwise(F.col("prompt_text")))
+    s._overwrite("traces", bare)
+    assert s.table("traces").where("prompt_text IS NULL").count() == 1 and s.sync(NOW)["rows_inserted"] == 0 and s.table("traces").where("prompt_text IS NULL").count() == 0
+    for name in ("archetypes", "archetype_assignments", "replay_results"):
+        s._overwrite(name, s.table(name).where("false"))
     spark.createDataFrame([("A", "L", False, None, 0, 0, None)], schemas.schema("archetypes")).write.insertInto("store_test.archetypes")
     spark.createDataFrame([(r.id, "A", 0.1, 0) for r in s.table("traces").collect()], schemas.schema("archetype_assignments")).write.insertInto("store_test.archetype_assignments")
     assert s.work(spark.createDataFrame([("c0",), ("c1",)], "name string"), 4, "7").count() == 8

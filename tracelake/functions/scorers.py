@@ -56,11 +56,31 @@ def heuristic_judge(reference: Column, candidate: Column) -> Column:
     return F.when(F.size(want) == 0, F.size(got) == 0).otherwise(F.size(F.array_intersect(want, got)) / F.size(want) >= JUDGE_LEAST)
 
 
-def grade(cases: DataFrame) -> DataFrame:
-    """Long rows (id, scorer, value, passed, verdict) of cases (id, request, reference, candidate); scorers that don't apply have none."""
-    wide = cases.withColumns({"s_format": format_check(F.col("reference"), F.col("candidate")), "s_completion": completion(F.col("candidate"), F.col("reference"), F.lit(0)), "s_grounding": grounding(F.col("candidate"), F.col("request"), F.col("reference")), "s_judge": heuristic_judge(F.col("reference"), F.col("candidate"))})
-    flag = lambda name: F.struct(F.lit(name).alias("scorer"), F.col(f"s_{name}").cast("double").alias("value"), F.col(f"s_{name}").alias("passed"))
-    ground = F.struct(F.lit("grounding").alias("scorer"), F.col("s_grounding").alias("value"), (F.col("s_grounding") >= GROUNDING_LEAST).alias("passed"))
-    scores = F.filter(F.array(flag("format"), flag("completion"), ground, flag("judge")), lambda s: s["value"].isNotNull())
-    good = F.forall(scores, lambda s: s["passed"] | (s["scorer"] == "grounding"))
-    return wide.select("id", F.when(good, "pass").otherwise("fail").alias("verdict"), F.explode(scores).alias("s")).select("id", "s.scorer", "s.value", "s.passed", "verdict")
+def grade(cases: DataFrame, judge: Column | None = None) -> DataFrame:
+    """Long rows (id, scorer, value, passed, verdict) of cases (id, request, reference, candidate); scorers that don't apply have none.
+
+    Cases may have ``reference_calls`` and ``candidate_calls``, arrays of (name, input_keys): then the order and arguments
+    of calls are scored, and an answer that only calls is complete. ``judge`` is a boolean column that takes the place of
+    :func:`heuristic_judge` (a null of it: not judged). A failure of a scorer that gates fails the answer.
+    """
+    has = {"reference_calls", "candidate_calls"} <= set(cases.columns)
+    calls = F.coalesce(F.size("candidate_calls"), F.lit(0)) if has else F.lit(0)
+    none = F.array().cast("array<struct<name:string,input_keys:array<string>>>")
+    order = trajectory(F.coalesce("reference_calls", none), F.coalesce("candidate_calls", none)) if has else F.lit(None).cast("double")
+    wide = cases.select(
+        "id",
+        format_check(F.col("reference"), F.col("candidate")).alias("s_format"),
+        completion(F.col("candidate"), F.col("reference"), calls).alias("s_completion"),
+        order.alias("s_trajectory"),
+        grounding(F.col("candidate"), F.col("request"), F.col("reference")).alias("s_grounding"),
+        (heuristic_judge(F.col("reference"), F.col("candidate")) if judge is None else judge).alias("s_judge"),
+    )
+    least = {"trajectory": TRAJECTORY_LEAST, "grounding": GROUNDING_LEAST}
+
+    def score(name: str) -> Column:
+        own = F.col(f"s_{name}")
+        return F.struct(F.lit(name).alias("scorer"), own.cast("double").alias("value"), (own >= least[name] if name in least else own).alias("passed"), F.lit(GATING[name]).alias("gating"))
+
+    scores = F.filter(F.array(*map(score, GATING)), lambda s: s["value"].isNotNull())
+    good = F.forall("scores", lambda s: s["passed"] | ~s["gating"])
+    return wide.select("id", scores.alias("scores")).select("id", F.when(good, "pass").otherwise("fail").alias("verdict"), F.explode("scores").alias("s")).select("id", "s.scorer", "s.value", "s.passed", "verdict")

@@ -18,6 +18,8 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/{tag}-{uuid.uuid4().hex}"
@@ -83,20 +85,27 @@ def dense_pairs(vectors: DataFrame, least: float, blocks: int = 8) -> DataFrame:
     return sent.groupBy("i", "j").applyInPandas(product, "a bigint, b bigint, similarity double")
 
 
-def components(nodes: DataFrame, links: DataFrame, limit: int = 40) -> DataFrame:
-    """(id, component): the smallest id that a node reaches over links (a, b). Pointers double each round, so rounds are few."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    state = shared_table(nodes.select("id", F.col("id").alias("component")), "labels")
-    both = shared_table(both, "links")
-    for _ in range(limit):
-        near = both.join(state.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        low = state.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("low"), F.col("component").alias("was"))
-        jump = low.select(F.col("id").alias("k"), F.col("low").alias("further"))
-        after = shared_table(low.join(jump, F.col("low") == F.col("k"), "left").select("id", F.least("low", F.coalesce("further", "low")).alias("component"), "was"), "labels")
-        state = after.select("id", "component")
-        if not after.where("component <> was").limit(1).count():
-            return state
-    raise RuntimeError("components did not settle")
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that a node reaches over links (a, b); links may repeat and be given in either order.
+
+    Rounds of two steps over the links until nothing moves: the larger neighbours of each node are hung on the least
+    around it, then each node and its smaller neighbours on the least of these. Roots are hooked as well as leaves, so
+    the number of rounds grows with the logarithm of the longest path. A hub's links are split by the adaptive skew join.
+    """
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    tree = shared_table(links.where("a <> b").select(*ends).distinct(), "links")
+    while True:
+        around = tree.union(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        hung = shared_table(around.where("b > a").join(least, "a").select(F.col("low").alias("a"), "b").distinct(), "links")
+        lowest = hung.groupBy("b").agg(F.min("a").alias("low"))
+        after = hung.join(lowest, "b").select(F.col("low").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b")
+        tree = shared_table(after.distinct(), "links")
+        # settled when every node hangs on one root, and no root on another
+        twice = tree.groupBy("b").count().where("count > 1").limit(1).count()
+        if not twice and not tree.join(tree.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
+            break
+    return nodes.join(tree.select(F.col("b").alias("id"), F.col("a").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def clusters(labels: DataFrame, least: int = 3) -> DataFrame:
