@@ -22,7 +22,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Settings for rows that are whole texts, where the session has none of its own: rows that a scan decodes at a time, and
 #: rows and bytes that go to a Python worker at a time. Spark's defaults suit short rows; here they would be 50 MB and more.
-TEXT_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+TEXT_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "64", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def for_texts(spark: SparkSession) -> None:
@@ -52,17 +52,24 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_ROWS = 200_000
 
 
-def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+#: Bytes of a row group of a stored table: what a writer holds.
+ROW_GROUP = 16 << 20
+
+
+def stored(df: DataFrame, tag: str, rows: int | None = None, busy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
     ``rows``, for narrow rows, is how many there are or may be: they go to as many files as that takes and no more, since
-    small files by the hundred cost more than what is in them. (As many tasks make them: not for work in Python or over texts.)
+    small files by the hundred cost more than what is in them. As many tasks make them; ``busy`` says that these have
+    work to do besides, so that there are two for each core at least.
     The files are deleted when :func:`discard` or :func:`sweep` says so, or when the application ends.
     """
     spark = df.sparkSession
     for_texts(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(-(-rows // FILE_ROWS), 2 * spark.sparkContext.defaultParallelism if busy else 1))
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

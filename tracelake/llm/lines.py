@@ -56,7 +56,7 @@ def dropped_lines(docs: DataFrame, least: int, documents: int) -> DataFrame:
     dealt = dealt.select("h1", "h2", F.col("cells").isNotNull().alias("hot"), cell.alias("cell"), "doc_id", "pos")
     run = Window.partitionBy("h1", "h2", "cell")
     streamed = dealt.repartitionByRange(parts, "h1", "h2", "cell").withColumn("place", F.dense_rank().over(run.orderBy(F.desc("doc_id")))).withColumn("n", F.max("place").over(run))
-    seen = stored(streamed.where("hot OR n > 1"), "repeated-lines")
+    seen = stored(streamed.where("hot OR n > 1"), "repeated-lines", total, busy=True)
     discard(entries, hot)
     cold = seen.where(~F.col("hot") & (F.col("place") > 1) & (F.col("n") >= documents))
     edges = seen.where("hot AND place = 1").groupBy("h1", "h2", "cell").agg(F.max("n").alias("n"), F.max("doc_id").alias("last"))
@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFra
     """
     docs = docs.drop("dropped", "kept", "n_lines", "n_dropped")
     key, lines, left = (fresh(docs, name) for name in ("marked", "lines", "left"))
-    marks = stored(drop_bitmaps(docs, least, documents), "bitmaps")
+    marks = stored(drop_bitmaps(docs, least, documents), "bitmaps", docs.count())
     small = (marks.agg(F.sum(F.size("dropped") + 1)).first()[0] or 0) <= SENT
     marks = marks.withColumnRenamed("doc_id", key)
     joined = docs.join(F.broadcast(marks) if small else marks, docs.doc_id == marks[key], "left").drop(key).withColumn(lines, text_lines(F.col("text")))

@@ -241,7 +241,7 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
     n_candidates = candidates.count()
     discard(lowest, held)
     counted = prints.select("id", "bins").dropDuplicates(["id"])
-    links = stored(verified(stored(sifted(candidates, counted, threshold), "sifted"), texts, words, threshold), "links")
+    links = stored(verified(stored(sifted(candidates, counted, threshold), "sifted", n_candidates, busy=True), texts, words, threshold), "links", n_candidates, busy=True)
     discard(candidates)
     label = stored(components(links), "labels", 2 * n_candidates)
 
@@ -257,7 +257,8 @@ def groups(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, distance:
     met = one.join(other.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & apart)
     pairs = stored(possible(met, threshold), "candidates", 2 * n_shared)
     discard(left)
-    more = stored(verified(stored(sifted(pairs, counted, threshold), "sifted"), texts, words, threshold), "links")
+    n_pairs = pairs.count()
+    more = stored(verified(stored(sifted(pairs, counted, threshold), "sifted", n_pairs, busy=True), texts, words, threshold), "links", n_pairs, busy=True)
     discard(pairs, texts, prints)
     found = stored(components(links.union(more)), "components", 2 * total)
     low = stored(found.join(classes, found.node == classes.id).groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "lowest", total)
