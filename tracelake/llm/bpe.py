@@ -49,7 +49,7 @@ WHITE = r"\t-\r\x20\x85\xa0"
 
 #: Bounds of the memo tables of one worker: what is met when they are full is computed and not kept. After STALE
 #: misses they start afresh, for input that has changed. They change no result.
-MAX_WORDS, MAX_ARCS, STALE = 180_000, 220_000, 6_000_000
+MAX_WORDS, MAX_ARCS, STALE = 120_000, 140_000, 6_000_000
 INFINITE = float("inf")
 
 
