@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions import messages, scorers, stats
+from tracelake.functions import cost, messages, scorers, stats
 from tracelake.functions import text as tx
 from tracelake.operators import mining, reports, windows
 from tracelake.plans import adapters as ad
@@ -358,10 +358,10 @@ def candidate_order(spark, d):
     return rows.select("name", F.row_number().over(Window.orderBy(F.desc("local"), (F.col("price_in") + F.col("price_out")) / 2, "position")).alias("place"))
 
 
-@query("""before AS (SELECT *, coalesce(sum(cost_usd) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM replay_results WHERE archetype_id = 'a1')
-SELECT id, round(b + cost_usd, 6) AS spent FROM before WHERE b < 2.0""")
+@query("""before AS (SELECT *, coalesce(sum(cost_usd) OVER (PARTITION BY archetype_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM replay_results)
+SELECT archetype_id, id, round(b + cost_usd, 6) AS spent FROM before WHERE b < 2.0""")
 def budget_cap(spark, d):
-    return rounded(windows.within_budget(ad.replay_results(spark, d).where("archetype_id = 'a1'"), 2.0, ["ts", "event_id"]).select("id", "spent"), "spent")
+    return rounded(windows.within_budget(ad.replay_results(spark, d), 2.0, ["ts", "event_id"], ["archetype_id"]).select("archetype_id", "id", "spent"), "spent")
 
 
 @query("""before AS (SELECT *, coalesce(sum(cost_usd) OVER (PARTITION BY source_trace_id, candidate ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM replay_results)
@@ -370,12 +370,12 @@ def chain_budget(spark, d):
     return rounded(windows.within_budget(ad.replay_results(spark, d), 0.1, ["ts", "event_id"], ["source_trace_id", "candidate"]).select("id", "spent"), "spent")
 
 
-@query(f"""SELECT DISTINCT event_type, round(value, 2) AS tin, round(value / 1e6 * 3.0 + value * 2 / 1e6 * 15.0, 9) AS cost FROM events WHERE event_id < 100""", plain=True)
+@query("""SELECT event_id, event_type AS model, CASE event_type WHEN 'view' THEN 0.0 WHEN 'click' THEN round(value / 1e6 * 3.0 + value * 2 / 1e6 * 15.0, 9) WHEN 'error' THEN round(value / 1e6 * 0.5 + value * 2 / 1e6 * 1.5, 9) END AS cost
+FROM events""", plain=True)
 def call_cost(spark, d):
-    rows = ad.load(spark, d, "events").where("event_id < 100")
-    prices = F.broadcast(spark.createDataFrame([("m", 3.0, 15.0)], "model string, pin double, pout double"))
-    priced = rows.withColumn("model", F.lit("m")).join(prices, "model")
-    return priced.select("event_type", F.round("value", 2).alias("tin"), F.round(F.col("value") / 1e6 * F.col("pin") + F.col("value") * 2 / 1e6 * F.col("pout"), 9).alias("cost")).distinct()
+    prices = spark.createDataFrame([("view", True, 9.0, 9.0), ("click", False, 3.0, 15.0), ("error", False, 0.5, 1.5)], "model string, local boolean, price_in double, price_out double")
+    calls = ad.load(spark, d, "events").select("event_id", F.col("event_type").alias("model"), F.col("value").alias("tokens_in"), (F.col("value") * 2).alias("tokens_out"))
+    return cost.priced(calls, prices).select("event_id", "model", F.round("cost_usd", 9).alias("cost"))
 
 
 # --- ingest ----------------------------------------------------------------------------------------------------------
