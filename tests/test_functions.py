@@ -155,3 +155,43 @@ def test_whole_suite_and_injected_judge(spark):
     got = {(r.id, r.scorer): r for r in scorers.grade(cases, F.lit(True)).collect()}
     assert got[1, "trajectory"].value == 1.0 and got[1, "completion"].passed and got[1, "judge"].verdict == "pass"
     assert not got[2, "trajectory"].passed and got[2, "completion"].verdict == "fail" and (2, "format") not in got
+
+
+def test_checks_judge_prompt_and_cost(spark):
+    checks = {"json": messages.is_json_udf, "short": lambda t: tx.within_length(t, 1, 5)}
+    rows = spark.createDataFrame([("[1]", True), ("[1, 2, 3]", True), ("no", False), (None, True)], "t string, j boolean").withColumn("v", scorers.deterministic_checks(F.col("t"), checks, {"json": F.col("j")})).withColumn("ok", scorers.all_pass(F.col("v"))).collect()
+    assert [r.ok for r in rows] == [True, False, True, False] and [x.check_name for x in rows[0].v] == ["json", "short"]
+    asked = value(spark, scorers.judge_prompt(F.lit("r {candidate}"), F.lit("good"), F.lit("other")))
+    assert asked.count("other") == 1 and "r {candidate}" in asked and asked.index("good") < asked.index("other")
+    answers = spark.createDataFrame([(1, "a", "no, FAIL. Or pass", "end", 1000, 10), (2, "x", "PASS then fail", "end", 1000, 10), (3, "a", "PASS", "refusal", 0, 10), (4, "b", "hm", None, 1, 1)], "id int, model string, text string, stop_reason string, tokens_in bigint, tokens_out bigint")
+    prices = spark.createDataFrame([("a", False, 1.0, 2.0), ("b", False, 3.0, 1.0)], "model string, local boolean, price_in double, price_out double")
+    got = {r.id: (r.passed, r.detail, round(r.cost_usd, 9)) for r in scorers.judge_verdicts(answers, prices).collect()}
+    failed = "judge_error:JudgeError"
+    assert got == {1: (True, None, 0.00102), 2: (False, None, 0.00301), 3: (False, failed, 0.00002), 4: (False, failed, 0.000004)}
+
+
+def test_replay_tools_and_headers(spark):
+    calls = [{"name": "f", "input_keys": ["b", "a"]}, {"name": "f", "input_keys": ["c"]}, {"name": "", "input_keys": []}]
+    assert json.loads(messages.replay_tools('{"tools": [{"name": "g"}, {"name": ""}, 3]}', calls)) == [{"name": "g"}]
+    assert json.loads(messages.replay_tools('{"tools": []}', calls)) == []
+    made = json.loads(messages.replay_tools("not json", calls))
+    assert [t["name"] for t in made] == ["f"] and list(made[0]["input_schema"]["properties"]) == ["a", "b", "c"]
+    assert json.loads(messages.replay_tools(None, None)) == []
+    headers = F.create_map(*[F.lit(x) for x in ("Host", "h", "X-Own", "1", "Transfer-Encoding", "chunked", "te", "x")])
+    assert value(spark, messages.end_to_end_headers(headers)) == {"X-Own": "1"}
+
+
+def test_embedding_of_any_width(spark):
+    import hashlib
+
+    from tracelake.operators.mining import hash_embedding
+
+    words = ["alpha", "beta", "gamma", "alpha"]
+    for dims in (1, 7, 256, 300, 2**31):
+        want = {}
+        for w in words:
+            b = int(hashlib.md5(w.encode()).hexdigest(), 16) % dims
+            want[b] = want.get(b, 0) + 1
+        norm = sum(n * n for n in want.values()) ** 0.5
+        got = hash_embedding(spark.createDataFrame([(1, " ".join(words)), (2, "--")], "id int, text string"), dims).collect()
+        assert {r.bucket: round(r.weight, 9) for r in got} == {b: round(n / norm, 9) for b, n in want.items()} and {r.id for r in got} == {1}

@@ -214,3 +214,40 @@ def test_mining(spark):
     assert {r.cluster: r.label for r in labels.collect()} == {1: "Python Error Trace", 2: "Unlabeled"}
     path = mining.components(spark.range(40), spark.createDataFrame([(i, i + 1) for i in range(38)] + [(5, 3)], "a bigint, b bigint"))
     assert {r.id: r.component for r in path.collect()} == {i: 0 for i in range(39)} | {39: 39}
+
+
+def test_received_payloads_are_appended_once(spark, tmp_path):
+    from tracelake.sources import otlp
+
+    def payload(n):
+        return json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "token.usage", "sum": {"dataPoints": [{"asInt": str(n), "timeUnixNano": "5000000"}]}}, {"name": "other", "sum": {"dataPoints": [{"asInt": "9"}]}}]}]}]})
+
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    at = (str(folder), str(tmp_path / "points"), str(tmp_path / "state"))
+    (folder / "a.json").write_text(payload(3))
+    (folder / "b.json").write_text("{broken")
+    otlp.receive(spark, *at).awaitTermination()
+    (folder / "c.json").write_text(payload(4))
+    otlp.receive(spark, *at).awaitTermination()
+    rows = spark.read.parquet(at[1])
+    assert sorted((r.metric, r.ts_ms, r.value) for r in rows.collect()) == [("token.usage", 5, 3.0), ("token.usage", 5, 4.0)]
+    assert otlp.total_tokens(rows).first().tokens == 7.0 and otlp.total_tokens(rows.limit(0)).first().tokens == 0.0
+
+
+def test_spans_nest_and_never_fail_the_work(spark, tmp_path):
+    from tracelake.sources import spans
+
+    path = str(tmp_path / "deep" / "spans.jsonl")
+    log = spans.SpanLog(path)
+    with log.span("run", n=1), log.span("call") as found:
+        found["cost"] = 0.5
+    with pytest.raises(KeyError), log.span("bad"):
+        raise KeyError
+    rows = {r.name: r for r in spans.read(spark, path).collect()}
+    assert rows["call"].parent_span_id == rows["run"].span_id and rows["call"].trace_id == rows["run"].trace_id != rows["bad"].trace_id
+    assert rows["run"].parent_span_id is None and rows["run"].start_time_ns <= rows["call"].start_time_ns <= rows["call"].end_time_ns <= rows["run"].end_time_ns
+    assert rows["call"].attributes == {"cost": "0.5"} and rows["bad"].status == "ERROR" and rows["run"].status == "UNSET"
+    (tmp_path / "file").write_text("")
+    with spans.SpanLog(str(tmp_path / "file" / "x")).span("kept"):
+        pass

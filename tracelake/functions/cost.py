@@ -14,10 +14,10 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
 def priced(calls: DataFrame, prices: DataFrame, dearest: bool = False) -> DataFrame:
     """calls (model, tokens_in, tokens_out) with cost_usd by a price list (model, local, price_in, price_out); local models are free.
 
-    Unknown models have none, or the highest of all prices with ``dearest``. A price list is a rule file's few rows.
+    Unknown models have none, or with ``dearest`` the prices of the model whose input costs most (then its output). A price list is a rule file's few rows.
     """
     known = calls.join(F.broadcast(prices), "model", "left")
-    top = prices.agg(F.max("price_in").alias("__in"), F.max("price_out").alias("__out"))
+    top = prices.agg(F.max(F.struct("price_in", "price_out")).alias("__top")).select(F.col("__top.price_in").alias("__in"), F.col("__top.price_out").alias("__out"))
     if dearest:
         known = known.crossJoin(F.broadcast(top))  # one row
         known = known.withColumn("price_in", F.coalesce("price_in", "__in")).withColumn("price_out", F.coalesce("price_out", "__out"))

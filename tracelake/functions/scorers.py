@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions import messages
+from tracelake.functions import cost, messages
 from tracelake.functions import text as tx
 
 #: Scorers in order: whether a failure fails the answer.
@@ -56,6 +59,56 @@ def heuristic_judge(reference: Column, candidate: Column) -> Column:
     return F.when(F.size(want) == 0, F.size(got) == 0).otherwise(F.size(F.array_intersect(want, got)) / F.size(want) >= JUDGE_LEAST)
 
 
+def deterministic_checks(text: Column, checks: dict[str, Callable[[Column], Column]], applies: dict[str, Column] | None = None) -> Column:
+    """Array of struct(check_name, passed, applicable), in the order of ``checks``, functions from the text to a boolean column.
+
+    ``applies`` says by check whether it applies to a row; without a word it does. A check that gives null didn't pass.
+    """
+    applies = applies or {}
+    return F.array(*[F.struct(F.lit(name).alias("check_name"), F.coalesce(check(text), F.lit(False)).alias("passed"), F.coalesce(applies.get(name, F.lit(True)), F.lit(False)).alias("applicable")) for name, check in checks.items()])
+
+
+def all_pass(verdicts: Column) -> Column:
+    """Whether every check that applies passed; without any, yes."""
+    return F.forall(verdicts, lambda v: v["passed"] | ~v["applicable"])
+
+
+#: Instructions to a judge that is asked in words; a change of them needs a new version, which goes into the stamps of verdicts.
+JUDGE_VERSION = "v1"
+JUDGE_PROMPT = """Two answers to one request are given. The first is known to be good. Decide by the rubric whether the
+second may stand in for it.
+
+Rubric:
+{rubric}
+
+Known good answer:
+{frontier}
+
+Answer to decide on:
+{candidate}
+
+Say PASS if it may, FAIL if not. Say nothing but that one word.
+"""
+
+
+def judge_prompt(rubric: Column, frontier: Column, candidate: Column, template: str = JUDGE_PROMPT) -> Column:
+    """What a judge is asked: the template with its places filled; what is filled in is never read as a place."""
+    parts = re.split(r"\{(rubric|frontier|candidate)\}", template)
+    given = {"rubric": rubric, "frontier": frontier, "candidate": candidate}
+    return F.concat(*[F.coalesce(given[p], F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
+def judge_verdicts(answers: DataFrame, prices: DataFrame) -> DataFrame:
+    """``answers`` (model, text, stop_reason, tokens_in, tokens_out, ...) with cost_usd, passed and detail.
+
+    The last PASS or FAIL word decides. A refusal, or an answer without such a word, fails with a detail; it costs all the
+    same. A model that the price list lacks costs as much as the dearest in it.
+    """
+    failed = F.coalesce(F.col("stop_reason") == "refusal", F.lit(False)) | tx.verdict_word(F.col("text")).isNull()
+    told = cost.priced(answers, prices, dearest=True)
+    return told.withColumn("passed", F.when(failed, False).otherwise(tx.verdict_word(F.col("text")) == "PASS")).withColumn("detail", F.when(failed, "judge_error:JudgeError"))
+
+
 def grade(cases: DataFrame, judge: Column | None = None) -> DataFrame:
     """Long rows (id, scorer, value, passed, verdict) of cases (id, request, reference, candidate); scorers that don't apply have none.
 

@@ -30,12 +30,15 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
 def hash_embedding(docs: DataFrame, dims: int = 256) -> DataFrame:
     """Sparse unit vectors (id, bucket, weight): each token counts in the bucket of its MD5; texts without tokens have no row.
 
-    dims is a power of two up to 256: a bucket is then the low bits of the digest's last byte.
+    The bucket is the digest, as a number of 128 bits, modulo ``dims`` (up to 2^31): taken 32 bits at a time.
     """
-    if dims not in {1 << k for k in range(9)}:
-        raise ValueError("dims must be a power of two up to 256")
-    each = docs.select("id", F.explode(tokens(F.col("text"))).alias("token"))
-    bucket = F.conv(F.right(F.md5("token"), F.lit(2)), 16, 10).cast("int") % dims
+    if not 1 <= dims <= 1 << 31:
+        raise ValueError("dims must be 1 to 2^31")
+    each = docs.select("id", F.explode(tokens(F.col("text"))).alias("token")).withColumn("digest", F.md5("token"))
+    rest = F.lit(0).cast("bigint")
+    for at in (1, 9, 17, 25):
+        rest = (rest * ((1 << 32) % dims) + F.conv(F.substring("digest", at, 8), 16, 10).cast("bigint")) % dims
+    bucket = rest.cast("int")
     counts = each.groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")).cast("double"))
     return counts.select("id", "bucket", (F.col("n") / norm).alias("weight"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 _POINTS = "array<struct<asInt:string,asDouble:double,timeUnixNano:string,attributes:array<struct<key:string,value:struct<stringValue:string>>>>>"
 PAYLOAD = f"struct<resourceMetrics:array<struct<scopeMetrics:array<struct<metrics:array<struct<name:string,sum:struct<dataPoints:{_POINTS}>,gauge:struct<dataPoints:{_POINTS}>>>>>>>>"
@@ -21,6 +22,22 @@ def points(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return each.select("metric", F.coalesce(F.floor(F.col("d.timeUnixNano").try_cast("decimal(20,0)") / 1_000_000).cast("bigint"), F.lit(0).cast("bigint")).alias("ts_ms"), value.alias("value"), attributes.alias("attributes")).where("value IS NOT NULL")
 
 
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the points in payload files, one a request, that a receiver lands in a folder; what doesn't parse has none."""
+    return points(spark.readStream.schema("payload string").option("wholetext", True).text(folder))
+
+
+def receive(spark: SparkSession, folder: str, path: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
+    """Append the points of newly landed payloads to a Parquet table: every so many seconds, or once what is there."""
+    writer = landed(spark, folder).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def total_tokens(received: DataFrame) -> DataFrame:
+    """(tokens): the sum of received points, 0 without any."""
+    return received.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("tokens"))
+
+
 def completeness(traced: Column, reported: Column) -> Column:
     """Share of reported tokens that traces have, at most 1; without reported tokens 1 for no tokens at all, else 0."""
     return F.when(reported <= 0, F.when(traced == 0, 1.0).otherwise(0.0)).otherwise(F.least(F.try_divide(traced.cast("double"), reported.cast("double")), F.lit(1.0)))
