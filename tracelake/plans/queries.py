@@ -483,6 +483,14 @@ def hash_embedding(spark, d):
     return rounded(_vectors(spark, d), "weight")
 
 
+@query(f"""WITH {_EMBED.split("counts AS")[0]}
+parts AS (SELECT id, md5(token) AS h FROM tokens), counts AS (SELECT id, ((('0x' || h[1:8])::UBIGINT::UHUGEINT * 79228162514264337593543950336 + ('0x' || h[9:16])::UBIGINT::UHUGEINT * 18446744073709551616 + ('0x' || h[17:24])::UBIGINT::UHUGEINT * 4294967296 + ('0x' || h[25:32])::UBIGINT::UHUGEINT) % 300)::INT AS bucket, count(*) AS n FROM parts GROUP BY 1, 2)
+SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS weight FROM counts""", plain=True)
+def hash_embedding_wide(spark, d):
+    rows = ad.load(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return rounded(mining.hash_embedding(rows, 300), "weight")
+
+
 @query(f"WITH {_EMBED} SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS similarity FROM vectors a JOIN vectors b ON a.bucket = b.bucket AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.8", plain=True)
 def similar_prompts(spark, d):
     return rounded(mining.similar_pairs(_vectors(spark, d), 0.8), "similarity")
@@ -598,6 +606,23 @@ def suite_grades(spark, d):
     return scorers.grade(_cases(spark, d)).select("id", "scorer", F.round("value", 6).alias("value"), "passed", "verdict")
 
 
+@query("""SELECT event_id, round(value * CASE event_type WHEN 'view' THEN 1.0 ELSE 4.0 END / 1e6 + event_id % 50 * CASE event_type WHEN 'view' THEN 5.0 ELSE 20.0 END / 1e6, 9) AS cost_usd,
+event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 3 = 0 AS passed, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 'judge_error:JudgeError' END AS detail FROM events""", plain=True)
+def judge_verdicts(spark, d):
+    prices = spark.createDataFrame([("view", False, 1.0, 5.0), ("click", False, 4.0, 20.0)], "model string, local boolean, price_in double, price_out double")
+    said = "CASE WHEN event_id % 5 = 0 THEN 'unsure, it would passable' WHEN event_id % 3 = 0 THEN 'Not a FAIL: pass.' ELSE 'PASS? no, fail' END AS text"
+    answers = ad.load(spark, d, "events").selectExpr("event_id", "event_type AS model", said, "CASE WHEN event_id % 7 = 0 THEN 'refusal' ELSE 'end_turn' END AS stop_reason", "value AS tokens_in", "event_id % 50 AS tokens_out")
+    return scorers.judge_verdicts(answers, prices).select("event_id", F.round("cost_usd", 9).alias("cost_usd"), "passed", "detail")
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) BETWEEN 200 AND 2000 AS short, NOT contains(coalesce(text, ''), '@') AS plain, length(coalesce(text, '')) BETWEEN 200 AND 2000 AND (lang IS DISTINCT FROM 'en' OR NOT contains(coalesce(text, ''), '@')) AS all_pass FROM documents", plain=True)
+def deterministic_checks(spark, d):
+    rows = ad.load(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    checks = {"short": lambda t: tx.within_length(t, 200, 2000), "plain": lambda t: ~F.contains(t, F.lit("@"))}
+    found = rows.select("doc_id", scorers.deterministic_checks(F.col("text"), checks, {"plain": F.col("lang").eqNullSafe("en")}).alias("v"))
+    return found.select("doc_id", F.col("v")[0]["passed"].alias("short"), F.col("v")[1]["passed"].alias("plain"), scorers.all_pass(F.col("v")).alias("all_pass"))
+
+
 @query("SELECT candidate, count(*) AS n, count(*) FILTER (WHERE verdict = 'pass') AS n_pass, round(avg(cost_usd), 6) AS mean_cost FROM replay_results WHERE grader <> 'chain' GROUP BY 1")
 def pass_rates(spark, d):
     return rounded(ad.replay_results(spark, d).where("grader <> 'chain'").groupBy("candidate").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "pass").alias("n_pass"), F.avg("cost_usd").alias("mean_cost")), "mean_cost")
