@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tracelake.llm.common import annotate
+from tracelake.llm.common import annotate, sent_if_small
 
 FEATURES = 1 << 13
 #: Training documents of a language at most, and of all languages together: where there are very many languages, each has fewer.
@@ -131,10 +131,12 @@ def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, text): up to PER_LANGUAGE documents of each value of lang, by a hash of doc_id; one of each at least."""
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = known.groupBy("lang").count()
-    per = max(1, min(PER_LANGUAGE, ALL_LANGUAGES // max(1, sizes.count())))
-    # a hash thins each language to about twice the wanted number before any rows of one meet; one that has few keeps all
+    languages = sizes.count()
+    per = max(1, min(PER_LANGUAGE, ALL_LANGUAGES // max(1, languages)))
+    # a hash thins each language to about twice the wanted number before any rows of one meet; one that has few keeps all.
+    # The sizes are sent to the rows, or the join would deal out all rows by language first
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = known.select("doc_id", "lang", place.alias("place")).join(sizes, "lang").where((F.col("place").cast("double") * F.col("count") < 2.0 * per * (1 << 30)) | (F.col("count") <= 20))
+    some = known.select("doc_id", "lang", place.alias("place")).join(sent_if_small(sizes, languages), "lang").where((F.col("place").cast("double") * F.col("count") < 2.0 * per * (1 << 30)) | (F.col("count") <= 20))
     spread = Window.partitionBy("lang").orderBy("place", "doc_id")
     ids = some.withColumn("n", F.row_number().over(spread)).where(F.col("n") <= per).select("doc_id", F.col("lang").alias("l"))
     # at most ALL_LANGUAGES ids, or one of each language
