@@ -34,7 +34,7 @@ def boundary(grammar: str) -> str:
         raise ValueError("a grammar is classes in brackets, each with or without +, divided by |")
     runs = [c[:-1] for c in re.findall(rf"{_CLASS}\+?", grammar) if c.endswith("+")]
     between = [f"(?<={c})(?!{c})" for c in runs] + ["".join(f"(?<!{c})" for c in runs)]
-    return rf"(?<=[\s\S])(?!\z)(?:{'|'.join(between)})"
+    return rf"(?:{'|'.join(between)})(?<=[\s\S])(?!\z)"
 
 
 def units(text: Column, grammar: str = WORDS) -> Column:
