@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -98,9 +100,19 @@ def test_lcs(spark):
             row = new
         return row[-1]
 
-    pairs = [("", ""), ("abc", ""), ("", "abc"), ("abcbdab", "bdcaba"), ("aaaa", "aa"), ("xyz", "abc")]
-    df = spark.createDataFrame([(i, list(a), list(b)) for i, (a, b) in enumerate(pairs)], "n int, a array<string>, b array<string>")
-    assert [r.v for r in df.select("n", tx.lcs_length(F.col("a"), F.col("b")).alias("v")).orderBy("n").collect()] == [plain(*p) for p in pairs]
+    rng = random.Random(3)
+    pairs = [("", ""), ("abc", ""), ("", "abc"), ("abcbdab", "bdcaba"), ("aaaa", "aa"), ("xyz", "abc"), ([None, "a"], [None, "a", None])]
+    pairs += [([rng.choice("abcd"[:k]) for _ in range(rng.randint(0, 150))], [rng.choice("abcd"[:k]) for _ in range(rng.randint(0, 150))]) for k in (1, 2, 3, 4) for _ in range(15)]
+    df = spark.createDataFrame([(i, list(a), list(b)) for i, (a, b) in enumerate(pairs)] + [(999, None, ["a"])], "n int, a array<string>, b array<string>")
+    assert [r.v for r in df.select("n", tx.lcs_length(F.col("a"), F.col("b")).alias("v")).orderBy("n").collect()] == [plain(*p) for p in pairs] + [None]
+
+
+def test_lcs_of_ten_thousand_calls():
+    rng = random.Random(4)
+    a, b = ([f"tool{rng.randint(0, 40)}" for _ in range(10_000)] for _ in range(2))
+    began = time.time()
+    n = tx.common_subsequence(a, b)
+    assert time.time() - began < 1 and n == tx.common_subsequence(b, a) and 1000 < n < 10_000
 
 
 def test_ulid(spark):

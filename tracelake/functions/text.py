@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,19 +132,31 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the usual table."""
-    first = F.transform(F.array_append(b, F.lit(None).cast("string")), lambda _: F.lit(0))
+def common_subsequence(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence, a row of the usual table in one addition.
+
+    A row is held as the places where it doesn't rise, one bit each; with the places of the next element of ``b`` in ``a`` as
+    bits, the carries of the addition move each rise to the first such place of its run.
+    """
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    flat = every
+    for x in b:
+        if hit := flat & places.get(x, 0):
+            flat = (flat + hit | flat - hit) & every
+    return len(a) - flat.bit_count()
 
-    def next_row(row: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            hit = F.get(row, j) + 1
-            best = F.when(F.get(b, j).eqNullSafe(x), hit).otherwise(F.greatest(F.get(row, j + 1), F.element_at(acc, -1)))
-            return F.array_append(acc, best)
 
-        return F.when(F.size(b) == 0, row).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0))), F.array(F.lit(0)), cell))
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of strings; nulls in them are equal, and a null array gives null."""
+
+    @F.pandas_udf("int")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else common_subsequence(x, y) for x, y in zip(left, right, strict=True)], dtype="Int32")
 
-    return F.element_at(F.aggregate(a, first, next_row), -1)
+    return run(a, b)
 
 
 def verdict_word(text: Column) -> Column:

@@ -18,13 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, plain: bool = False):
+def query(sql: str | None = None, plain: bool = False, recursive: bool = False):
     """Register a function under its name; ``sql`` stands on the adapters' views unless it is ``plain``."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql if plain else f"WITH {ad.SQL_VIEWS}{'' if sql.lstrip().startswith('SELECT') else ','} {sql}"
+            SQL[f.__name__] = sql if plain else f"WITH {'RECURSIVE ' * recursive}{ad.SQL_VIEWS}{'' if sql.lstrip().startswith('SELECT') else ','} {sql}"
         return f
 
     return add
@@ -564,11 +564,11 @@ def keyword_labels(spark, d):
 
 # --- scorers ---------------------------------------------------------------------------------------------------------
 
-_CASES = """cases AS (SELECT id, prompt_text AS request, response_text AS reference, CASE WHEN conv_id % 6 = 0 THEN '' WHEN conv_id % 6 = 1 THEN 'Sorry, I cannot do that' WHEN conv_id % 6 = 2 THEN prompt_text ELSE left(response_text, 200) END AS candidate FROM traces)"""
+_CASES = """cases AS (SELECT id, prompt_text AS request, response_text AS reference, CASE WHEN conv_id % 6 = 0 THEN '' WHEN conv_id % 6 = 1 THEN 'Sorry, I cannot do that' WHEN conv_id % 6 = 2 THEN prompt_text WHEN conv_id % 6 = 3 THEN prompt_text || ' ' || response_text WHEN conv_id % 6 = 4 THEN replace(response_text, 'th', 'd') ELSE response_text END AS candidate FROM traces)"""
 
 
 def _cases(spark, d) -> DataFrame:
-    return ad.traces(spark, d).selectExpr("id", "prompt_text AS request", "response_text AS reference", "CASE WHEN conv_id % 6 = 0 THEN '' WHEN conv_id % 6 = 1 THEN 'Sorry, I cannot do that' WHEN conv_id % 6 = 2 THEN prompt_text ELSE left(response_text, 200) END AS candidate")
+    return ad.traces(spark, d).selectExpr("id", "prompt_text AS request", "response_text AS reference", "CASE WHEN conv_id % 6 = 0 THEN '' WHEN conv_id % 6 = 1 THEN 'Sorry, I cannot do that' WHEN conv_id % 6 = 2 THEN prompt_text WHEN conv_id % 6 = 3 THEN concat(prompt_text, ' ', response_text) WHEN conv_id % 6 = 4 THEN replace(response_text, 'th', 'd') ELSE response_text END AS candidate")
 
 
 @query(_CASES + """ SELECT id, NOT (trim(candidate) = '' OR regexp_matches(left(candidate, 200), '(?i)^\\s*sorry\\b') AND NOT regexp_matches(left(reference, 200), '(?i)^\\s*sorry\\b')) AS passed FROM cases""")
@@ -594,7 +594,26 @@ def format_check(spark, d):
     return rows.select("id", scorers.format_check(F.col("reference"), F.col("candidate")).alias("passed"))
 
 
-@query()
+# the table of the longest common subsequence row by row: a row is the running greatest of its place in the row before, one more
+# than the place before that where the names are equal
+@query(_CASES + """, seqs AS (
+  SELECT id, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r, regexp_extract_all(lower(candidate), '[a-z0-9]+') AS c FROM cases
+), names AS (
+  SELECT id, unnest(r) AS token, unnest(range(len(r))) + 1 AS i FROM seqs
+), others AS (
+  SELECT id, unnest(c) AS token, unnest(range(len(c))) + 1 AS j FROM seqs
+), cells AS (
+  SELECT id, 0::BIGINT AS i, j, 0::BIGINT AS v FROM others
+  UNION ALL
+  SELECT id, i, j, max(x) OVER (PARTITION BY id ORDER BY j) FROM (
+    SELECT s.id, s.i + 1 AS i, s.j, CASE WHEN left(n.token, 2) = left(o.token, 2) THEN coalesce(lag(s.v) OVER (PARTITION BY s.id ORDER BY s.j), 0) + 1 ELSE s.v END AS x
+    FROM cells s JOIN names n ON n.id = s.id AND n.i = s.i + 1 JOIN others o ON o.id = s.id AND o.j = s.j)
+), lengths AS (
+  SELECT s.id, max(v) AS n FROM cells s JOIN seqs q ON s.id = q.id AND s.i = len(q.r) GROUP BY 1
+), same AS (
+  SELECT n.id, avg((n.token = o.token)::INT) AS share FROM names n JOIN others o ON n.id = o.id AND n.i = o.j AND left(n.token, 2) = left(o.token, 2) GROUP BY 1
+)
+SELECT q.id, CASE WHEN len(r) + len(c) > 0 THEN round(0.7 * 2 * coalesce(n, 0) / (len(r) + len(c)) + 0.3 * coalesce(share, 0), 6) END AS value FROM seqs q LEFT JOIN lengths l ON q.id = l.id LEFT JOIN same s ON q.id = s.id""", recursive=True)
 def trajectory(spark, d):
     calls = F.transform(tx.tokens(F.col("reference")), lambda t: F.struct(F.left(t, F.lit(2)).alias("name"), F.array(t).alias("input_keys")))
     other = F.transform(tx.tokens(F.col("candidate")), lambda t: F.struct(F.left(t, F.lit(2)).alias("name"), F.array(t).alias("input_keys")))
