@@ -39,9 +39,12 @@ def trajectory(reference: Column, candidate: Column) -> Column:
     names = lambda calls: F.transform(calls, lambda c: c["name"])
     m, n = F.size(reference), F.size(candidate)
     order = 2 * tx.lcs_length(names(reference), names(candidate)) / (m + n)
-    same = F.filter(F.arrays_zip(F.transform(reference, lambda c: F.struct(c["name"].alias("name"), c["input_keys"].alias("keys"))).alias("a"), F.transform(candidate, lambda c: F.struct(c["name"].alias("name"), c["input_keys"].alias("keys"))).alias("b")), lambda p: p["a"]["name"] == p["b"]["name"])
-    total = F.aggregate(same, F.lit(0.0), lambda acc, p: acc + tx.jaccard(p["a"]["keys"], p["b"]["keys"]))
-    arguments = F.coalesce(F.try_divide(total, F.size(same)), F.lit(0.0))
+    alike = lambda a, b: F.when(a["input_keys"] == b["input_keys"], F.lit(1.0)).otherwise(tx.jaccard(a["input_keys"], b["input_keys"]))
+    least = F.least(m, n)
+    same = F.zip_with(F.slice(reference, 1, least), F.slice(candidate, 1, least), lambda a, b: F.when(a["name"] == b["name"], alike(a, b)))
+    # sum and number in one pass
+    total = F.aggregate(same, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda acc, p: F.struct((acc["sum"] + F.coalesce(p, F.lit(0.0))).alias("sum"), (acc["n"] + p.isNotNull().cast("int")).alias("n")))
+    arguments = F.coalesce(F.aggregate(F.array(total), F.lit(None).cast("double"), lambda _, t: F.try_divide(t["sum"], t["n"])), F.lit(0.0))
     return F.when(m + n > 0, 0.7 * order + 0.3 * arguments)
 
 

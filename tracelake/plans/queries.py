@@ -617,7 +617,8 @@ SELECT q.id, CASE WHEN len(r) + len(c) > 0 THEN round(0.7 * 2 * coalesce(n, 0) /
 def trajectory(spark, d):
     calls = F.transform(tx.tokens(F.col("reference")), lambda t: F.struct(F.left(t, F.lit(2)).alias("name"), F.array(t).alias("input_keys")))
     other = F.transform(tx.tokens(F.col("candidate")), lambda t: F.struct(F.left(t, F.lit(2)).alias("name"), F.array(t).alias("input_keys")))
-    return _cases(spark, d).select("id", F.round(scorers.trajectory(calls, other), 6).alias("value"))
+    told = _cases(spark, d).select("id", calls.alias("made"), other.alias("asked"))
+    return told.select("id", F.round(scorers.trajectory(F.col("made"), F.col("asked")), 6).alias("value"))
 
 
 @query()
