@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake import schemas
-from tracelake.operators import indicators, mining, replay, windows
+from tracelake.operators import indicators, mining, replay, similarity, windows
 from tracelake.operators.exposition import exposition
 from tracelake.sources import otlp, rules, sync, transcripts
 from tracelake.streaming import capture
@@ -203,7 +203,7 @@ def test_mining(spark):
     topics = {i: ("python error traceback import module" if i < 3 else "invoice payment refund customer money") + f" x{i}" for i in range(6)}
     v = mining.hash_embedding(spark.createDataFrame([*topics.items(), (9, "")], "id bigint, text string"))
     ids = spark.createDataFrame([(i,) for i in [*topics, 9]], "id bigint")
-    found = mining.clusters(mining.components(ids, mining.similar_pairs(v, 0.5)))
+    found = mining.clusters(mining.components(ids, similarity.similar_links(v, 0.5)))
     assert {r.id: r.cluster for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 9: -1}
     centres = mining.medoids(v, found)
     assert {r.cluster: r.id for r in centres.collect()}.keys() == {0, 3}

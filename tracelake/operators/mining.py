@@ -1,30 +1,12 @@
-"""Grouping of traces: hashed embeddings, similarity joins, single-linkage components, medoids, stable identities."""
+"""Grouping of traces: hashed embeddings, single-linkage components, medoids, stable identities."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import STOP_WORDS, tokens
-
-
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """Written to the folder that executors share and read again, to cut lineage within a loop."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tracelake.operators.tables import drop, shared_table
 
 
 def hash_embedding(docs: DataFrame, dims: int = 256) -> DataFrame:
@@ -50,44 +32,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity), a < b, of sparse unit vectors whose dot product reaches ``least``.
-
-    An inverted index: vectors meet only in buckets that both have, and one shuffle by pair adds up.
-    """
-    left = vectors.select(F.col("id").alias("a"), "bucket", F.col("weight").alias("wa"))
-    right = vectors.select(F.col("id").alias("b"), "bucket", F.col("weight").alias("wb"))
-    sums = left.join(right, "bucket").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return sums.where(F.col("similarity") >= least)
-
-
-def dense_pairs(vectors: DataFrame, least: float, blocks: int = 8) -> DataFrame:
-    """(a, b, similarity), a < b, of dense vectors (id, v): blocks of rows meet as matrices, each pair of blocks in one task.
-
-    Exact for all pairs; a block pair is a matrix product, so no pair below ``least`` becomes a row.
-    """
-    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    rows = vectors.select("id", "v", part.alias("part"))
-    pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
-    # each block goes to every pair of blocks that it is in: `blocks` copies of a row
-    meets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    sent = rows.select("id", "v", "part", F.explode(F.filter(meets, lambda p: (p.i == F.col("part")) | (p.j == F.col("part")))).alias("p")).select("id", "v", "part", "p.i", "p.j")
-
-    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        unit = lambda x: (m := np.stack(x["v"].to_list()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        left, right = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-        sims = unit(left) @ unit(right).T
-        r, c = np.nonzero(sims >= least)
-        a, b = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[r, c][keep]})
-
-    return sent.groupBy("i", "j").applyInPandas(product, "a bigint, b bigint, similarity double")
-
-
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that a node reaches over links (a, b); links may repeat and be given in either order.
 
@@ -103,7 +47,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         hung = shared_table(around.where("b > a").join(least, "a").select(F.col("low").alias("a"), "b").distinct(), "links")
         lowest = hung.groupBy("b").agg(F.min("a").alias("low"))
         after = hung.join(lowest, "b").select(F.col("low").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b")
-        tree = shared_table(after.distinct(), "links")
+        before, tree = tree, shared_table(after.distinct(), "links")
+        drop(before, hung)
         # settled when every node hangs on one root, and no root on another
         twice = tree.groupBy("b").count().where("count > 1").limit(1).count()
         if not twice and not tree.join(tree.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tracelake import schemas
 from tracelake.functions import scorers
 from tracelake.functions.messages import prompt_text_udf, response_udf
-from tracelake.operators import indicators, mining, replay, reports, windows
+from tracelake.operators import indicators, mining, replay, reports, similarity, windows
 from tracelake.operators.exposition import exposition
+from tracelake.operators.tables import drop, shared_table
 from tracelake.sources import sync, transcripts
 
 
@@ -129,12 +130,12 @@ class Store:
 
     def _overwrite(self, name: str, rows: DataFrame) -> None:
         """A table's rows replaced; they may be made from the table itself, so they are written beside it first."""
-        mining.shared_table(rows.select([f.name for f in schemas.schema(name).fields]), name).write.insertInto(f"{self.database}.{name}", overwrite=True)
+        shared_table(rows.select([f.name for f in schemas.schema(name).fields]), name).write.insertInto(f"{self.database}.{name}", overwrite=True)
 
     def _backfill(self) -> int:
         """Give stored traces without a prompt_text the one that their request has; how many."""
         bare = self.table("traces").where("prompt_text IS NULL").withColumn("prompt_text", prompt_text_udf("request_json")).where("prompt_text <> ''")
-        found = mining.shared_table(bare.select("id", F.col("prompt_text").alias("found")), "prompts")
+        found = shared_table(bare.select("id", F.col("prompt_text").alias("found")), "prompts")
         n = found.count()
         if n:
             rows = self.table("traces").join(found, "id", "left").withColumn("prompt_text", F.coalesce("prompt_text", "found"))
@@ -150,12 +151,12 @@ class Store:
         and matched archetypes and the two gauges.
         """
         rows = self.table("traces").where("NOT quarantined AND prompt_text IS NOT NULL").select("id", F.col("prompt_text").alias("text")).withColumn("n", F.xxhash64("id"))
-        rows = mining.shared_table(rows, "prompts")
-        v = mining.shared_table(mining.hash_embedding(rows.select(F.col("n").alias("id"), "text")), "vectors")
-        found = mining.components(rows.select(F.col("n").alias("id")), mining.similar_pairs(v, least))
-        members = mining.shared_table(mining.clusters(found, size), "members")
-        centres = mining.shared_table(mining.medoids(v, members), "medoids")
-        archetypes = mining.shared_table(self.table("archetypes"), "archetypes")
+        rows = shared_table(rows, "prompts")
+        v = shared_table(mining.hash_embedding(rows.select(F.col("n").alias("id"), "text")), "vectors")
+        found = mining.components(rows.select(F.col("n").alias("id")), similarity.similar_links(v, least))
+        members = shared_table(mining.clusters(found, size), "members")
+        centres = shared_table(mining.medoids(v, members), "medoids")
+        archetypes = shared_table(self.table("archetypes"), "archetypes")
         old = archetypes.where("merged_into IS NULL").select(F.col("id").alias("archetype_id"), F.xxhash64("medoid_trace_id").alias("id")).join(v, "id").select("archetype_id", "bucket", F.col("weight").alias("w"))
         near = centres.join(v, "id").join(old, "bucket").groupBy("cluster", "archetype_id").agg(F.sum(F.col("weight") * F.col("w")).alias("similarity"))
         taken = mining.match_identities(near, match)  # pairs of medoids that reach the threshold
@@ -163,7 +164,7 @@ class Store:
         known = self.spark.createDataFrame([(k, a) for k, a in taken.items()], "cluster bigint, known string")
         made = F.concat(F.lit("a-"), F.left(F.sha2(F.concat_ws("|", "trace_id", F.lit(now_ms)), 256), F.lit(24)))
         made = centres.join(names, centres["id"] == names["member"]).join(F.broadcast(known), "cluster", "left").select("cluster", F.col("trace_id").alias("medoid_trace_id"), F.coalesce("known", made).alias("archetype_id"), F.col("known").isNull().alias("new"))
-        made = mining.shared_table(made, "identities")
+        made = shared_table(made, "identities")
         texts = members.where("cluster <> -1").withColumnRenamed("id", "member").join(names, "member").select("cluster", F.col("trace_id").alias("id"), "text")
         fresh = made.where("new")
         if label is None:
@@ -176,8 +177,8 @@ class Store:
         kept = archetypes.join(moved, "id", "left").withColumn("updated_ts", F.when(F.col("medoid").isNotNull(), F.lit(now_ms)).otherwise(F.col("updated_ts"))).withColumn("medoid_trace_id", F.coalesce("medoid", "medoid_trace_id")).drop("medoid")
         far = mining.distances(v, members, centres).withColumnRenamed("id", "member")
         given = far.join(names, "member").join(made.select("cluster", "archetype_id"), "cluster").select("trace_id", "archetype_id", "distance", F.lit(now_ms).cast("bigint").alias("assigned_ts"))
-        given = mining.shared_table(given, "assignments")
-        before = mining.shared_table(self.table("archetype_assignments"), "assignments")
+        given = shared_table(given, "assignments")
+        before = shared_table(self.table("archetype_assignments"), "assignments")
         self._overwrite("archetype_assignments", mining.upsert(before, given, "trace_id"))
         self._overwrite("archetypes", kept.unionByName(added))
         total, assigned = rows.count(), given.count()
@@ -189,10 +190,10 @@ class Store:
         Results and scores that are stored already, by id and by (result, scorer), are left as they are; the number of new results.
         """
         new = results.select([f.name for f in schemas.schema("replay_results").fields]).dropDuplicates(["id"])
-        new = mining.shared_table(new.join(self.table("replay_results").select("id"), "id", "left_anti").select(new.columns), "results")
+        new = shared_table(new.join(self.table("replay_results").select("id"), "id", "left_anti").select(new.columns), "results")
         key = ["replay_result_id", "scorer"]
         rows = scores.select([f.name for f in schemas.schema("eval_scores").fields]).dropDuplicates(key)
-        rows = mining.shared_table(rows.join(self.table("eval_scores").select(*key), key, "left_anti").select(rows.columns), "scores")
+        rows = shared_table(rows.join(self.table("eval_scores").select(*key), key, "left_anti").select(rows.columns), "scores")
         new.write.insertInto(f"{self.database}.replay_results")
         rows.write.insertInto(f"{self.database}.eval_scores")
         return new.count()
@@ -204,11 +205,11 @@ class Store:
         of the columns (request, reference, candidate) that gives a boolean column; without it tokens are compared.
         """
         work = self.work(ladder, n, seed)
-        done = mining.shared_table(replay.replay(work, call, budget), "replayed")
+        done = shared_table(replay.replay(work, call, budget), "replayed")
         asked = self.table("traces").select(F.col("id").alias("source_trace_id"), F.col("prompt_text").alias("request"), response_udf("response_json").alias("said"))
         cases = done.join(asked, "source_trace_id").select("id", F.coalesce("request", F.lit("")).alias("request"), "said.text", F.coalesce("response_text", F.lit("")).alias("candidate"), F.transform("said.tool_calls", lambda c: F.struct(c["name"].alias("name"), c["input_keys"].alias("input_keys"))).alias("reference_calls")).withColumnRenamed("text", "reference")
         cases = cases.withColumn("candidate_calls", F.array().cast("array<struct<name:string,input_keys:array<string>>>"))
-        graded = mining.shared_table(scorers.grade(cases, None if judge is None else judge(F.col("request"), F.col("reference"), F.col("candidate"))), "graded")
+        graded = shared_table(scorers.grade(cases, None if judge is None else judge(F.col("request"), F.col("reference"), F.col("candidate"))), "graded")
         verdicts = graded.groupBy("id").agg(F.min("verdict").alias("verdict"))
         results = done.join(verdicts, "id", "left").select("id", "archetype_id", "candidate", "source_trace_id", F.when(F.col("error").isNull(), F.coalesce("verdict", F.lit("fail"))).otherwise("fail").alias("verdict"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), F.col("latency_ms").cast("int").alias("latency_ms"), F.lit("suite").alias("grader"), F.lit(run_id).alias("run_id"), F.lit(now_ms).cast("bigint").alias("ts"), "response_text")
         rows = graded.join(done.where("error IS NULL").select("id", "archetype_id", "candidate"), "id").select(F.col("id").alias("replay_result_id"), F.lit(run_id).alias("run_id"), "archetype_id", "candidate", "scorer", "value", "passed", F.lit(None).cast("string").alias("detail"), F.lit(now_ms).cast("bigint").alias("ts"))
@@ -219,7 +220,7 @@ class Store:
         rows = self.table("traces").where("NOT quarantined AND prompt_text IS NOT NULL").select("id", F.col("prompt_text").alias("text"))
         numbered = rows.withColumn("n", F.xxhash64("id"))
         v = mining.hash_embedding(numbered.select(F.col("n").alias("id"), "text"))
-        members = mining.clusters(mining.components(numbered.select(F.col("n").alias("id")), mining.similar_pairs(v, least)), size)
+        members = mining.clusters(mining.components(numbered.select(F.col("n").alias("id")), similarity.similar_links(v, least)), size)
         return numbered.join(members.withColumnRenamed("id", "n"), "n").select("id", "cluster"), mining.medoids(v, members)
 
     def work(self, ladder: DataFrame, n: int, seed: str) -> DataFrame:

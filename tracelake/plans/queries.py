@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import cost, messages, scorers, stats
 from tracelake.functions import text as tx
-from tracelake.operators import mining, reports, windows
+from tracelake.operators import mining, reports, similarity, windows
 from tracelake.plans import adapters as ad
 from tracelake.plans.adapters import DAY, NOW
 
@@ -493,14 +493,18 @@ def hash_embedding_wide(spark, d):
 
 @query(f"WITH {_EMBED} SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS similarity FROM vectors a JOIN vectors b ON a.bucket = b.bucket AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.8", plain=True)
 def similar_prompts(spark, d):
-    return rounded(mining.similar_pairs(_vectors(spark, d), 0.8), "similarity")
+    return rounded(similarity.similar_pairs(_vectors(spark, d), 0.8), "similarity")
 
 
 _PAIRS = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35)"
 
 
+def _embeddings(spark, d) -> DataFrame:
+    return ad.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
 def _dense(spark, d) -> DataFrame:
-    return mining.dense_pairs(ad.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.35)
+    return similarity.dense_pairs(_embeddings(spark, d), 0.35)
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs", plain=True)
@@ -514,7 +518,7 @@ reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT reach.id
 
 @query(_COMPONENTS + " SELECT id, component FROM comps", plain=True)
 def components(spark, d):
-    return mining.components(ad.load(spark, d, "embeddings").select(F.col("vec_id").alias("id")), _dense(spark, d))
+    return mining.components(ad.load(spark, d, "embeddings").select(F.col("vec_id").alias("id")), similarity.dense_links(_embeddings(spark, d), 0.35))
 
 
 @query(_COMPONENTS + " SELECT id, CASE WHEN count(*) OVER (PARTITION BY component) >= 3 THEN component ELSE -1 END AS cluster FROM comps", plain=True)
