@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake import schemas
-from tracelake.operators import indicators, mining, replay, similarity, windows
+from tracelake.operators import indicators, mining, prefix, replay, similarity, windows
 from tracelake.operators.exposition import exposition
 from tracelake.sources import otlp, rules, sync, transcripts
 from tracelake.streaming import capture
@@ -110,17 +110,17 @@ def test_alert_stream_equals_batch(spark, tmp_path):
 def test_sprt(spark):
     cases = {"a": "T", "b": "TT", "c": "FF", "d": "TFTF", "e": "TTTT"}
     rows = [(k, i, x == "T") for k, s in cases.items() for i, x in enumerate(s)]
-    got = {r.pair: (r.state, r.n_samples) for r in windows.sprt(spark.createDataFrame(rows, "pair string, n int, passed boolean"), ["pair"], ["n"], 0.9, 0.1).collect()}
+    got = {r.pair: (r.state, r.n_samples) for r in prefix.sprt(spark.createDataFrame(rows, "pair string, n int, passed boolean"), ["pair"], ["n"], 0.9, 0.1).collect()}
     assert got == {"a": ("inconclusive", 1), "b": ("pass", 2), "c": ("fail", 2), "d": ("inconclusive", 4), "e": ("pass", 2)}
     with pytest.raises(ValueError):
-        windows.sprt(spark.createDataFrame(rows, "pair string, n int, passed boolean"), ["pair"], ["n"], 0.5, 0.9)
+        prefix.sprt(spark.createDataFrame(rows, "pair string, n int, passed boolean"), ["pair"], ["n"], 0.5, 0.9)
 
 
 def test_regressions_and_budget(spark):
     rows = [(f"{k}{i}", "a", k, "pass" if i < good else "fail", i) for k, n, good in (("few", 5, 0), ("half", 20, 10), ("fine", 20, 20)) for i in range(n)]
     got = {r.candidate: r.breached for r in windows.regressions(spark.createDataFrame(rows, "id string, archetype_id string, candidate string, result string, ts int"), 20, 0.8).collect()}
     assert got == {"few": False, "half": True, "fine": False}
-    spend = windows.within_budget(spark.createDataFrame([(i, 2.0) for i in range(5)], "n int, cost_usd double"), 3.0, ["n"])
+    spend = prefix.within_budget(spark.createDataFrame([(i, 2.0) for i in range(5)], "n int, cost_usd double"), 3.0, ["n"])
     assert [r.spent for r in spend.orderBy("n").collect()] == [2.0, 4.0]
 
 
@@ -209,7 +209,7 @@ def test_mining(spark):
     assert {r.cluster: r.id for r in centres.collect()}.keys() == {0, 3}
     assert all(0 <= r.distance < 0.5 for r in mining.distances(v, found, centres).collect())
     pairs = spark.createDataFrame([(0, "a", 0.9), (0, "b", 0.8), (3, "a", 0.95), (3, "c", 0.7)], "cluster bigint, archetype_id string, similarity double")
-    assert mining.match_identities(pairs) == {0: "a"}
+    assert [tuple(r) for r in mining.match_identities(pairs).collect()] == [(0, "a")]
     labels = mining.keyword_labels(spark.createDataFrame([(1, 1, "the python error"), (1, 2, "python ERROR trace"), (2, 3, "a of")], "cluster bigint, id bigint, text string"))
     assert {r.cluster: r.label for r in labels.collect()} == {1: "Python Error Trace", 2: "Unlabeled"}
     path = mining.components(spark.range(40), spark.createDataFrame([(i, i + 1) for i in range(38)] + [(5, 3)], "a bigint, b bigint"))

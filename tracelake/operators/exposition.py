@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.stats import nearest_rank
+from tracelake.operators.prefix import percentiles
 
 
 def exposition(rows: DataFrame, prefix: str) -> DataFrame:
@@ -14,9 +14,11 @@ def exposition(rows: DataFrame, prefix: str) -> DataFrame:
     quoted = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), quoted(e["value"]), F.lit('"'))), ",")
     keyed = rows.select(name.alias("name"), "kind", pairs.alias("pairs"), "value")
-    sums = keyed.groupBy("name", "kind", "pairs").agg(F.sum("value").alias("sum"), F.max("value").alias("max"), F.count("value").alias("n"), F.collect_list(F.when(F.col("kind") == "histogram", F.col("value"))).alias("v"))
+    sums = keyed.groupBy("name", "kind", "pairs").agg(F.sum("value").alias("sum"), F.max("value").alias("max"), F.count("value").alias("n"))
+    ranks = percentiles(keyed.where("kind = 'histogram'"), ["name", "pairs"], "value", {"q0": 0.5, "q1": 0.9, "q2": 0.99}).drop("n").withColumn("kind", F.lit("histogram"))
+    sums = sums.join(ranks, ["name", "pairs", "kind"], "left")
     braced = lambda extra: F.when((F.col("pairs") == "") & F.lit(extra == ""), "").otherwise(F.concat(F.lit("{"), F.concat_ws(",", F.nullif("pairs", F.lit("")), F.lit(extra or None)), F.lit("}")))
     plain = F.array(F.concat("name", braced(""), F.lit(" "), F.when(F.col("kind") == "gauge", F.col("max")).otherwise(F.col("sum")).cast("string")))
-    quantiles = [F.concat("name", braced(f'quantile="{q}"'), F.lit(" "), nearest_rank(F.col("v"), q).cast("string")) for q in (0.5, 0.9, 0.99)]
+    quantiles = [F.concat("name", braced(f'quantile="{q}"'), F.lit(" "), F.col(f"q{i}").cast("string")) for i, q in enumerate((0.5, 0.9, 0.99))]
     summary = F.array(*quantiles, F.concat("name", F.lit("_sum"), braced(""), F.lit(" "), F.round("sum", 6).cast("string")), F.concat("name", F.lit("_count"), braced(""), F.lit(" "), F.col("n").cast("string")))
     return sums.select(F.explode(F.when(F.col("kind") == "histogram", summary).otherwise(plain)).alias("line")).orderBy("line")

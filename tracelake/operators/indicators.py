@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.stats import nearest_rank
+from tracelake.operators.prefix import percentiles
 from tracelake.operators import reports
 
 
@@ -74,7 +74,7 @@ def capture_lag(c: Context):
 
 @indicator("proxy_added_latency_p99_ms")
 def proxy_latency(c: Context):
-    return c.tables["metrics"].where("name = 'proxy_added_latency_ms' AND kind = 'histogram'").agg(nearest_rank(F.collect_list("value"), 0.99)).first()[0]
+    return c.tables["metrics"].where("name = 'proxy_added_latency_ms' AND kind = 'histogram'").transform(lambda rows: percentiles(rows, [], "value", {"p99": 0.99})).first()["p99"]
 
 
 @indicator("operation_error_ratio")

@@ -81,19 +81,23 @@ def distances(vectors: DataFrame, members: DataFrame, centres: DataFrame) -> Dat
     return rows.groupBy("id", "cluster").agg(F.greatest(F.lit(0.0), 1 - F.sum(F.col("weight") * F.coalesce("wm", F.lit(0.0)))).alias("distance"))
 
 
-def match_identities(candidates: DataFrame, least: float = 0.75) -> dict[int, str]:
-    """Greedy one-to-one matches from (cluster, archetype_id, similarity): clusters in order, each takes its best free archetype.
+def match_identities(candidates: DataFrame, least: float = 0.75) -> DataFrame:
+    """(cluster, archetype_id): one-to-one matches from (cluster, archetype_id, similarity), those of clusters in order, each taking its best free archetype.
 
-    Pairs are of medoids, so clusters times stored archetypes at most, and only those that reach ``least`` come to the driver.
+    Of equal similarities the smaller archetype_id is better. Done in rounds: every cluster asks its best archetype left, an archetype
+    holds on to the smallest cluster that ever asked it, and what it would refuse to later clusters goes. Nobody being refused, all hold
+    what the clusters would have taken one by one: a cluster is refused only by an archetype that a smaller one gets.
     """
-    taken: set[str] = set()
-    found: dict[int, str] = {}
-    rows = candidates.where(F.col("similarity") >= least).orderBy("cluster", F.desc("similarity"), "archetype_id")
-    for r in rows.toLocalIterator():
-        if r["cluster"] not in found and r["archetype_id"] not in taken:
-            found[r["cluster"]] = r["archetype_id"]
-            taken.add(r["archetype_id"])
-    return found
+    left = shared_table(candidates.where(F.col("similarity") >= least).groupBy("cluster", "archetype_id").agg(F.max("similarity").alias("similarity")), "asking")
+    while True:
+        best = left.groupBy("cluster").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "archetype_id")).alias("b")).select("cluster", "b.archetype_id")
+        held = best.groupBy("archetype_id").agg(F.min("cluster").alias("holder"))
+        asked = shared_table(best.join(held, "archetype_id"), "asked")
+        if not asked.where("cluster <> holder").limit(1).count():
+            return asked.select("cluster", "archetype_id")
+        holders = asked.select("archetype_id", "holder").distinct()
+        before, left = left, shared_table(left.join(holders, "archetype_id", "left").where("holder IS NULL OR cluster <= holder").drop("holder"), "asking")
+        drop(before, asked)
 
 
 def keyword_labels(texts: DataFrame, k: int = 3, exemplars: int = 5) -> DataFrame:

@@ -1,14 +1,10 @@
-"""Ordered operators over sessions, pairs and series: pairing, sampling, budgets, sequential tests, alerts."""
+"""Ordered operators over sessions, pairs and series: pairing, sampling, alerts."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.stats import sprt_step
-
 
 def carry_forward(rows: DataFrame, session: str, order: str, is_human: Column, value: Column, name: str) -> DataFrame:
     """The last human value at or before each row of a session; a human row with a null value resets it to null."""
@@ -52,28 +48,6 @@ def chain_sample(traces: DataFrame, max_chains: int, max_steps: int, seed: str)
     return rows.where((F.col("chain") <= max_chains) & (F.col("step") <= max_steps)).drop("__size")
 
 
-def within_budget(rows: DataFrame, budget: float, order: list[str], partition: list[str] | None = None) -> DataFrame:
-    """Rows before which less than the budget was spent, in order; the last may overshoot. ``spent`` is the sum with the row."""
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
-    before = F.coalesce(F.sum("cost_usd").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("__before", before).where(F.col("__before") < budget).withColumn("spent", F.col("__before") + F.coalesce("cost_usd", F.lit(0.0))).drop("__before")
-
-
-def sprt(outcomes: DataFrame, pair: list[str], order: list[str], p0: float = 0.9, p1: float = 0.8, alpha: float = 0.05, beta: float = 0.05) -> DataFrame:
-    """Sequential test of each pair's outcomes (``passed``): state, n_samples, n_pass and llr at the first crossing, or at the end."""
-    if not 0 < p1 < p0 < 1:
-        raise ValueError("0 < p1 < p0 < 1 is needed")
-    upper, lower = math.log((1 - beta) / alpha), math.log(beta / (1 - alpha))
-    w = Window.partitionBy(*pair).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = outcomes.withColumn("__n", F.row_number().over(w)).withColumn("__llr", F.sum(sprt_step(F.col("passed"), p0, p1)).over(run)).withColumn("__pass", F.sum(F.col("passed").cast("int")).over(run))
-    state = F.when(F.col("__llr") >= upper, "pass").when(F.col("__llr") <= lower, "fail").otherwise("inconclusive")
-    done = state != "inconclusive"
-    # the row that decides: the first that crosses, else the last
-    decided = F.struct(F.when(done, 0).otherwise(1).alias("open"), F.when(done, F.col("__n")).otherwise(-F.col("__n")).alias("k"), state.alias("state"), F.col("__n").alias("n_samples"), F.col("__pass").cast("int").alias("n_pass"), F.col("__llr").alias("llr"))
-    return rows.groupBy(*pair).agg(F.min(decided).alias("d")).select(*pair, "d.state", "d.n_samples", "d.n_pass", F.col("d.llr").alias("log_likelihood_ratio"))
-
-
 def latest(rows: DataFrame, pair: list[str], order: str = "ts") -> DataFrame:
     """All rows with the last ``order`` of their pair; ties stay."""
     return rows.withColumn("__r", F.rank().over(Window.partitionBy(*pair).orderBy(F.desc(order)))).where("__r = 1").drop("__r")

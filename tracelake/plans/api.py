@@ -159,11 +159,10 @@ class Store:
         archetypes = shared_table(self.table("archetypes"), "archetypes")
         old = archetypes.where("merged_into IS NULL").select(F.col("id").alias("archetype_id"), F.xxhash64("medoid_trace_id").alias("id")).join(v, "id").select("archetype_id", "bucket", F.col("weight").alias("w"))
         near = centres.join(v, "id").join(old, "bucket").groupBy("cluster", "archetype_id").agg(F.sum(F.col("weight") * F.col("w")).alias("similarity"))
-        taken = mining.match_identities(near, match)  # pairs of medoids that reach the threshold
+        known = mining.match_identities(near, match).withColumnRenamed("archetype_id", "known")
         names = rows.select(F.col("n").alias("member"), F.col("id").alias("trace_id"), "text")
-        known = self.spark.createDataFrame([(k, a) for k, a in taken.items()], "cluster bigint, known string")
         made = F.concat(F.lit("a-"), F.left(F.sha2(F.concat_ws("|", "trace_id", F.lit(now_ms)), 256), F.lit(24)))
-        made = centres.join(names, centres["id"] == names["member"]).join(F.broadcast(known), "cluster", "left").select("cluster", F.col("trace_id").alias("medoid_trace_id"), F.coalesce("known", made).alias("archetype_id"), F.col("known").isNull().alias("new"))
+        made = centres.join(names, centres["id"] == names["member"]).join(known, "cluster", "left").select("cluster", F.col("trace_id").alias("medoid_trace_id"), F.coalesce("known", made).alias("archetype_id"), F.col("known").isNull().alias("new"))
         made = shared_table(made, "identities")
         texts = members.where("cluster <> -1").withColumnRenamed("id", "member").join(names, "member").select("cluster", F.col("trace_id").alias("id"), "text")
         fresh = made.where("new")
@@ -182,7 +181,7 @@ class Store:
         self._overwrite("archetype_assignments", mining.upsert(before, given, "trace_id"))
         self._overwrite("archetypes", kept.unionByName(added))
         total, assigned = rows.count(), given.count()
-        return {"new": sorted(r["archetype_id"] for r in fresh.collect()), "matched": sorted(taken.values()), "unassigned_traces_ratio": (total - assigned) / total if total else None, "archetype_count": self.table("archetypes").where("merged_into IS NULL").count()}
+        return {"new": sorted(r["archetype_id"] for r in fresh.collect()), "matched": sorted(r["archetype_id"] for r in made.where("NOT new").select("archetype_id").collect()), "unassigned_traces_ratio": (total - assigned) / total if total else None, "archetype_count": self.table("archetypes").where("merged_into IS NULL").count()}
 
     def save_results(self, results: DataFrame, scores: DataFrame) -> int:
         """Append graded results (columns of replay_results; a chain's grader is ``chain`` and its trace the session) and their scores.

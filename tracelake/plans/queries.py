@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import cost, messages, scorers, stats
 from tracelake.functions import text as tx
-from tracelake.operators import mining, reports, similarity, windows
+from tracelake.operators import mining, prefix, reports, similarity, windows
 from tracelake.plans import adapters as ad
 from tracelake.plans.adapters import DAY, NOW
 
@@ -187,8 +187,7 @@ def alert_transitions(spark, d):
 @query("""SELECT event_type, count(*) AS n, ordered[round_even(0.5 * (n_all - 1), 0)::INT + 1] AS p50, ordered[round_even(0.9 * (n_all - 1), 0)::INT + 1] AS p90, ordered[round_even(0.99 * (n_all - 1), 0)::INT + 1] AS p99
 FROM (SELECT event_type, list(value ORDER BY value) AS ordered, count(*) AS n_all FROM events GROUP BY 1), (SELECT 1) GROUP BY event_type, ordered, n_all""".replace("count(*) AS n,", "n_all AS n,", 1), plain=True)
 def metric_percentiles(spark, d):
-    rows = ad.load(spark, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return rows.select("event_type", F.size("v").cast("bigint").alias("n"), *[stats.nearest_rank(F.col("v"), p).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.99)])
+    return prefix.percentiles(ad.load(spark, d, "events"), ["event_type"], "value", {f"p{round(100 * p)}": p for p in (0.5, 0.9, 0.99)})
 
 
 @query("""SELECT (SELECT count(*) FROM traces) AS traces, (SELECT count(*) FROM traces WHERE quarantined) AS quarantined, (SELECT count(*) FROM assignments) AS assigned, (SELECT count(*) FROM archetypes WHERE merged_into IS NULL) AS archetypes,
@@ -265,7 +264,7 @@ run AS (
 
 def _verdicts(spark, d) -> DataFrame:
     rows = ad.replay_results(spark, d).where("grader <> 'chain'").withColumn("passed", F.col("verdict") == "pass")
-    done = windows.sprt(rows, ["archetype_id", "candidate", "run_id"], ["ts", "event_id"])
+    done = prefix.sprt(rows, ["archetype_id", "candidate", "run_id"], ["ts", "event_id"])
     return done.withColumn("ts", F.when(F.col("run_id") == "run0", F.lit(1)).otherwise(2))
 
 
@@ -361,13 +360,13 @@ def candidate_order(spark, d):
 @query("""before AS (SELECT *, coalesce(sum(cost_usd) OVER (PARTITION BY archetype_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM replay_results)
 SELECT archetype_id, id, round(b + cost_usd, 6) AS spent FROM before WHERE b < 2.0""")
 def budget_cap(spark, d):
-    return rounded(windows.within_budget(ad.replay_results(spark, d), 2.0, ["ts", "event_id"], ["archetype_id"]).select("archetype_id", "id", "spent"), "spent")
+    return rounded(prefix.within_budget(ad.replay_results(spark, d), 2.0, ["ts", "event_id"], ["archetype_id"]).select("archetype_id", "id", "spent"), "spent")
 
 
 @query("""before AS (SELECT *, coalesce(sum(cost_usd) OVER (PARTITION BY source_trace_id, candidate ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM replay_results)
 SELECT id, round(b + cost_usd, 6) AS spent FROM before WHERE b < 0.1""")
 def chain_budget(spark, d):
-    return rounded(windows.within_budget(ad.replay_results(spark, d), 0.1, ["ts", "event_id"], ["source_trace_id", "candidate"]).select("id", "spent"), "spent")
+    return rounded(prefix.within_budget(ad.replay_results(spark, d), 0.1, ["ts", "event_id"], ["source_trace_id", "candidate"]).select("id", "spent"), "spent")
 
 
 @query("""SELECT event_id, event_type AS model, CASE event_type WHEN 'view' THEN 0.0 WHEN 'click' THEN round(value / 1e6 * 3.0 + value * 2 / 1e6 * 15.0, 9) WHEN 'error' THEN round(value / 1e6 * 0.5 + value * 2 / 1e6 * 1.5, 9) END AS cost
@@ -545,14 +544,24 @@ def assignment_distance(spark, d):
     return rounded(mining.distances(v, _members(v), mining.medoids(v, _members(v))), "distance")
 
 
-@query()
+# cluster by cluster: each takes the best of what those before it left
+@query("WITH RECURSIVE " + _MEMBERS.removeprefix("WITH ") + """, near AS (
+  SELECT x.cluster, 'a' || y.cluster AS archetype_id, sum(v.weight * w.weight) AS similarity FROM best x JOIN vectors v ON v.id = x.id JOIN vectors w ON w.bucket = v.bucket JOIN best y ON y.id = w.id AND y.cluster % 2 = 0 GROUP BY 1, 2 HAVING sum(v.weight * w.weight) >= 0.75
+), turns AS (
+  SELECT row_number() OVER (ORDER BY cluster) AS k, cluster, list(archetype_id ORDER BY similarity DESC, archetype_id) AS wish FROM near GROUP BY cluster
+), greedy AS (
+  SELECT 0::BIGINT AS k, []::VARCHAR[] AS taken, NULL::BIGINT AS cluster, NULL::VARCHAR AS archetype_id
+  UNION ALL
+  SELECT t.k, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, t.cluster, pick FROM (
+    SELECT t.k, g.taken, t.cluster, list_filter(t.wish, lambda a: NOT list_contains(g.taken, a))[1] AS pick FROM greedy g JOIN turns t ON t.k = g.k + 1) t
+)
+SELECT cluster, archetype_id FROM greedy WHERE archetype_id IS NOT NULL""", plain=True)
 def identity_match(spark, d):
     v = _vectors(spark, d)
     mid = mining.medoids(v, _members(v)).select("cluster", "id")
     a = mid.join(v, "id").select("cluster", "bucket", F.col("weight").alias("wa"))
     b = mid.where("cluster % 2 = 0").join(v, "id").select(F.concat(F.lit("a"), "cluster").alias("archetype_id"), "bucket", F.col("weight").alias("wb"))
-    found = mining.match_identities(a.join(b, "bucket").groupBy("cluster", "archetype_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")))
-    return spark.createDataFrame(list(found.items()), "cluster bigint, archetype_id string")
+    return mining.match_identities(a.join(b, "bucket").groupBy("cluster", "archetype_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")))
 
 
 @query("""WITH first AS (SELECT * FROM (SELECT lang AS cluster, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE lang IS NOT NULL) WHERE n <= 5),
@@ -652,7 +661,10 @@ def pass_rates(spark, d):
     return rounded(ad.replay_results(spark, d).where("grader <> 'chain'").groupBy("candidate").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "pass").alias("n_pass"), F.avg("cost_usd").alias("mean_cost")), "mean_cost")
 
 
-@query()
+@query("""WITH ordered AS (SELECT event_type, list(value ORDER BY value) AS v, count(*) AS n, sum(value) AS s FROM events GROUP BY 1),
+ranks AS (SELECT event_type, unnest([0.5, 0.9, 0.99]) AS q, v, n FROM ordered)
+SELECT 'trace_event_value{type="' || event_type || '",quantile="' || q::DOUBLE || '"} ' || v[round_even(q::DOUBLE * (n - 1), 0)::INT + 1] AS line FROM ranks
+UNION ALL SELECT 'trace_event_value_sum{type="' || event_type || '"} ' || round(s, 6) FROM ordered UNION ALL SELECT 'trace_event_value_count{type="' || event_type || '"} ' || n FROM ordered""", plain=True)
 def prometheus_text(spark, d):
     from tracelake.operators.exposition import exposition
 
