@@ -180,7 +180,8 @@ def placed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(run, "id bigint, v array<double>, g int, angle double")
 
 
-def _dense(vectors: DataFrame, least: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def dense_parts(vectors: DataFrame, least: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Different vectors (id, v), their pairs (a, b, similarity), and the copies (id, rep) that stand behind them, or None."""
     spark = vectors.sparkSession
     ones, copies = _classes(vectors.where("v IS NOT NULL").select("id", "v"), ["v"])
     wanted = min(PIVOTS, max(1, -(-ones.count() // block)))
@@ -230,7 +231,7 @@ def dense_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFra
     inequality keeps too far apart never meet; the others meet as matrices, cut into blocks of about ``block`` rows, as many as the
     number of rows makes. A vector is sent once to each block that its own may have a pair in.
     """
-    ones, pairs, copies = _dense(vectors, least, block)
+    ones, pairs, copies = dense_parts(vectors, least, block)
     dot = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     same = ones.select(F.col("id").alias("rep"), F.when(dot > 0, F.lit(1.0)).otherwise(0.0).alias("similarity")).where(F.col("similarity") >= least)
     return _expanded(pairs, copies, same)
@@ -238,5 +239,5 @@ def dense_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFra
 
 def dense_links(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join the same vectors as all pairs of :func:`dense_pairs` do; copies have one each (for ``least`` above 0, of non-zero vectors)."""
-    _, pairs, copies = _dense(vectors, least, block)
+    _, pairs, copies = dense_parts(vectors, least, block)
     return _links(pairs, copies)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import cost, messages, scorers, stats
 from tracelake.functions import text as tx
-from tracelake.operators import mining, prefix, reports, similarity, windows
+from tracelake.operators import density, mining, prefix, reports, similarity, windows
 from tracelake.plans import adapters as ad
 from tracelake.plans.adapters import DAY, NOW
 
@@ -525,6 +525,11 @@ def noise_points(spark, d):
     return mining.clusters(components(spark, d))
 
 
+@query()
+def density_clusters(spark, d):
+    return density.density_clusters(_embeddings(spark, d), 3, 0.2)
+
+
 _MEMBERS = f"WITH {_EMBED}, members AS (SELECT DISTINCT id, (id // 1000) % 10 AS cluster FROM vectors), total AS (SELECT cluster, bucket, sum(weight) AS s FROM vectors JOIN members USING (id) GROUP BY 1, 2), scores AS (SELECT m.cluster, v.id, sum(weight * (s - weight)) AS score FROM vectors v JOIN members m ON v.id = m.id JOIN total t ON t.cluster = m.cluster AND t.bucket = v.bucket GROUP BY 1, 2), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, id) AS k FROM scores) WHERE k = 1)"
 
 
