@@ -89,15 +89,22 @@ def run(spark, rows, size, least):
     return {r.id: r.cluster for r in density.density_clusters(spark.createDataFrame(rows, "id bigint, v array<double>"), size, least).collect()}
 
 
-@pytest.mark.parametrize(("seed", "size", "least"), [(1, 3, -1.0), (2, 5, -1.0), (3, 4, 0.95)])
-def test_density_clusters(spark, seed, size, least):
+@pytest.mark.parametrize(("seed", "size", "least", "last", "tree"), [(1, 3, -1.0, None, None), (2, 5, -1.0, None, None), (3, 4, 0.95, 0, 0), (1, 3, -1.0, 300, None)])
+def test_density_clusters(spark, monkeypatch, seed, size, least, last, tree):
+    """``last`` and ``tree`` say how much is left to the end: nothing, or all."""
+    if last is not None:
+        monkeypatch.setattr(density, "LAST", last)
+    if tree is not None:
+        monkeypatch.setattr(density, "TREE", tree)
     rows = blobs(seed)
     want = brute(rows, size, least)
     assert len(set(want.values())) > 3
     assert run(spark, rows, size, least) == want
 
 
-def test_copies_chains_and_odd_rows(spark):
+@pytest.mark.parametrize("last", [0, 1 << 18])
+def test_copies_chains_and_odd_rows(spark, monkeypatch, last):
+    monkeypatch.setattr(density, "LAST", last)
     rows = blobs(4, 60, 3, 10)
     rows += [(200 + k, rows[0][1]) for k in range(8)] + [(300 + k, rows[1][1]) for k in range(2)] + [(400, None)]
     # points on a line, ever further apart: they fall out one by one

@@ -5,11 +5,13 @@ points are what it is condensed to, so what is smaller only has to say when and
 every cluster looks at its lightest link. A small one whose link leads to a large one falls out of that at once: nothing that
 the large one joins before then changes it but by name, which is looked up at the end. Two that are each other's lightest join:
 small ones to a larger one, which is born large when it reaches ``size``, large ones to a parent. The lightest link of all is
-always of these, and rounds grow with the depth of the condensed tree, not with the points.
+always of these, and rounds grow with the depth of the condensed tree, not with the points. Rounds end when at most LAST links
+are left, a number that doesn't grow with the data: those are merged in order, at once.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ from tracelake.operators.tables import drop, shared_table
 
 #: Distances below this count as this, so that densities (their inverses) are finite.
 CLOSEST = 1e-9
-NODE = "struct<r:int,c:bigint>"
+NODE, LINK = "struct<r:int,c:bigint>", "struct<w:double,a:bigint,b:bigint>"
+#: Links between clusters that are merged in order by the driver, and clusters of a condensed tree that are weighed there. More than these go on in rounds and levels.
+LAST, TREE = 1 << 18, 1 << 16
 
 
 def core_distances(points: DataFrame, links: DataFrame, neighbours: int) -> DataFrame:
@@ -38,8 +42,8 @@ def _node(r, c) -> Column:
     return F.struct(F.lit(r).cast("int").alias("r"), c.alias("c"))
 
 
-def hierarchy(points: DataFrame, links: DataFrame, size: int) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(falls, nodes, rounds) of points (id, n, core) and links (a, b, w) of mutual reachability.
+def hierarchy(points: DataFrame, links: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(falls, nodes) of points (id, n, core) and links (a, b, w) of mutual reachability.
 
     ``nodes`` (node, e, parent): clusters of ``size`` and more, the link (w, a, b) at which they came to be, and the one
     they join into. ``falls`` (id, n, node, e): the link at which a point leaves a cluster, and one that it leaves or that is in
@@ -54,8 +58,8 @@ def hierarchy(points: DataFrame, links: DataFrame, size: int) -> tuple[DataFrame
     joined: list[DataFrame] = []
     pending = start.where("node IS NULL").select("id", "n", F.col("id").alias("c"))
     left = shared_table(links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), link.alias("e")), "links")
-    r, rounds = 0, []
-    while left.limit(1).count():
+    r = 0
+    while left.count() > LAST:
         r += 1
         ends = left.select(F.col("x").alias("c"), F.col("y").alias("to"), "e").unionByName(left.select(F.col("y").alias("c"), F.col("x").alias("to"), "e"))
         best = ends.groupBy("c").agg(F.min(F.struct("e", "to")).alias("b")).select("c", "b.e", "b.to").join(clusters, "c")
@@ -87,10 +91,54 @@ def hierarchy(points: DataFrame, links: DataFrame, size: int) -> tuple[DataFrame
         pending = out.where("kind IS NULL OR kind = 'grows'").select("id", "n", F.coalesce("into", "c").alias("c"))
         born.append(moves.where("kind IN ('born', 'joins') AND c = into").select(F.col("new").alias("node"), "e"))
         joined.append(moves.where("kind = 'joins'").select("node", F.col("new").alias("parent")))
-        rounds.append(r)
+    last = _merged(left, clusters, size)
+    gone = pending.sparkSession.createDataFrame(last["falls"], f"c bigint, node {NODE}, e {LINK}")
+    falls.append(pending.join(gone, "c").select("id", "n", "node", "e"))
+    born.append(pending.sparkSession.createDataFrame(last["born"], f"node {NODE}, e {LINK}"))
+    joined.append(pending.sparkSession.createDataFrame(last["joins"], f"node {NODE}, parent {NODE}"))
     nodes = _all(born)
-    nodes = nodes.join(_all(joined), "node", "left") if joined else nodes.withColumn("parent", F.lit(None).cast(NODE))
-    return shared_table(_all(falls), "falls"), shared_table(nodes, "nodes"), [0, *rounds]
+    nodes = nodes.join(_all(joined), "node", "left")
+    return shared_table(_all(falls), "falls"), shared_table(nodes, "nodes")
+
+
+def _merged(links: DataFrame, clusters: DataFrame, size: int) -> dict[str, list]:
+    """What the last links (x, y, e) do to the clusters that they join, lightest first: small clusters that fall, clusters born, clusters that join."""
+    out: dict[str, list] = {"falls": [], "born": [], "joins": []}
+    held = links.select("x", "y", "e.*").toArrow().to_pydict()
+    if not held["x"]:
+        return out
+    ends = links.select(F.explode(F.array("x", "y")).alias("c")).distinct()  # at most two a link
+    sizes, node = {}, {}
+    for row in clusters.join(ends, "c", "left_semi").toLocalIterator():
+        sizes[row["c"]], node[row["c"]] = row["size"], row["node"] and tuple(row["node"])
+    top, small = {c: c for c in sizes}, {c: [c] for c in sizes if node[c] is None}
+
+    def root(c: int) -> int:
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    for w, a, b, x, y in sorted(zip(held["w"], held["a"], held["b"], held["x"], held["y"], strict=True)):
+        p, q = sorted((root(x), root(y)))
+        if p == q:
+            continue
+        e, one, two = (w, a, b), node[p], node[q]
+        if one and two:
+            node[p] = (1 + max(one[0], two[0]), p)
+            out["joins"] += [(one, node[p]), (two, node[p])]
+            out["born"].append((node[p], e))
+        elif one or two:
+            out["falls"] += [(c, one or two, e) for c in small.pop(q if one else p)]
+            node[p] = one or two
+        else:
+            small[p] += small.pop(q)
+            sizes[p] += sizes[q]
+            if sizes[p] >= size:
+                node[p] = (1, p)
+                out["born"].append((node[p], e))
+                out["falls"] += [(c, node[p], e) for c in small.pop(p)]
+        top[q] = p
+    return out
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -100,8 +148,25 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return done
 
 
-def _owners(falls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``falls`` with the cluster that a point leaves: the last one above that came to be before."""
+def _owners(falls: DataFrame, nodes: DataFrame, small: bool) -> DataFrame:
+    """``falls`` with the cluster that a point leaves: the last one above that came to be before.
+
+    A small tree is sent to the points; in a large one those climb together that can.
+    """
+    if small:
+        tree = {(r, c): (parent and tuple(parent), (w, a, b)) for (r, c), parent, (w, a, b) in nodes.select("node", "parent", "e").collect()}
+
+        def climb(batches):
+            for batch in batches:
+                at = []
+                for node, e in zip(batch.column("node").to_pylist(), batch.column("e").to_pylist(), strict=True):
+                    here, e = (node["r"], node["c"]), (e["w"], e["a"], e["b"])
+                    while (above := tree[here][0]) and tree[above][1] < e:
+                        here = above
+                    at.append({"r": here[0], "c": here[1]})
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(at, pa.struct([("r", pa.int32()), ("c", pa.int64())])), batch.column("e")], names=["id", "n", "node", "e"])
+
+        return falls.select("id", "n", "node", "e").mapInArrow(climb, f"id bigint, n bigint, node {NODE}, e {LINK}")
     above = nodes.where("parent IS NOT NULL").select("node", "parent").join(nodes.select(F.col("node").alias("parent"), F.col("e").alias("at")), "parent").select("node", "parent", "at")
     done, moving = [], falls
     while True:
@@ -113,19 +178,23 @@ def _owners(falls: DataFrame, nodes: DataFrame) -> DataFrame:
             return _all(done)
 
 
-def stablest(falls: DataFrame, nodes: DataFrame, rounds: list[int]) -> DataFrame:
+def stablest(falls: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, node): the chosen cluster of each point that is in one.
 
     The stability of a cluster is the sum over its points of the density at which they leave it, less that at which it parted from its
     sibling (none: 0). From below, a cluster is chosen if it is at least as stable as what is chosen within it; the only root of
     all never is. A point belongs to the highest chosen cluster that it is in, or that what it leaves is in.
     """
-    owned = shared_table(_owners(falls, nodes), "owned")
+    small = nodes.count() <= TREE
+    owned = shared_table(_owners(falls, nodes, small), "owned")
     birth = nodes.select(F.col("node").alias("parent"), (1 / F.col("e.w")).alias("birth"))
     tree = nodes.join(birth, "parent", "left").select("node", "parent", F.coalesce("birth", F.lit(0.0)).alias("birth"))
     own = owned.groupBy("node").agg(F.sum("n").alias("points"), F.sum(F.col("n") / F.col("e.w")).alias("density"))
     tree = shared_table(tree.join(own, "node", "left").fillna(0, ["points", "density"]), "tree")
-    levels = [r for r in rounds if r in {x[0] for x in tree.select("node.r").distinct().collect()}]
+    if small:
+        labels = owned.sparkSession.createDataFrame(_weighed(tree.collect()), f"node {NODE}, label {NODE}")
+        return owned.join(labels, "node").select("id", F.col("label").alias("node"))
+    levels = sorted(r[0] for r in tree.select("node.r").distinct().collect())
     done: DataFrame | None = None
     for r in levels:
         level = tree.where(F.col("node.r") == r)
@@ -156,6 +225,29 @@ def stablest(falls: DataFrame, nodes: DataFrame, rounds: list[int]) -> DataFrame
     return owned.join(told.where("label IS NOT NULL"), "node").select("id", F.col("label").alias("node"))
 
 
+def _weighed(tree: list) -> list[tuple]:
+    """(node, label) of the clusters of a small tree that are in a chosen one, by the rules of :func:`stablest`."""
+    rows = {tuple(t["node"]): t for t in tree}
+    parent = {n: t["parent"] and tuple(t["parent"]) for n, t in rows.items()}
+    within: dict[tuple, list] = {}
+    total, value, chosen = {}, {}, {}
+    for n in sorted(rows):
+        t, below = rows[n], within.get(n, [])
+        total[n] = t["points"] + sum(total[k] for k in below)
+        stability = t["density"] + sum(total[k] * rows[k]["birth"] for k in below) - total[n] * t["birth"]
+        parts = sum(value[k] for k in below)
+        chosen[n] = not below or parts <= stability * (1 + 1e-9)
+        value[n] = stability if chosen[n] else parts
+        if parent[n]:
+            within.setdefault(parent[n], []).append(n)
+    alone = sum(p is None for p in parent.values()) == 1
+    label: dict[tuple, tuple | None] = {}
+    for n in sorted(rows, reverse=True):
+        above = parent[n] and label[parent[n]]
+        label[n] = above or (n if chosen[n] and (parent[n] or not alone) else None)
+    return [(n, x) for n, x in label.items() if x]
+
+
 def density_clusters(vectors: DataFrame, size: int = 3, least: float = -1.0) -> DataFrame:
     """(id, cluster) of dense vectors (id, v): the smallest id of a point's cluster, or -1.
 
