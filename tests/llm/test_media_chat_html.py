@@ -157,6 +157,16 @@ SHAPES = {
     f'<div class="post comments-open"><h1>Hi</h1><p>{LONG}</p><div class="blog-comments"><p>{LONG}{LONG}</p></div></div><div class="site-footer"><p>{LONG}</p></div>': f"Hi\n{LONG}",
 }
 
+MORE = '<p>The end: <a href="/r">see the full report of the committee on all of this</a></p>'
+SHAPES |= {
+    # an article is kept whole, whatever its parts score: closing links, and text between containers
+    **{f'<article><h1>T</h1><div class="content-body">{f"<p>{LONG}</p>" * n}</div>{MORE}</article>': "\n".join(["T", *[LONG] * n, "The end: see the full report of the committee on all of this"]) for n in (2, 3, 20, 40)},
+    f'<body><main><div><div><div><div><p>{LONG}</p><p>{LONG}</p></div></div></div></div><ul><li><a href="/1">One</a></li></ul>loose end</main></body>': f"{LONG}\n{LONG}\nOne\nloose end",
+    # without an article: what stands between two that stay, stays
+    f'<body><div class="c1"><p>{LONG}</p><p>{LONG}</p></div><div class="c1"><p>Short.</p></div>and loose<div class="c1"><p>{LONG}</p><p>{LONG}</p></div><div class="c1"><p>Last.</p></div></body>': f"{LONG}\n{LONG}\nShort.\nand loose\n{LONG}\n{LONG}",
+    f'<body><div><p>{LONG}{LONG}</p></div><div><a href="/m">Only a link between</a></div><div><p>{LONG}{LONG}</p></div><div><a href="/m">Only a link after</a></div></body>': f"{LONG}{LONG}\nOnly a link between\n{LONG}{LONG}",
+}
+
 
 def test_scores_choose_the_container():
     for page, text in SHAPES.items():

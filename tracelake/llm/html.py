@@ -6,8 +6,9 @@ comments, hidden parts - are cut by their tag or by what a class, id or role of
 Each paragraph of what is left passes points for its length and its commas to its ancestors, the nearest
 most; an element's points are discounted by the share of its text that is inside of links; being an
 ``article`` or ``main``, or being called one, is worth some points and no more. The best container is
-kept, with the siblings that score close to it or are paragraphs or headings themselves, and so with the
-siblings of what holds it, up to the article that it is in.
+kept, and where it is in an ``article`` or ``main`` element, all of that. Else its siblings that score close to it
+or are paragraphs or headings themselves are kept, with all that stands between two that are, and so the
+siblings of what holds it.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def own_text(node: Node) -> str:
     return "".join(parts)
 
 
-def main_parts(top: Node) -> list[Node]:
+def main_parts(top: Node) -> list[Node | str]:
     cut(top)
     order = measure(top)
     scored = []
@@ -209,26 +210,31 @@ def main_parts(top: Node) -> list[Node]:
     if best is None:
         # no paragraph of any length: the element that says it is the article, or all that is left
         return [next((n for n in reversed(order) if n.tag in ("article", "main")), top)]
-    kept, node, least = [best], best, max(10.0, rate(best) / 5)
+    least = max(10.0, rate(best) / 5)
+    kept: list[Node | str] = [best]
+    node: Node | None = best
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    if node is not None:
+        # an article is kept whole, whatever part of it scores best
+        kept = [node]
+    node = node or best
     for _ in range(3):
         if node.parent is None:
             break
         whole, within = node.tag in ("article", "main"), node.parent.tag in ("article", "main")
-        beside: list[Node] = []
-        for x in node.parent.inside:
-            if x is node:
-                beside.extend(kept)
-            elif not isinstance(x, str) and not x.gone and x.chars and x.linked / x.chars < 0.25:
-                # beside an article only what scores; within one whatever isn't links
-                if within or x.points and rate(x) >= least or not whole and (x.tag in HEADINGS or x.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure")):
-                    beside.append(x)
-        kept, node = beside, node.parent
+        beside = [x for x in node.parent.inside if isinstance(x, str) or not x.gone and x.chars]
+        # beside an article only what scores; within a main element whatever isn't links; what stands between two that stay, stays
+        stays = [x is node or not isinstance(x, str) and x.linked / x.chars < 0.25 and (within or bool(x.points) and rate(x) >= least or not whole and (x.tag in HEADINGS or x.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure"))) for x in beside]
+        first, last = stays.index(True), len(stays) - 1 - stays[::-1].index(True)
+        kept = [y for x in beside[first : last + 1] for y in (kept if x is node else [x])]
+        node = node.parent
         if whole or within:
             break
     return kept
 
 
-def blocks(parts: list[Node]) -> list[str]:
+def blocks(parts: list[Node | str]) -> list[str]:
     out: list[str] = []
     run: list[str] = []
 
