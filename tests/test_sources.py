@@ -77,6 +77,28 @@ def test_capture_and_sync(spark, tmp_path):
     assert not sync.exists(spark, table)
 
 
+def test_stream_of_first_captures(spark, tmp_path):
+    """Keys of earlier batches, of the table before the start, and of a query that went on after a stop don't pass again."""
+    table, landing = f"file://{tmp_path}/capture", f"file://{tmp_path}/landing"
+    known = captured(spark, [("old", 0, "k0")])
+
+    def run(*batches):
+        for rows in batches:
+            captured(spark, rows).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schemas.schema("capture")).option("maxFilesPerTrigger", 1).parquet(landing)
+        q = capture.start(capture.first_captures(stream, known), capture.append_sink(table, f"file://{tmp_path}/spill"), f"file://{tmp_path}/check", once=True, rocksdb=True)
+        q.awaitTermination()
+        return sorted(r.id for r in schemas.read(spark, table, "capture").collect()), [p["numInputRows"] for p in q.recentProgress]
+
+    got, _ = run([("2", 2, "k1"), ("1", 1, "k1"), ("3", 3, None), ("4", 4, None), ("5", 5, "k0")], [("6", 6, "k1"), ("7", 7, "k2"), ("8", 8, None)])
+    assert got == ["1", "3", "4", "7", "8"]
+    got, _ = run([("9", 9, "k2"), ("10", 10, "k3"), ("11", 11, "k0")])
+    assert got == ["1", "10", "3", "4", "7", "8"]
+    assert spark.conf.get(capture.STATE_STORE, None) is None or "RocksDB" not in spark.conf.get(capture.STATE_STORE)
+    plan = capture.first_captures(spark.readStream.schema(schemas.schema("capture")).parquet(landing))._jdf.queryExecution().logical().toString()
+    assert "capture/" not in plan and "Join" not in plan  # no look at the table
+
+
 def test_old_files_read_under_the_current_schema(spark, tmp_path):
     spark.createDataFrame([("r", "a", "c", "t", "pass", 0.0, 1, "g", "run", 1)], schemas.schema("replay_results", 1)).write.parquet(f"{tmp_path}/t")
     assert schemas.read(spark, f"{tmp_path}/t", "replay_results").first().response_text is None

@@ -36,6 +36,15 @@ def _before(by: list[str]):
     return Window.partitionBy(*(by or [F.lit(0)])).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place in the order of all, from 1: numbers within pieces, and the sizes of the pieces before."""
+    pieces = cut(rows, [], order)
+    sizes = pieces.groupBy(PIECE).agg(F.count("*").alias("__size"))
+    before = sizes.select(PIECE, F.coalesce(F.sum("__size").over(_before([])), F.lit(0)).alias("__offset"))
+    own = F.row_number().over(Window.partitionBy(PIECE).orderBy(*order))
+    return _of_pieces(pieces, before, []).withColumn(name, F.col("__offset") + own).drop("__offset", PIECE)
+
+
 def within_budget(rows: DataFrame, budget: float, order: list[str], partition: list[str] | None = None) -> DataFrame:
     """Rows before which less than the budget was spent, in order; the last may overshoot. ``spent`` is the sum with the row.
 

@@ -114,8 +114,9 @@ def agreement(pairs: DataFrame) -> DataFrame:
     return one.select(n.alias("n"), stats.ratio(F.col("both") + F.col("neither"), n).alias("agreement"), stats.kappa(*cells).alias("kappa"), stats.ratio(F.col("only_judge"), F.col("only_judge") + F.col("neither")).alias("false_pass_rate"), stats.ratio(F.col("only_human"), F.col("only_human") + F.col("both")).alias("false_fail_rate"))
 
 
-def review_pairs(reviews: DataFrame, results: DataFrame, scores: DataFrame) -> DataFrame:
-    """(judge, human) of reviewed results."""
+def review_pairs(reviews: DataFrame, results: DataFrame, scores: DataFrame, archetype: str | None = None) -> DataFrame:
+    """(judge, human) of reviewed results, of one archetype if it is given."""
+    results = results if archetype is None else results.where(F.col("archetype_id") == archetype)
     judged = scores.where("scorer = 'judge'").select("replay_result_id", F.col("passed").alias("judge"))
     done = reviews.where("human_verdict IS NOT NULL").select("replay_result_id", (F.col("human_verdict") == "pass").alias("human"))
     ids = results.select(F.col("id").alias("replay_result_id"))

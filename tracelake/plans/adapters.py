@@ -68,11 +68,18 @@ def human_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(8).selectExpr("concat('n', cast(id AS string)) AS id", "concat('a', cast(id % 5 AS string)) AS archetype_id", "concat('c', cast(id % 3 AS string)) AS candidate", "'usd' AS currency", "id * 1.5D AS value", f"{NOW} + (id - 3) * {DAY} AS expires_ts")
+    """One for each supplier; of every eight, four are live at the report time, of six archetypes and candidate c0 or c1."""
+    return load(spark, d, "supplier").selectExpr("concat('n', cast(s_suppkey AS string)) AS id", "concat('a', cast(s_suppkey % 6 AS string)) AS archetype_id", "concat('c', cast(s_suppkey % 2 AS string)) AS candidate", "'usd' AS currency", "s_acctbal AS value", f"{NOW} + (s_suppkey % 8 - 3) * {DAY} AS expires_ts")
 
 
 def applied_policies(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(12).selectExpr("concat('p', cast(id AS string)) AS id", "concat('a', cast(id % 6 AS string)) AS archetype_id", "concat('c', cast(id % 3 AS string)) AS candidate", f"{NOW} - id * {DAY} AS applied_ts", f"CASE WHEN id % 4 = 1 THEN {NOW} - id * 3600000 END AS reverted_ts")
+    """One for each customer, of eight archetypes and three candidates."""
+    return load(spark, d, "customer").selectExpr("concat('p', cast(c_custkey AS string)) AS id", "concat('a', cast(c_custkey % 8 AS string)) AS archetype_id", "concat('c', cast(c_custkey % 3 AS string)) AS candidate", f"{NOW} - (c_custkey % 12) * {DAY} AS applied_ts", f"CASE WHEN c_custkey % 4 = 1 THEN {NOW} - (c_custkey % 400) * 3600000 END AS reverted_ts")
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """One for each part: some local and free, the others with two prices a million tokens."""
+    return load(spark, d, "part").selectExpr("concat('p', cast(p_partkey AS string)) AS name", "p_size % 7 = 0 AS local", "CASE WHEN p_size % 7 = 0 THEN 0.0D ELSE floor(p_retailprice / 100) / 10.0D END AS price_in", "CASE WHEN p_size % 7 = 0 THEN 0.0D ELSE floor(p_retailprice / 100) / 10.0D * (1 + p_size % 4) END AS price_out", "p_partkey AS position")
 
 
 def slo_evaluations(spark: SparkSession, d: str) -> DataFrame:
@@ -107,9 +114,11 @@ paired AS (
 ), human_reviews AS (
   SELECT id AS replay_result_id, CASE WHEN event_id % 21 = 0 THEN NULL WHEN (verdict = 'pass') <> (event_id % 10 = 0) THEN 'pass' ELSE 'fail' END AS human_verdict, ts + 1000 AS queued_ts FROM replay_results WHERE event_id % 7 = 0
 ), recommendations AS (
-  SELECT 'n' || i AS id, 'a' || (i % 5) AS archetype_id, 'c' || (i % 3) AS candidate, 'usd' AS currency, i * 1.5::DOUBLE AS value, {NOW} + (i - 3) * {DAY} AS expires_ts FROM range(8) r(i)
+  SELECT 'n' || s_suppkey AS id, 'a' || (s_suppkey % 6) AS archetype_id, 'c' || (s_suppkey % 2) AS candidate, 'usd' AS currency, s_acctbal AS value, {NOW} + (s_suppkey % 8 - 3) * {DAY} AS expires_ts FROM supplier
 ), applied_policies AS (
-  SELECT 'p' || i AS id, 'a' || (i % 6) AS archetype_id, 'c' || (i % 3) AS candidate, {NOW} - i * {DAY} AS applied_ts, CASE WHEN i % 4 = 1 THEN {NOW} - i * 3600000 END AS reverted_ts FROM range(12) r(i)
+  SELECT 'p' || c_custkey AS id, 'a' || (c_custkey % 8) AS archetype_id, 'c' || (c_custkey % 3) AS candidate, {NOW} - (c_custkey % 12) * {DAY} AS applied_ts, CASE WHEN c_custkey % 4 = 1 THEN {NOW} - (c_custkey % 400) * 3600000 END AS reverted_ts FROM customer
+), candidates AS (
+  SELECT 'p' || p_partkey AS name, p_size % 7 = 0 AS local, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE floor(p_retailprice / 100) / 10.0 END::DOUBLE AS price_in, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE floor(p_retailprice / 100) / 10.0 * (1 + p_size % 4) END::DOUBLE AS price_out, p_partkey AS position FROM part
 ), slo_evaluations AS (
   SELECT event_id AS id, event_type AS objective, ms AS ts, value, value <= 100 AS ok, CASE WHEN event_id % 19 = 0 THEN 'no_data' WHEN value <= 100 THEN 'ok' ELSE 'breach' END AS status FROM ev
 )"""

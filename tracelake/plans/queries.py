@@ -125,6 +125,17 @@ def review_agreement(spark, d):
     return rounded(reports.agreement(pairs), "agreement", "kappa", "false_pass_rate", "false_fail_rate")
 
 
+@query("""pairs AS (
+  SELECT j.passed AS judge, h.human_verdict = 'pass' AS human FROM human_reviews h JOIN replay_results r ON h.replay_result_id = r.id JOIN eval_scores j ON j.replay_result_id = r.id AND j.scorer = 'judge' WHERE h.human_verdict IS NOT NULL AND r.archetype_id = 'a3'
+), one AS (
+  SELECT count(*) FILTER (WHERE judge AND human) AS a, count(*) FILTER (WHERE judge AND NOT human) AS b, count(*) FILTER (WHERE NOT judge AND human) AS c, count(*) FILTER (WHERE NOT judge AND NOT human) AS d, count(*)::DOUBLE AS n FROM pairs
+), chance AS (SELECT *, (a + d) / n AS seen, (a + b) / n * ((a + c) / n) + (1 - (a + b) / n) * (1 - (a + c) / n) AS e FROM one)
+SELECT n::BIGINT AS n, round(seen, 6) AS agreement, round((seen - e) / (1 - e), 6) AS kappa, round(b::DOUBLE / (b + d), 6) AS false_pass_rate, round(c::DOUBLE / (c + a), 6) AS false_fail_rate FROM chance""")
+def review_agreement_of_one(spark, d):
+    pairs = reports.review_pairs(ad.human_reviews(spark, d), ad.replay_results(spark, d), ad.eval_scores(spark, d), "a3")
+    return rounded(reports.agreement(pairs), "agreement", "kappa", "false_pass_rate", "false_fail_rate")
+
+
 @query("""SELECT count(*) AS n, round(avg((quality = 1 AND toxic = 0 OR quality = 0 AND toxic = 1)::INT), 6) AS agreement FROM labels""", plain=True)
 def label_agreement(spark, d):
     pairs = ad.load(spark, d, "labels").select((F.col("quality") == 1).alias("judge"), (F.col("toxic") == 0).alias("human"))
@@ -349,12 +360,20 @@ def worklist(spark, d):
     return ad.traces(spark, d).select("id").crossJoin(F.broadcast(ladder)).join(done, ["id", "candidate"], "left_anti")  # the ladder is four rows
 
 
-@query("""SELECT * FROM (VALUES ('local-small', 1), ('cheap', 2), ('mid', 3), ('tie', 4)) v(name, place)""", plain=True)
+@query("SELECT name, row_number() OVER (ORDER BY local DESC, (price_in + price_out) / 2, position) AS place FROM candidates")
 def candidate_order(spark, d):
-    from pyspark.sql import Window
-
-    rows = spark.createDataFrame(_LADDER, "name string, local boolean, price_in double, price_out double, position int")
-    return rows.select("name", F.row_number().over(Window.orderBy(F.desc("local"), (F.col("price_in") + F.col("price_out")) / 2, "position")).alias("place"))
+    """Candidates as they are tried: local ones first, then by mean price, in the order given where that is equal."""
+    rows = ad.candidates(spark, d).selectExpr("name", "NOT local AS remote", "(price_in + price_out) / 2 AS price", "position")
+    return prefix.numbered(rows, ["remote", "price", "position"], "place").select("name", "place")
+
+
+# what is left of a budget over the whole work list, which has no groups
+@query("""before AS (SELECT *, coalesce(sum(cost_usd) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM replay_results)
+SELECT id, round(b + cost_usd, 6) AS spent FROM before WHERE b < (SELECT sum(cost_usd) / 3 FROM replay_results)""")
+def run_budget(spark, d):
+    rows = ad.replay_results(spark, d)
+    third = rows.agg(F.sum("cost_usd") / 3).first()[0] or 0.0
+    return rounded(prefix.within_budget(rows, third, ["ts", "event_id"]).select("id", "spent"), "spent")
 
 
 @query("""before AS (SELECT *, coalesce(sum(cost_usd) OVER (PARTITION BY archetype_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM replay_results)

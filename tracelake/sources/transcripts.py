@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.messages import human_text_udf
+from tracelake.functions.messages import human_text_udf, response_body_udf, usage_udf
 from tracelake.operators.windows import carry_forward, with_parent
 
 LINE = "struct<type:string,uuid:string,timestamp:string,message:struct<role:string,model:string,content:string,usage:struct<input_tokens:int,output_tokens:int>>>"
@@ -83,10 +83,6 @@ def chat_export(spark: SparkSession, path: str, batch_ms: int) -> DataFrame:
 
 def captured_bodies(rows: DataFrame, prices: DataFrame, paused: bool = False) -> DataFrame:
     """Proxy landings (status, content_type, request, response, model, latency_ms) as rows with tokens and cost; errors and pauses leave none."""
-    from tracelake.functions.messages import response_body, usage_udf
-    from pyspark.sql.types import StringType
-
-    body = F.udf(response_body, StringType())
-    kept = rows.where((F.col("status") < 400) & F.lit(not paused)).withColumn("response_json", body("content_type", "response")).withColumn("u", usage_udf("response_json"))
+    kept = rows.where((F.col("status") < 400) & F.lit(not paused)).withColumn("response_json", response_body_udf("content_type", "response")).withColumn("u", usage_udf("response_json"))
     cost = F.col("u.tokens_in") / 1e6 * F.col("pin") + F.col("u.tokens_out") / 1e6 * F.col("pout")
-    return kept.join(F.broadcast(prices), "model", "left").select(*rows.columns, "response_json", "u.tokens_in", "u.tokens_out", cost.alias("cost_usd"))
+    return kept.join(prices, "model", "left").select(*rows.columns, "response_json", "u.tokens_in", "u.tokens_out", cost.alias("cost_usd"))
