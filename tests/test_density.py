@@ -77,7 +77,7 @@ def brute(rows, size, least):
     return labels
 
 
-def blobs(seed, n=120, d=3, noise=30):
+def blobs(seed, n=80, d=3, noise=20):
     rng = np.random.default_rng(seed)
     middle = rng.normal(size=(6, d))
     spread = rng.choice([0.02, 0.08, 0.2, 0.3], 6)
@@ -98,7 +98,7 @@ def test_density_clusters(spark, monkeypatch, seed, size, least, last, tree):
         monkeypatch.setattr(density, "TREE", tree)
     rows = blobs(seed)
     want = brute(rows, size, least)
-    assert len(set(want.values())) > 3
+    assert len(set(want.values())) > 2
     assert run(spark, rows, size, least) == want
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import mining, similarity
 
 
-def sparse_rows(n=300, seed=1):
+def sparse_rows(n=160, seed=1):
     """Vectors of topics over 400 buckets of very unequal frequency, one bucket that all have, copies, and an empty one (no rows)."""
     rng = random.Random(seed)
     rows = {}

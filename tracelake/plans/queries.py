@@ -451,14 +451,25 @@ def message_text(spark, d):
     return rows.select("conv_id", "turn", messages.content_text_udf(block).alias("message_text"))
 
 
-@query("""hits AS (SELECT doc_id, regexp_replace(text, '(?i)(^|[^0-9A-Za-z_])((api[_-]?key|secret|password|token)\\s*[:=]\\s*[''"]?[A-Za-z0-9_\\-/+=]{16,}[''"]?)', '\\1[REDACTED:generic_kv_secret]', 'g') AS scrubbed FROM documents)
-SELECT h.doc_id, h.scrubbed <> d.text AS changed, sha256(h.scrubbed) AS scrubbed_sha256 FROM hits h JOIN documents d ON h.doc_id = d.doc_id""".replace("hits AS", "WITH hits AS", 1), plain=True)
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _scrubbing() -> str:
+    """Steps s0 to s10: the text after each pattern, with a column that tells whether the pattern met what the ones before left."""
+    steps = ["s0 AS (SELECT doc_id, text, text AS s, '' AS flags FROM documents)"]
+    for i, (name, pattern) in enumerate(tx.SECRETS.items()):
+        steps.append(f"s{i + 1} AS (SELECT doc_id, text, regexp_replace(s, {_literal(pattern)}, '[REDACTED:{name}]', 'g') AS s, flags || CASE WHEN regexp_matches(s, {_literal(pattern)}) THEN ',{name}' ELSE '' END AS flags FROM s{i})")
+    return "WITH " + ", ".join(steps)
+
+
+@query(_scrubbing() + " SELECT doc_id, s <> text AS changed, sha256(s) AS scrubbed_sha256 FROM s10", plain=True)
 def redact_scrub(spark, d):
     rows = ad.load(spark, d, "documents").withColumn("s", tx.scrub(F.col("text")))
     return rows.select("doc_id", (F.col("s") != F.col("text")).alias("changed"), F.sha2("s", 256).alias("scrubbed_sha256"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(^|[^0-9A-Za-z_])(api[_-]?key|secret|password|token)\\s*[:=]\\s*[''"]?[A-Za-z0-9_\\-/+=]{16,}[''"]?') THEN 'generic_kv_secret' ELSE '' END AS flags FROM documents""", plain=True)
+@query(_scrubbing() + " SELECT doc_id, coalesce(flags[2:], '') AS flags FROM s10", plain=True)
 def redact_flags(spark, d):
     return ad.load(spark, d, "documents").select("doc_id", F.array_join(tx.secret_flags(F.col("text")), ",").alias("flags"))
 
@@ -470,7 +481,11 @@ def entropy_scan(spark, d):
     return rows.select("doc_id", "token", F.round(tx.entropy(F.col("token")), 6).alias("bits"))
 
 
-@query()
+# long tokens that scrubbing left, no pattern knows, and whose characters are spread enough
+@query(_scrubbing() + f""", tokens AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(s, {_literal(tx.LONG_TOKEN)}))) AS token FROM s10),
+chars AS (SELECT doc_id, token, count(*) AS c FROM (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM tokens WHERE NOT ({" OR ".join(f"regexp_matches(token, {_literal(p)})" for p in tx.SECRETS.values())})) GROUP BY doc_id, token, ch),
+bits AS (SELECT doc_id, token, sum(-(c::DOUBLE / length(token)) * log2(c::DOUBLE / length(token))) AS h FROM chars GROUP BY 1, 2)
+SELECT count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM bits WHERE h >= {tx.ENTROPY_LIMIT})) AS quarantined FROM documents""", plain=True)
 def quarantine_rate(spark, d):
     rows = ad.load(spark, d, "documents").select(tx.redact(F.col("text")).alias("r"))
     return rows.agg(F.count("*").alias("n"), F.count_if("r.quarantined").alias("quarantined"))
@@ -619,7 +634,12 @@ def heuristic_judge(spark, d):
     return _cases(spark, d).select("id", scorers.heuristic_judge(F.col("reference"), F.col("candidate")).alias("passed"))
 
 
-@query()
+# the answer's details are those of the patterns; without closing punctuation, two characters at least
+@query("WITH pages AS (SELECT page_id, url, html, 'see ' || url || ' and page_' || page_id || '_x and 12.34 `code here`' AS candidate FROM pages), found AS (SELECT page_id, unnest("
+       + " || ".join(f"regexp_extract_all(candidate, {_literal(p)}, {g})" for p, g in tx.SPECIFICS) + """) AS detail FROM pages),
+clean AS (SELECT DISTINCT page_id, rtrim(trim(detail), '.,;:') AS detail FROM found WHERE length(rtrim(trim(detail), '.,;:')) >= 2),
+counts AS (SELECT p.page_id, count(*) AS n, count(*) FILTER (WHERE NOT contains(lower(p.url || chr(10) || p.html), lower(c.detail))) AS missing FROM clean c JOIN pages p ON c.page_id = p.page_id GROUP BY 1)
+SELECT p.page_id, round(CASE WHEN n >= 2 THEN 1 - missing::DOUBLE / n END, 6) AS value FROM pages p LEFT JOIN counts c ON p.page_id = c.page_id""", plain=True)
 def grounding(spark, d):
     pages = ad.load(spark, d, "pages").selectExpr("page_id", "url AS request", "html AS reference", "concat('see ', url, ' and page_', cast(page_id AS string), '_x and 12.34 `code here`') AS candidate")
     return pages.select("page_id", F.round(scorers.grounding(F.col("candidate"), F.col("request"), F.col("reference")), 6).alias("value"))
