@@ -96,7 +96,7 @@ def test_rows_that_repeat_an_id_count_once(spark, folder):
 
 def test_every_operator_is_registered():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and set(queries.oracle_sql()) <= set(names)
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and set(queries.oracle_sql()) <= set(names)
 
 
 def similar_texts(rng, n):
