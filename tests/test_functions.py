@@ -161,6 +161,16 @@ def test_secret_flags_see_what_patterns_before_left(spark):
     assert rows[1].f == [] and rows[1].r.text == "nothing" and rows[2].f == []
 
 
+def test_redaction_of_a_table_is_that_of_its_texts(spark):
+    key = "A" + "KIA" + "ABCDEFGHIJKLMNOP"
+    texts = [None, "", "plain", f"{key} and password = abcdefgh12345678", "sk-" + "ant-" + "a1b2c3d4e5f6g7h8i9j0k1", "deadbeef0123456789abcdef0123456789abcdefXYZ", f"token: {key}{key}"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "`a.b` int, __r0 string")
+    got = tx.redacted(rows, "__r0", "r")
+    assert got.columns == ["a.b", "__r0", "r"]
+    want = rows.select("`a.b`", tx.redact(F.col("__r0")).alias("r"))
+    assert sorted(map(str, got.select("`a.b`", "r").collect())) == sorted(map(str, want.collect()))
+
+
 def test_whole_suite_and_injected_judge(spark):
     calls = "array(named_struct('name', 'f', 'input_keys', array('a')))"
     cases = spark.sql(f"SELECT 1 AS id, 'q' AS request, 'yes' AS reference, '' AS candidate, {calls} AS reference_calls, {calls} AS candidate_calls UNION ALL SELECT 2, 'q', 'yes', 'yes', {calls}, array()")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Secret patterns in the order in which they apply, each replaced by [REDACTED:<name>].
@@ -105,6 +105,27 @@ def redact(text: Column) -> Column:
     return _bound(scrubbed(text), told)
 
 
+def redacted(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the struct of :func:`redact` of a text column as ``name``, in a step of plain columns for each pattern.
+
+    For tables: steps are compiled, which the single expression, with its functions of values, isn't.
+    """
+    state, kept = f"__{name}", rows.columns
+    none = F.array().cast("array<string>")
+    steps = rows.withColumns({f"{state}0": F.col(f"`{text}`"), f"{state}f0": none})
+    for i, (secret, pattern) in enumerate(SECRETS.items()):
+        before, flags = F.col(f"{state}{i}"), F.col(f"{state}f{i}")
+        hit = steps.select("*", before.rlike(_unicode(pattern)).alias(f"{state}h"))
+        met = F.coalesce(F.col(f"{state}h"), F.lit(False))
+        clean = F.when(met, F.regexp_replace(before, _unicode(pattern), f"[REDACTED:{secret}]")).otherwise(before)
+        told = F.when(met, F.array_append(flags, F.lit(secret))).otherwise(flags)
+        steps = hit.select(*[F.col(f"`{c}`") for c in kept], clean.alias(f"{state}{i + 1}"), told.alias(f"{state}f{i + 1}"))
+    last, flags = F.col(f"{state}{len(SECRETS)}"), F.col(f"{state}f{len(SECRETS)}")
+    risky = steps.withColumn(f"{state}r", F.size(risky_tokens(last)) > 0)
+    all_flags = F.when(F.col(f"{state}r"), F.array_append(flags, F.lit("entropy_quarantine"))).otherwise(flags)
+    return risky.select(*[F.col(f"`{c}`") for c in kept], F.struct(last.alias("text"), all_flags.alias("flags"), F.col(f"{state}r").alias("quarantined")).alias(name))
+
+
 def is_refusal(text: Column) -> Column:
     return F.substring(text, 1, 200).rlike(REFUSAL)
 

@@ -487,7 +487,7 @@ chars AS (SELECT doc_id, token, count(*) AS c FROM (SELECT doc_id, token, unnest
 bits AS (SELECT doc_id, token, sum(-(c::DOUBLE / length(token)) * log2(c::DOUBLE / length(token))) AS h FROM chars GROUP BY 1, 2)
 SELECT count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM bits WHERE h >= {tx.ENTROPY_LIMIT})) AS quarantined FROM documents""", plain=True)
 def quarantine_rate(spark, d):
-    rows = ad.load(spark, d, "documents").select(tx.redact(F.col("text")).alias("r"))
+    rows = tx.redacted(ad.load(spark, d, "documents").select("text"), "text", "r")
     return rows.agg(F.count("*").alias("n"), F.count_if("r.quarantined").alias("quarantined"))
 
 
