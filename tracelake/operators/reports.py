@@ -72,9 +72,14 @@ def data_quality(traces: DataFrame, assignments: DataFrame, now_ms: int, days: i
         "future_timestamp": (F.col("ts") > now_ms + 300_000, F.lit(True)),
     }
     sums = [F.count_if(x).alias(f"{k}_{i}") for k, pair in parts.items() for i, x in enumerate(pair)]
+    return quality_checks(rows.agg(*sums), assignments, limits)
+
+
+def quality_checks(sums: DataFrame, assignments: DataFrame, limits: dict) -> DataFrame:
+    """A row a check from one row of sums, ``<check>_0`` being the rows found and ``<check>_1`` those looked at."""
     any_assigned = assignments.limit(1).agg((F.count("*") > 0).alias("any_assigned"))
-    one = rows.agg(*sums).crossJoin(F.broadcast(any_assigned))  # one row each
-    cells = [F.struct(F.lit(k).alias("check"), F.col(f"{k}_0").alias("n"), F.col(f"{k}_1").alias("total"), F.lit(float(limits[k])).alias("threshold")) for k in parts]
+    one = sums.crossJoin(F.broadcast(any_assigned))  # one row each
+    cells = [F.struct(F.lit(k).alias("check"), F.col(f"{k}_0").alias("n"), F.col(f"{k}_1").alias("total"), F.lit(float(limits[k])).alias("threshold")) for k in limits]
     out = one.select("any_assigned", F.explode(F.array(*cells)).alias("c")).select("any_assigned", "c.*")
     share = F.when((F.col("check") == "unassigned") & ~F.col("any_assigned"), None).otherwise(stats.ratio(F.col("n"), F.col("total")))
     return out.select("check", "n", "total", share.alias("ratio"), "threshold").withColumn("ok", F.coalesce(F.col("ratio") <= F.col("threshold"), F.lit(True)))
@@ -97,6 +102,11 @@ def performance(results: DataFrame, checks: DataFrame, archetypes: DataFrame, no
         F.count_if(~recent).alias("n_previous"), F.count_if(~recent & F.col("passed")).alias("pass_previous"),
         F.avg(F.when(recent, F.col("latency_ms"))).alias("latency_recent"), F.avg(F.when(~recent, F.col("latency_ms"))).alias("latency_previous"),
     )
+    return performance_scores(sums, archetypes, least)
+
+
+def performance_scores(sums: DataFrame, archetypes: DataFrame, least: int = 10) -> DataFrame:
+    """Rates, intervals and z from the counts of both windows."""
     labels = archetypes.select(F.col("id").alias("archetype_id"), "label")
     named = sums.join(labels, "archetype_id", "left").withColumn("label", F.coalesce("label", "archetype_id"))
     low, high = stats.wilson(F.col("pass_recent"), F.col("n_recent"))

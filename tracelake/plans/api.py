@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tracelake import schemas
 from tracelake.functions import scorers
 from tracelake.functions.messages import prompt_text_udf, response_udf
-from tracelake.operators import indicators, mining, replay, reports, similarity, windows
+from tracelake.operators import indicators, mining, replay, reports, rollups, similarity, windows
 from tracelake.operators.exposition import exposition
 from tracelake.operators.tables import drop, shared_table
-from tracelake.sources import sync, transcripts
+from tracelake.sources import changelog, sync, transcripts
+from tracelake.sources.changelog import Log
+
+#: Tables whose rows change, with their keys: each has a log of changes, the others are only added to.
+KEYS = {"traces": "id", "archetypes": "id", "archetype_assignments": "trace_id"}
 
 
 def bootstrap(spark: SparkSession, database: str) -> None:
@@ -24,11 +30,17 @@ def bootstrap(spark: SparkSession, database: str) -> None:
         kind = schemas.schema(table)
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind.fields)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{table} ({columns}) USING parquet TBLPROPERTIES ('schema_version' = '{len(schemas.VERSIONS[table])}')")
+        if table in KEYS:
+            Log.create(spark, f"{database}.{table}", columns)
         have = set(spark.table(f"{database}.{table}").columns)
         missing = [f for f in kind.fields if f.name not in have]
         if missing:
-            spark.sql(f"ALTER TABLE {database}.{table} ADD COLUMNS ({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in missing)})")
+            added = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in missing)
+            spark.sql(f"ALTER TABLE {database}.{table} ADD COLUMNS ({added})")
             spark.sql(f"ALTER TABLE {database}.{table} SET TBLPROPERTIES ('schema_version' = '{len(schemas.VERSIONS[table])}')")
+            if table in KEYS and not set(spark.table(f"{database}.{table}_changes").columns) >= {f.name for f in missing}:
+                spark.sql(f"ALTER TABLE {database}.{table}_changes ADD COLUMNS ({added})")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.day_counts ({rollups.TRACES}, source STRING, batch BIGINT) USING parquet PARTITIONED BY (source, batch)")
 
 
 @dataclass
@@ -38,8 +50,11 @@ class Store:
     spark: SparkSession
     database: str
 
+    def log(self, name: str) -> Log:
+        return Log(self.spark, f"{self.database}.{name}", KEYS[name])
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(f"{self.database}.{name}")
+        return self.log(name).read() if name in KEYS else self.spark.table(f"{self.database}.{name}")
 
     def tables(self) -> dict[str, DataFrame]:
         names = {"assignments": "archetype_assignments"} | {n: n for n in schemas.VERSIONS if n != "archetype_assignments"}
@@ -83,10 +98,16 @@ class Store:
         t = self.tables()
         return reports.scorer_summary(t["eval_scores"], t["archetypes"]), reports.agreement(reports.review_pairs(t["human_reviews"], t["replay_results"], t["eval_scores"]))
 
-    def monitor(self, now_ms: int) -> dict[str, DataFrame]:
+    def monitor(self, now_ms: int, rolled: bool = False) -> dict[str, DataFrame]:
+        """The reports by a scan of all rows, or, ``rolled``, from the counts by day, which :meth:`roll` brings up to date first."""
         t = self.tables()
-        keys = reports.drift_keys(t["traces"], t["assignments"], t["archetypes"], now_ms)
-        return {"drift": reports.drift_report(keys), "shifts": reports.top_shifts(keys), "quality": reports.data_quality(self._with_empty(), t["assignments"], now_ms), "performance": reports.performance(t["replay_results"], t["spot_checks"], t["archetypes"], now_ms)}
+        if rolled:
+            self.roll()
+            counts, rows = self.spark.table(f"{self.database}.day_counts").drop("source", "batch"), self._with_empty()
+            keys, quality = rollups.drift_keys(counts, rows, t["assignments"], t["archetypes"], now_ms), rollups.data_quality(counts, rows, t["assignments"], now_ms)
+        else:
+            keys, quality = reports.drift_keys(t["traces"], t["assignments"], t["archetypes"], now_ms), reports.data_quality(self._with_empty(), t["assignments"], now_ms)
+        return {"drift": reports.drift_report(keys), "shifts": reports.top_shifts(keys), "quality": quality, "performance": reports.performance(t["replay_results"], t["spot_checks"], t["archetypes"], now_ms)}
 
     def slo(self, rules: DataFrame, metrics: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
         context = indicators.Context(self.tables() | {"traces": self._with_empty(), "metrics": metrics}, now_ms)
@@ -99,9 +120,17 @@ class Store:
     def system(self) -> DataFrame:
         return self.spark.createDataFrame([(self.spark.version, self.database, self.spark.sparkContext.defaultParallelism)], "spark string, database string, cores int")
 
-    def _with_empty(self) -> DataFrame:
+    def watch(self, job: Callable[[int], None], checkpoint: str, seconds: int = 60) -> StreamingQuery:
+        """Call ``job(now_ms)`` in every trigger of a stream, as sync and monitoring do from time to time; stop the query to end it."""
+
+        def tick(batch: DataFrame, number: int) -> None:
+            job(int(time.time() * 1000))
+
+        return self.spark.readStream.format("rate").load().writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+    def _with_empty(self, rows: DataFrame | None = None) -> DataFrame:
         said = response_udf("response_json")
-        rows = self.table("traces").withColumn("__r", said)
+        rows = (self.table("traces") if rows is None else rows).withColumn("__r", said)
         return rows.withColumn("empty_response", (F.trim("__r.text") == "") & (F.size("__r.tool_calls") == 0)).drop("__r")
 
     # commands
@@ -123,25 +152,84 @@ class Store:
         captured, known = self.table("capture"), self.table("traces")
         fresh = sync.new_rows(captured, known).withColumn("prompt_text", prompt_text_udf("request_json"))
         before, (scanned, newest) = known.count(), captured.agg(F.count("*"), F.max("ts")).first()
-        fresh.select([f.name for f in schemas.schema("traces").fields]).write.insertInto(f"{self.database}.traces")
+        self.log("traces").insert(fresh)
         inserted = self.table("traces").count() - before
         self._backfill()
         return {"rows_scanned": scanned, "rows_inserted": inserted, "rows_deduped": scanned - inserted, "lag_seconds": None if newest is None else max(0.0, (now_ms - newest) / 1000)}
 
     def _overwrite(self, name: str, rows: DataFrame) -> None:
-        """A table's rows replaced; they may be made from the table itself, so they are written beside it first."""
-        shared_table(rows.select([f.name for f in schemas.schema(name).fields]), name).write.insertInto(f"{self.database}.{name}", overwrite=True)
+        """A table's rows replaced; they may be made from the table itself."""
+        if name not in KEYS:
+            shared_table(rows.select([f.name for f in schemas.schema(name).fields]), name).write.insertInto(f"{self.database}.{name}", overwrite=True)
+            return
+        self.log(name).replace(rows)
+        for p in changelog.partitions(self.spark, f"{self.database}.day_counts"):  # counts of the rows before: the next roll counts anew
+            self.spark.sql(f"ALTER TABLE {self.database}.day_counts DROP PARTITION (source = '{p['source']}', batch = {p['batch']})")
 
     def _backfill(self) -> int:
-        """Give stored traces without a prompt_text the one that their request has; how many."""
+        """Give stored traces without a prompt_text the one that their request has; how many. Only these rows are written."""
         bare = self.table("traces").where("prompt_text IS NULL").withColumn("prompt_text", prompt_text_udf("request_json")).where("prompt_text <> ''")
-        found = shared_table(bare.select("id", F.col("prompt_text").alias("found")), "prompts")
+        found = shared_table(bare, "prompts")
         n = found.count()
         if n:
-            rows = self.table("traces").join(found, "id", "left").withColumn("prompt_text", F.coalesce("prompt_text", "found"))
-            self._overwrite("traces", rows)
+            self.log("traces").change(found)
+        drop(found)
         return n
 
+    def roll(self) -> int:
+        """Add what has changed since the last call to the counts by day; the number of changes counted.
+
+        A change gives the counts of its rows and takes back those of the versions before. The counts of one change are one
+        partition, added in one step, so a change counts once, whatever was broken off.
+        """
+        done, n = {(p["source"], int(p["batch"])) for p in changelog.partitions(self.spark, f"{self.database}.day_counts")}, 0
+        for name in ("traces", "archetype_assignments"):
+            log = self.log(name)
+            folded = log.folded()
+            for number in log.numbers() if any(s == name for s, _ in done) else [folded, *log.numbers()]:
+                if (name, number) in done:
+                    continue
+                rows, old = (log.read(folded), None) if number == folded else (log.at(number), log.read(number - 1))
+                if old is not None:
+                    old = old.join(rows.select(log.key), log.key, "left_semi").select(rows.columns)
+                if name == "traces":
+                    parts = rollups.trace_counts(self._with_empty(rows))
+                    if old is not None:
+                        parts = rollups.merged(parts.unionByName(rollups.trace_counts(self._with_empty(old)).withColumn("n", -F.col("n"))), "day", "feature", "key")
+                else:
+                    parts = rollups.assignment_counts(self.table("traces"), rows, old)
+                table = f"{self.database}.day_counts"
+                changelog.add_partition(parts, table, changelog.location(self.spark, table), source=name, batch=number)
+                n += 1
+        return n
+
+    def compact(self) -> None:
+        """Bring the logs' changes into their tables, counted by day before."""
+        self.roll()
+        for name in KEYS:
+            self.log(name).compact()
+
+    def change_archetype(self, which: str, now_ms: int, **values) -> None:
+        """Rename (``label``) or pin (``pinned``) an archetype; KeyError if there is none."""
+        self.log("archetypes").change(self._archetype(which).withColumns({k: F.lit(v) for k, v in values.items()} | {"updated_ts": F.lit(now_ms).cast("bigint")}))
+
+    def merge_archetypes(self, source: str, target: str, now_ms: int) -> None:
+        """Assignments of ``source`` go to ``target``, then it is marked as merged; into itself changes nothing. KeyError if either isn't there.
+
+        A merge that is broken off between its two changes is finished by doing it again.
+        """
+        marked, _ = self._archetype(source), self._archetype(target)
+        if source == target:
+            return
+        self.log("archetype_assignments").change(self.table("archetype_assignments").where(F.col("archetype_id") == source).withColumn("archetype_id", F.lit(target)))
+        self.log("archetypes").change(marked.withColumns({"merged_into": F.lit(target), "updated_ts": F.lit(now_ms).cast("bigint")}))
+
+    def _archetype(self, which: str) -> DataFrame:
+        row = self.table("archetypes").where(F.col("id") == which)
+        if not row.limit(1).count():
+            raise KeyError(which)
+        return row
+
     def assign_archetypes(self, now_ms: int, least: float = 0.5, size: int = 3, match: float = 0.75, label: Callable[[list[str]], str] | None = None) -> dict:
         """Cluster the traces, match clusters to stored archetypes by their medoids, name new ones, and write both tables.
 
@@ -173,13 +261,12 @@ class Store:
             labels = self.spark.createDataFrame([(r["cluster"], label([x["text"] for x in r["xs"]])) for r in first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("xs")).toLocalIterator()], "cluster bigint, label string")
         added = fresh.join(labels, "cluster").select(F.col("archetype_id").alias("id"), "label", F.lit(False).alias("pinned"), F.lit(None).cast("string").alias("merged_into"), F.lit(now_ms).cast("bigint").alias("created_ts"), F.lit(now_ms).cast("bigint").alias("updated_ts"), "medoid_trace_id")
         moved = made.where("NOT new").select(F.col("archetype_id").alias("id"), F.col("medoid_trace_id").alias("medoid"))
-        kept = archetypes.join(moved, "id", "left").withColumn("updated_ts", F.when(F.col("medoid").isNotNull(), F.lit(now_ms)).otherwise(F.col("updated_ts"))).withColumn("medoid_trace_id", F.coalesce("medoid", "medoid_trace_id")).drop("medoid")
+        moved = archetypes.join(moved, "id").withColumns({"updated_ts": F.lit(now_ms).cast("bigint"), "medoid_trace_id": F.col("medoid")}).select(archetypes.columns)
         far = mining.distances(v, members, centres).withColumnRenamed("id", "member")
         given = far.join(names, "member").join(made.select("cluster", "archetype_id"), "cluster").select("trace_id", "archetype_id", "distance", F.lit(now_ms).cast("bigint").alias("assigned_ts"))
         given = shared_table(given, "assignments")
-        before = shared_table(self.table("archetype_assignments"), "assignments")
-        self._overwrite("archetype_assignments", mining.upsert(before, given, "trace_id"))
-        self._overwrite("archetypes", kept.unionByName(added))
+        self.log("archetypes").change(moved.unionByName(added))  # first, so that no assignment names an archetype that isn't there
+        self.log("archetype_assignments").change(given)
         total, assigned = rows.count(), given.count()
         return {"new": sorted(r["archetype_id"] for r in fresh.collect()), "matched": sorted(r["archetype_id"] for r in made.where("NOT new").select("archetype_id").collect()), "unassigned_traces_ratio": (total - assigned) / total if total else None, "archetype_count": self.table("archetypes").where("merged_into IS NULL").count()}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import cost, messages, scorers, stats
 from tracelake.functions import text as tx
-from tracelake.operators import density, mining, prefix, reports, similarity, windows
+from tracelake.operators import density, mining, prefix, reports, rollups, similarity, tables, windows
 from tracelake.plans import adapters as ad
 from tracelake.plans.adapters import DAY, NOW
 
@@ -41,14 +41,15 @@ _LOW = lambda p, n: _WILSON.format(p=p, n=n, none="0.0", edge="greatest", bound=
 _HIGH = lambda p, n: _WILSON.format(p=p, n=n, none="1.0", edge="least", bound="1.0", sign="+")
 
 
-@query(f"""outcomes AS (
+def _performance(now: int) -> str:
+    return f"""outcomes AS (
   SELECT archetype_id, candidate, verdict = 'pass' AS passed, latency_ms, ts FROM replay_results WHERE grader <> 'chain'
   UNION ALL SELECT archetype_id, candidate, result = 'pass', NULL, ts FROM spot_checks
 ), sums AS (
-  SELECT archetype_id, candidate, count(*) FILTER (WHERE ts >= {NOW - 7 * DAY}) AS n_recent, count(*) FILTER (WHERE ts >= {NOW - 7 * DAY} AND passed) AS pass_recent,
-    count(*) FILTER (WHERE ts < {NOW - 7 * DAY}) AS n_previous, count(*) FILTER (WHERE ts < {NOW - 7 * DAY} AND passed) AS pass_previous,
-    avg(latency_ms) FILTER (WHERE ts >= {NOW - 7 * DAY}) AS latency_recent, avg(latency_ms) FILTER (WHERE ts < {NOW - 7 * DAY}) AS latency_previous
-  FROM outcomes WHERE ts BETWEEN {NOW - 14 * DAY} AND {NOW} GROUP BY 1, 2
+  SELECT archetype_id, candidate, count(*) FILTER (WHERE ts >= {now - 7 * DAY}) AS n_recent, count(*) FILTER (WHERE ts >= {now - 7 * DAY} AND passed) AS pass_recent,
+    count(*) FILTER (WHERE ts < {now - 7 * DAY}) AS n_previous, count(*) FILTER (WHERE ts < {now - 7 * DAY} AND passed) AS pass_previous,
+    avg(latency_ms) FILTER (WHERE ts >= {now - 7 * DAY}) AS latency_recent, avg(latency_ms) FILTER (WHERE ts < {now - 7 * DAY}) AS latency_previous
+  FROM outcomes WHERE ts BETWEEN {now - 14 * DAY} AND {now} GROUP BY 1, 2
 ), rates AS (
   SELECT *, pass_recent::DOUBLE / nullif(n_recent, 0) AS p1, pass_previous::DOUBLE / nullif(n_previous, 0) AS p2, (pass_recent + pass_previous)::DOUBLE / (n_recent + n_previous) AS pool FROM sums
 ), scored AS (
@@ -56,16 +57,20 @@ _HIGH = lambda p, n: _WILSON.format(p=p, n=n, none="1.0", edge="least", bound="1
 )
 SELECT s.archetype_id, candidate, coalesce(a.label, s.archetype_id) AS label, n_recent, pass_recent, n_previous, pass_previous, round(latency_recent, 6) AS latency_recent, round(latency_previous, 6) AS latency_previous,
   round(p1, 6) AS pass_rate, round({_LOW('p1', 'n_recent')}, 6) AS ci_low, round({_HIGH('p1', 'n_recent')}, 6) AS ci_high, round(z, 6) AS z, coalesce(z <= -1.645, false) AS degraded
-FROM scored s LEFT JOIN archetypes a ON s.archetype_id = a.id""")
+FROM scored s LEFT JOIN archetypes a ON s.archetype_id = a.id"""
+
+
+@query(_performance(NOW))
 def performance_report(spark, d):
     done = reports.performance(ad.replay_results(spark, d), ad.spot_checks(spark, d), ad.archetypes(spark, d), NOW)
     return rounded(done, "latency_recent", "latency_previous", "pass_rate", "ci_low", "ci_high", "z")
 
 
-_DRIFT = f"""windowed AS (
-  SELECT t.ts >= {NOW - 7 * DAY} AS is_recent, coalesce(a.merged_into, a.id, '(unassigned)') AS archetype, model,
+def _drift(now: int) -> str:
+    return f"""windowed AS (
+  SELECT t.ts >= {now - 7 * DAY} AS is_recent, coalesce(a.merged_into, a.id, '(unassigned)') AS archetype, model,
     CASE WHEN tokens_in IS NULL OR tokens_in <= 0 THEN 'unknown' WHEN tokens_in = 1 THEN '<=1' ELSE '<=' || (1::BIGINT << length(bin(tokens_in - 1))) END AS bucket
-  FROM traces t LEFT JOIN assignments s ON t.id = s.trace_id LEFT JOIN archetypes a ON s.archetype_id = a.id WHERE t.ts BETWEEN {NOW - 35 * DAY} AND {NOW}
+  FROM traces t LEFT JOIN assignments s ON t.id = s.trace_id LEFT JOIN archetypes a ON s.archetype_id = a.id WHERE t.ts BETWEEN {now - 35 * DAY} AND {now}
 ), keyed AS (
   SELECT is_recent, 'archetype' AS feature, archetype AS key FROM windowed UNION ALL SELECT is_recent, 'model', model FROM windowed UNION ALL SELECT is_recent, 'prompt_length', bucket FROM windowed
 ), counts AS (
@@ -77,6 +82,9 @@ _DRIFT = f"""windowed AS (
 )"""
 
 
+_DRIFT = _drift(NOW)
+
+
 @query(_DRIFT + " SELECT feature, key, recent, base FROM counts")
 def drift_mix(spark, d):
     return reports.drift_keys(ad.traces(spark, d), ad.assignments(spark, d), ad.archetypes(spark, d), NOW)
@@ -99,19 +107,50 @@ def drift_top_shifts(spark, d):
     return rounded(reports.top_shifts(drift_mix(spark, d)).select("feature", "key", "delta", "rank"), "delta")
 
 
-@query(f"""rows AS (
-  SELECT t.*, trim(response_text) = '' AS empty, s.trace_id IS NOT NULL AS assigned FROM traces t LEFT JOIN (SELECT DISTINCT trace_id FROM assignments) s ON t.id = s.trace_id WHERE ts >= {NOW - 7 * DAY}
+def _traces_said(spark: SparkSession, d: str) -> DataFrame:
+    return ad.traces(spark, d).withColumn("empty_response", F.trim("response_text") == "")
+
+
+def _quality(now: int) -> str:
+    return f"""rows AS (
+  SELECT t.*, trim(response_text) = '' AS empty, s.trace_id IS NOT NULL AS assigned FROM traces t LEFT JOIN (SELECT DISTINCT trace_id FROM assignments) s ON t.id = s.trace_id WHERE ts >= {now - 7 * DAY}
 ), one AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE quarantined) AS q, count(*) FILTER (WHERE tokens_in IS NULL OR tokens_out IS NULL) AS m, count(*) FILTER (WHERE model = 'unknown') AS u,
-    count(*) FILTER (WHERE empty) AS e, count(*) FILTER (WHERE NOT quarantined AND NOT assigned) AS a, count(*) FILTER (WHERE NOT quarantined) AS na, count(*) FILTER (WHERE ts > {NOW + 300000}) AS f FROM rows
+    count(*) FILTER (WHERE empty) AS e, count(*) FILTER (WHERE NOT quarantined AND NOT assigned) AS a, count(*) FILTER (WHERE NOT quarantined) AS na, count(*) FILTER (WHERE ts > {now + 300000}) AS f FROM rows
 ), cells AS (
   SELECT 'quarantined' AS "check", q AS n, n AS total, 0.05 AS threshold FROM one UNION ALL SELECT 'missing_tokens', m, n, 0.02 FROM one UNION ALL SELECT 'unknown_model', u, n, 0.01 FROM one
   UNION ALL SELECT 'empty_response', e, n, 0.20 FROM one UNION ALL SELECT 'unassigned', a, na, 0.20 FROM one UNION ALL SELECT 'future_timestamp', f, n, 0.0 FROM one
 )
-SELECT "check", n, total, round(n::DOUBLE / nullif(total, 0), 6) AS ratio, threshold::DOUBLE AS threshold, coalesce(n::DOUBLE / nullif(total, 0) <= threshold::DOUBLE, true) AS ok FROM cells""")
+SELECT "check", n, total, round(n::DOUBLE / nullif(total, 0), 6) AS ratio, threshold::DOUBLE AS threshold, coalesce(n::DOUBLE / nullif(total, 0) <= threshold::DOUBLE, true) AS ok FROM cells"""
+
+
+@query(_quality(NOW))
 def quality_ratios(spark, d):
-    rows = ad.traces(spark, d).withColumn("empty_response", F.trim("response_text") == "")
-    return rounded(reports.data_quality(rows, ad.assignments(spark, d), NOW), "ratio")
+    return rounded(reports.data_quality(_traces_said(spark, d), ad.assignments(spark, d), NOW), "ratio")
+
+
+#: A report time in the middle of a day, so that windows cut days.
+LATER = NOW + 29_580_123
+
+
+@query(_drift(LATER) + " SELECT feature, key, recent, base FROM counts")
+def drift_mix_rolled(spark, d):
+    """The drift counts from a rollup by day, which is written first; the rows are read again for the cut days only."""
+    rows, given = _traces_said(spark, d), ad.assignments(spark, d)
+    return rollups.drift_keys(tables.shared_table(rollups.all_counts(rows, given), "rollup"), rows, given, ad.archetypes(spark, d), LATER)
+
+
+@query(_performance(LATER))
+def performance_rolled(spark, d):
+    rows = reports.outcomes(ad.replay_results(spark, d), ad.spot_checks(spark, d))
+    done = rollups.performance(tables.shared_table(rollups.outcome_counts(rows), "rollup"), rows, ad.archetypes(spark, d), LATER)
+    return rounded(done, "latency_recent", "latency_previous", "pass_rate", "ci_low", "ci_high", "z")
+
+
+@query(_quality(LATER))
+def quality_rolled(spark, d):
+    rows, given = _traces_said(spark, d), ad.assignments(spark, d)
+    return rounded(rollups.data_quality(tables.shared_table(rollups.all_counts(rows, given), "rollup"), rows, given, LATER), "ratio")
 
 
 @query("""pairs AS (
