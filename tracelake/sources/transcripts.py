@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.messages import human_text_udf, response_body_udf, usage_udf
 from tracelake.operators.windows import carry_forward, with_parent
+from tracelake.sources.jsonlist import elements
 
 LINE = "struct<type:string,uuid:string,timestamp:string,message:struct<role:string,model:string,content:string,usage:struct<input_tokens:int,output_tokens:int>>>"
 
@@ -64,11 +65,9 @@ _CONVERSATION = f"struct<uuid:string,id:string,chat_messages:array<string>,messa
 def chat_export(spark: SparkSession, path: str, batch_ms: int) -> DataFrame:
     """Assistant messages of chat exports (a list of conversations, or an object that holds one); malformed files give none.
 
-    Every human message replaces the prompt, even one without text.
+    Every human message replaces the prompt, even one without text. Files are read in ranges, so one may be of any size.
     """
-    files = spark.read.text(path, wholetext=True)
-    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.from_json(F.get_json_object("value", "$.conversations"), "array<string>"))
-    talks = files.select(F.posexplode(listed).alias("nth", "raw")).withColumn("c", F.from_json("raw", _CONVERSATION))
+    talks = elements(spark, path, "conversations").withColumn("c", F.from_json("raw", _CONVERSATION))
     session = F.coalesce("c.uuid", "c.id", F.sha2("raw", 256))
     each = talks.select(session.alias("session_id"), F.posexplode(F.coalesce("c.chat_messages", "c.messages")).alias("line_no", "m")).withColumn("j", F.from_json("m", _MESSAGE))
     blocks = human_text_udf(F.get_json_object("m", "$.content"))
