@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tracelake.operators import density
+from tracelake.operators import density, similarity
 
 
 def brute(rows, size, least):
@@ -117,3 +117,21 @@ def test_few_points_and_none(spark):
     assert density.density_clusters(spark.createDataFrame([], "id bigint, v array<float>")).count() == 0
     two = [(i, [1.0, 0.0]) for i in range(5)] + [(10 + i, [0.0, 1.0]) for i in range(5)]
     assert run(spark, two, 3, 0.5) == {i: 0 if i < 10 else 10 for i, _ in two}
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.9])
+def test_meetings_of_parts_tell_few_links(spark, monkeypatch, least):
+    """Many parts give what one does, and no table holds the pairs within reach (before: all of them)."""
+    parts, table, written = similarity.dense_parts, density.shared_table, []
+    monkeypatch.setattr(similarity, "dense_parts", lambda v, least: parts(v, least, 60))
+
+    def counted(df, tag):
+        found = table(df, tag)
+        written.append(found.count())
+        return found
+
+    monkeypatch.setattr(density, "shared_table", counted)
+    rows = blobs(6, 140, 3, 20)
+    assert run(spark, rows, 3, least) == brute(rows, 3, least)
+    if least == -1.0:
+        assert max(written) <= 160 * 5 < 160 * 159 / 2

@@ -7,10 +7,16 @@ the large one joins before then changes it but by name, which is looked up at th
 small ones to a larger one, which is born large when it reaches ``size``, large ones to a parent. The lightest link of all is
 always of these, and rounds grow with the depth of the condensed tree, not with the points. Rounds end when at most LAST links
 are left, a number that doesn't grow with the data: those are merged in order, at once.
+
+Pairs are never written: rows meet part by part, twice. First each meeting tells the nearest of every row, which make core
+distances; then the lightest tree over its links, as no other link can be in that of all. So what is handed on grows as the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,12 +31,11 @@ NODE, LINK = "struct<r:int,c:bigint>", "struct<w:double,a:bigint,b:bigint>"
 LAST, TREE = 1 << 18, 1 << 16
 
 
-def core_distances(points: DataFrame, links: DataFrame, neighbours: int) -> DataFrame:
+def core_distances(points: DataFrame, ends: DataFrame, neighbours: int) -> DataFrame:
     """(id, n, core): the distance within which a point has so many others; points that don't are left out.
 
-    ``points`` (id, n) stand for n equal ones; ``links`` (a, b, d) are all pairs within reach, in one order.
+    ``points`` (id, n) stand for n equal ones; ``ends`` (id, other, d) tell at least the ``neighbours`` nearest others of a point within reach.
     """
-    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "d").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "d"))
     met = ends.join(points.select(F.col("id").alias("other"), F.col("n").alias("m")), "other").join(points, "id")
     upto = F.sum("m").over(Window.partitionBy("id").orderBy("d", "other").rowsBetween(Window.unboundedPreceding, 0))
     near = met.withColumn("upto", upto + F.col("n") - 1).where((F.col("upto") >= neighbours) & (F.col("n") <= neighbours))
@@ -38,6 +43,203 @@ def core_distances(points: DataFrame, links: DataFrame, neighbours: int) -> Data
     return near.groupBy("id", "n").agg(F.min("d").alias("core")).unionByName(alone)
 
 
+def _nearest(meeting: similarity.Meeting, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, product): of each row the k others that are nearest of those that it meets and whose cosine reaches ``least``, and maybe more."""
+    floor = max(least - meeting.slack, -1.5)
+    reached = np.full(meeting.n, floor, np.float32)  # what the k-th nearest reaches at least
+    x, y, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        nonlocal x, y, s
+        p, q = (np.concatenate(e) for e in zip(*new, strict=True))
+        new.clear()
+        dots = meeting.exact(p, q)
+        p, q, dots = p[dots >= least], q[dots >= least], dots[dots >= least]
+        x, y, s = np.concatenate([x, p, q]), np.concatenate([y, q, p]), np.concatenate([s, dots, dots])
+        order = np.lexsort((-s, x))
+        x, y, s = x[order], y[order], s[order]
+        place = np.arange(len(x)) - np.searchsorted(x, x)
+        last = place == k - 1
+        reached[x[last]] = np.maximum(reached[x[last]], s[last] - 2 * meeting.slack)
+        x, y, s = x[place < k], y[place < k], s[place < k]
+
+    for at, right, products in meeting.strips():
+        rows, many = products.shape
+        own = reached[at : at + rows]
+        if many >= 16 * k:
+            # the k-th of the best of some runs is no better than the k-th of all
+            runs = products[:, : many // (4 * k) * (4 * k)].reshape(rows, 4 * k, -1).max(axis=2)
+            own = np.maximum(own, np.partition(runs, -k, axis=1)[:, -k] - 2 * meeting.slack)
+        r, c = np.nonzero(((products >= own[:, None]) | (products >= reached[right])) & (products >= floor))
+        new.append((at + r, right[c]))
+        if sum(len(e[0]) for e in new) >= max(1 << 18, meeting.n):
+            settle()
+    if new:
+        settle()
+    return x, y, s
+
+
+def _nearest_batches(least: float, k: int):
+    def work(meeting: similarity.Meeting) -> Iterator[pa.RecordBatch]:
+        x, y, s = _nearest(meeting, least, k)
+        yield similarity._batch(id=meeting.ids[x], other=meeting.ids[y], d=_distance(s))
+
+    return work
+
+
+def _distance(products: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * products, 0.0))
+
+
+def lightest(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, top): of links u-v between n nodes, the lightest first, those that join what no lighter ones do, and a name of each node's tree."""
+    top, at, kept = np.arange(n), np.arange(len(u)), [np.zeros(0, np.int64)]
+    while True:
+        x, y = top[u[at]], top[v[at]]
+        apart = x != y
+        at, x, y = at[apart], x[apart], y[apart]
+        if not len(at):
+            return np.sort(np.concatenate(kept)), top
+        best = np.full(n, len(u))
+        np.minimum.at(best, x, at)
+        np.minimum.at(best, y, at)
+        trees = np.nonzero(best < len(u))[0]
+        link = best[trees]
+        kept.append(np.unique(link))
+        p, q = top[u[link]], top[v[link]]
+        to = np.arange(n)
+        to[trees] = np.where(p == trees, q, p)
+        top = _tops(to)[top]
+
+
+def _tops(to: np.ndarray) -> np.ndarray:
+    """Where the way from each node ends, if each goes to one other; of two that go to each other the smaller stays."""
+    here = np.arange(len(to))
+    to = np.where((to[to] == here) & (here < to), here, to)
+    while not np.array_equal(above := to[to], to):
+        to = above
+    return to
+
+
+def _heights(u: np.ndarray, v: np.ndarray, w: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The heaviest link on the way from one node of the largest tree to each other node over the links of the trees; infinite for nodes of other trees."""
+    n = len(top)
+    ends, to, weight = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([w, w])
+    order = np.argsort(ends, kind="stable")
+    to, weight, start = to[order], weight[order], np.searchsorted(ends[order], np.arange(n + 1))
+    height = np.full(n, np.inf)
+    if not len(u):
+        return height
+    of = top[u]
+    large = of == np.bincount(of).argmax()
+    front = u[large][w[large].argmin()][None]
+    height[front] = 0.0
+    while len(front):
+        many = start[front + 1] - start[front]
+        place = np.repeat(start[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        there, high = to[place], np.maximum(np.repeat(height[front], many), weight[place])
+        new = np.isinf(height[there])
+        front = there[new]
+        height[front] = high[new]
+    return height
+
+
+def _forest_batches(least: float, k: int):
+    """Of a meeting, the links (a, b, w) of mutual reachability that a merge in the order of (w, a, b) would use; rows have their ``core``."""
+
+    def work(meeting: similarity.Meeting) -> Iterator[pa.RecordBatch]:
+        core = meeting.table.column("core").to_numpy()
+        ids = meeting.ids
+        x = y = np.zeros(0, np.int64)
+        w = np.zeros(0)
+        height = np.full(meeting.n, np.inf)
+        new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            nonlocal x, y, w, height
+            p, q, weight = (np.concatenate([old, *more]) for old, more in zip((x, y, w), zip(*new, strict=True), strict=True))
+            new.clear()
+            a, b = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
+            order = np.lexsort((b, a, weight))
+            p, q, weight = p[order], q[order], weight[order]
+            places, top = lightest(p, q, meeting.n)
+            x, y, w = p[places], q[places], weight[places]
+            height = _heights(x, y, w, top)
+
+        def add(p: np.ndarray, q: np.ndarray, products: np.ndarray) -> None:
+            weight = np.maximum(np.maximum(_distance(products), CLOSEST), np.maximum(core[p], core[q]))
+            # two on one tree, each tied to one node by lighter links than this, need no other
+            keep = (products >= least) & np.isfinite(weight) & (weight <= np.maximum(height[p], height[q]))
+            new.append((p[keep], q[keep], weight[keep]))
+
+        # the links to the nearest make a first tree, which leaves out most others
+        p, q, products = _nearest(meeting, least, k)
+        add(p, q, products)
+        settle()
+        for at, right, products in meeting.strips():
+            rows = len(products)
+            reach = np.maximum(1 - np.minimum(height, 2.0) ** 2 / 2, least) - meeting.slack - 1e-6
+            reach = np.maximum(reach, -1.5).astype(np.float32)
+            r, c = np.nonzero((products >= reach[at : at + rows, None]) | (products >= reach[right]))
+            p, q = at + r, right[c]
+            add(p, q, meeting.exact(p, q))
+            if sum(len(e[0]) for e in new) >= max(1 << 18, meeting.n):
+                settle()
+        if new:
+            settle()
+        a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        yield similarity._batch(a=a, b=b, w=w)
+
+    return work
+
+
+def spanning(links: DataFrame) -> DataFrame:
+    """The links (a, b, w) that a merge of all in the order of (w, a, b) would use: in each round every cluster joins over its lightest.
+
+    Rounds at least halve the clusters. At most LAST links, and the ways of at most LAST clusters, are followed by the driver.
+    """
+    left = shared_table(links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("e")), "links")
+    kept: list[DataFrame] = []
+    while left.count() > LAST:
+        ends = left.select(F.col("x").alias("c"), F.col("y").alias("to"), "e").unionByName(left.select(F.col("y").alias("c"), F.col("x").alias("to"), "e"))
+        best = shared_table(ends.groupBy("c").agg(F.min(F.struct("e", "to")).alias("b")).select("c", "b.e", "b.to"), "best")
+        kept.append(best.select("e.*").distinct())
+        tops = _followed(best.select("c", "to"))
+        moved = left
+        for end in ("x", "y"):
+            moved = moved.join(tops.select(F.col("c").alias(end), "top"), end).withColumn(end, F.col("top")).drop("top")
+        after = moved.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "e").groupBy("x", "y").agg(F.min("e").alias("e"))
+        before, left = left, shared_table(after, "links")
+        drop(before, tops)
+    held = left.select("x", "y", "e.*").toArrow().sort_by([("w", "ascending"), ("a", "ascending"), ("b", "ascending")])
+    names, ends = np.unique(np.concatenate([held.column("x").to_numpy(), held.column("y").to_numpy()]), return_inverse=True)
+    places, _ = lightest(ends[: len(held)], ends[len(held) :], len(names))
+    last = held.select(["w", "a", "b"]).take(pa.array(places))
+    return _all([*kept, left.sparkSession.createDataFrame(last, "w double, a bigint, b bigint")]).select("a", "b", "w")
+
+
+def _followed(ways: DataFrame) -> DataFrame:
+    """(c, top): where the way from each cluster ends, from (c, to); of two that go to each other the smaller stays."""
+    if ways.count() <= LAST:
+        held = ways.toArrow().sort_by("c")
+        c = held.column("c").to_numpy()
+        top = c[_tops(np.searchsorted(c, held.column("to").to_numpy()))]
+        return ways.sparkSession.createDataFrame(pa.table({"c": c, "top": top}), "c bigint, top bigint")
+    back = ways.select(F.col("c").alias("to"), F.col("to").alias("next"))
+    stays = (F.col("next") == F.col("c")) & (F.col("c") < F.col("to"))
+    tops = shared_table(ways.join(back, "to").select("c", F.when(stays, F.col("c")).otherwise(F.col("to")).alias("top")), "tops")
+    while True:
+        further = tops.join(tops.select(F.col("c").alias("top"), F.col("top").alias("above")), "top")
+        before, tops = tops, shared_table(further.select("c", F.col("above").alias("top"), (F.col("above") != F.col("top")).alias("moved")), "tops")
+        drop(before)
+        moving, tops_at = tops.where("moved").limit(1).count(), tops.shared_at
+        tops = tops.drop("moved")
+        tops.shared_at = tops_at
+        if not moving:
+            return tops
+
+
 def _node(r, c) -> Column:
     return F.struct(F.lit(r).cast("int").alias("r"), c.alias("c"))
 
@@ -252,16 +454,16 @@ def density_clusters(vectors: DataFrame, size: int = 3, least: float = -1.0) ->
     """(id, cluster) of dense vectors (id, v): the smallest id of a point's cluster, or -1.
 
     Distances are those of unit vectors (of zero ones: the square root of two to any other); ``size`` is both the least size of a cluster and the number of neighbours that
-    makes a core distance. Pairs of a cosine below ``least`` are infinitely far apart: -1 leaves none out and compares all pairs,
-    which is for small tables. Equal vectors are one point that counts as often. A null vector is in no cluster.
+    makes a core distance. Pairs of a cosine below ``least`` are infinitely far apart: -1 leaves none out. Equal vectors are one point that counts as often. A null vector is in no cluster.
     """
-    ones, pairs, copies = similarity.dense_parts(vectors, least)
+    ones, parts, copies = similarity.dense_parts(vectors, least)
     held = ones if copies is None else ones.join(copies.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("n")), "id", "left")
     points = held.select("id", F.lit(1).cast("bigint").alias("n") if copies is None else F.coalesce("n", F.lit(1)).alias("n"))
-    reach = shared_table(pairs.select("a", "b", F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0))).alias("d")), "reach")
-    cores = shared_table(core_distances(points, reach, size), "cores")
-    of = lambda end: cores.select(F.col("id").alias(end), F.col("core").alias(f"core_{end}"))
-    links = reach.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"))
+    ends = similarity.met(parts, _nearest_batches(least, size), "id bigint, other bigint, d double")
+    cores = shared_table(core_distances(points, ends, size), "cores")
+    # a point without a core distance takes part in no link
+    cored = parts.rows.join(cores.select("id", "core"), "id", "left").withColumn("core", F.coalesce("core", F.lit(float("inf"))))
+    links = spanning(similarity.met(parts, _forest_batches(least, size), "a bigint, b bigint, w double", cored))
     found = shared_table(stablest(*hierarchy(cores, links, size)), "found")
     named = found.join(found.groupBy("node").agg(F.min("id").alias("cluster")), "node").select("id", "cluster")
     whole = vectors.select("id") if copies is None else vectors.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
