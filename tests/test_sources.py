@@ -273,3 +273,11 @@ def test_spans_nest_and_never_fail_the_work(spark, tmp_path):
     (tmp_path / "file").write_text("")
     with spans.SpanLog(str(tmp_path / "file" / "x")).span("kept"):
         pass
+
+
+def test_exposition_of_large_and_odd_numbers(spark):
+    """No exponent below 1e16, exact sums, and the names that scrapers know (before: 1.23456789E7, a sum by the order of rows, Infinity)."""
+    rows = [("g", "gauge", {}, 12345678.9), ("c", "counter", {}, float("inf")), ("s", "counter", {}, 2e15), ("t", "counter", {}, 0.0005)]
+    rows += [("h", "histogram", {}, v) for v in (99999999.3, -0.1, 0.1, 0.1, 0.1)]
+    got = [r.line for r in exposition(spark.createDataFrame(rows, "name string, kind string, labels map<string,string>, value double"), "").collect()]
+    assert {"g 12345678.9", "c +Inf", "s 2000000000000000.0", "t 0.0005", "h_sum 99999999.5", 'h{quantile="0.99"} 99999999.3'} <= set(got)
