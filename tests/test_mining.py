@@ -123,6 +123,15 @@ def test_no_dense_vectors(spark):
     assert similarity.dense_pairs(spark.createDataFrame([], "id bigint, v array<float>"), 0.5).count() == 0
 
 
+def test_links_are_fewer_than_pairs(spark):
+    """Parts that meet tell trees: fewer links than rows for each other part (before: all pairs)."""
+    frame = spark.createDataFrame(dense_rows(300, spread=0.02)[:300], "id bigint, v array<double>")
+    links = similarity.dense_links(frame, 0.9, 100).collect()
+    comps = lambda found: {tuple(r) for r in mining.components(frame.select("id"), found).collect()}
+    assert len(links) < 300 * 4 < len(brute := brute_dense(dense_rows(300, spread=0.02)[:300], 0.9))
+    assert comps(spark.createDataFrame(links)) == comps(spark.createDataFrame(list(brute), "a bigint, b bigint"))
+
+
 @pytest.mark.parametrize("wide", [1024, 0])
 def test_common_buckets_meet_as_matrices(spark, monkeypatch, wide):
     """Vectors of few buckets meet once for each pair of parts (before: in every bucket that is rare for one of them), with equal results."""
