@@ -132,6 +132,13 @@ def test_links_are_fewer_than_pairs(spark):
     assert comps(spark.createDataFrame(links)) == comps(spark.createDataFrame(list(brute), "a bigint, b bigint"))
 
 
+def test_noise_is_what_few_links_reach(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.02]), (3, [0.0, 1.0]), (4, [-1.0, 0.0]), (5, None)], "id bigint, v array<double>")
+    links = similarity.dense_links(frame, 0.35, 2)
+    assert links.count() <= 4
+    assert dict(mining.clusters(mining.components(frame.select("id"), links)).collect()) == {0: 0, 1: 0, 2: 0, 3: -1, 4: -1, 5: -1}
+
+
 @pytest.mark.parametrize("wide", [1024, 0])
 def test_common_buckets_meet_as_matrices(spark, monkeypatch, wide):
     """Vectors of few buckets meet once for each pair of parts (before: in every bucket that is rare for one of them), with equal results."""
