@@ -123,6 +123,14 @@ def test_no_dense_vectors(spark):
     assert similarity.dense_pairs(spark.createDataFrame([], "id bigint, v array<float>"), 0.5).count() == 0
 
 
+def test_parts_stay_few(spark):
+    """A vector is sent to a number of meetings that doesn't grow with the rows (before: to one a block, of which there were as many as rows made)."""
+    frame = spark.createDataFrame(dense_rows(600)[:600], "id bigint, v array<double>")
+    parts = similarity.dealt(frame, 0.0, 5)
+    assert max(j for _, j in parts.plan) < similarity.PARTS
+    assert {r.id for r in parts.rows.collect()} == set(range(600))
+
+
 def test_links_are_fewer_than_pairs(spark):
     """Parts that meet tell trees: fewer links than rows for each other part (before: all pairs)."""
     frame = spark.createDataFrame(dense_rows(300, spread=0.02)[:300], "id bigint, v array<double>")
