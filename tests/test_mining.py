@@ -147,6 +147,38 @@ def test_noise_is_what_few_links_reach(spark):
     assert dict(mining.clusters(mining.components(frame.select("id"), links)).collect()) == {0: 0, 1: 0, 2: 0, 3: -1, 4: -1, 5: -1}
 
 
+def counted(monkeypatch):
+    """Rows that are sent to meetings from now on, a number for each use of the step."""
+    sent, met = [], similarity.met
+
+    def counting(parts, work, schema, rows=None):
+        per = dict(parts.rows.groupBy("part").count().collect())
+        sent.append(sum(per.get(p, 0) for i, j in parts.plan for p in {i, j}))
+        return met(parts, work, schema, rows)
+
+    monkeypatch.setattr(similarity, "met", counting)
+    return sent
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_what_is_not_reached_meets_all(spark, monkeypatch, seed):
+    """A large component, rows that few of its rows are near, small groups, rows alone: components and noise are those of all pairs."""
+    rng = np.random.default_rng(seed)
+    axis = np.eye(64)
+    rows = [axis[0] + rng.normal(0, 0.05, 64) for _ in range(200)]
+    for k in range(1, 30):
+        # a row alone, a pair, and a chain of rows that ends near one row of the large component only
+        rows += [axis[k]] if k % 3 == 0 else [axis[k], axis[k] + 0.1 * axis[63]] if k % 3 == 1 else [axis[k], axis[k] + axis[k + 30], axis[k + 30] + axis[0], axis[0] + 0.3 * axis[k + 30]]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(rows)), rows, strict=True)]
+    frame = spark.createDataFrame(rows, "id bigint, v array<double>")
+    want = spark.createDataFrame(sorted(brute_dense(rows, 0.6)), "a bigint, b bigint")
+    sent = counted(monkeypatch)
+    got = {tuple(r) for r in mining.components(frame.select("id"), similarity.dense_links(frame, 0.6, 24)).collect()}
+    assert got == {tuple(r) for r in mining.components(frame.select("id"), want).collect()}
+    # few rows among themselves, all with them, the rest with all
+    assert len(sent) == 3 and len({c for _, c in got}) > 20
+
+
 @pytest.mark.parametrize("wide", [1024, 0])
 def test_common_buckets_meet_as_matrices(spark, monkeypatch, wide):
     """Vectors of few buckets meet once for each pair of parts (before: in every bucket that is rare for one of them), with equal results."""
@@ -160,3 +192,13 @@ def test_common_buckets_meet_as_matrices(spark, monkeypatch, wide):
     assert got.keys() == want.keys() and all(abs(got[p] - s) < 1e-9 for p, s in want.items())
     comps = lambda links: {tuple(r) for r in mining.components(spark.createDataFrame([(i,) for i in rows], "id bigint"), links).collect()}
     assert comps(similarity.similar_links(frame, 0.6)) == comps(spark.createDataFrame(list(want), "a bigint, b bigint"))
+
+
+def test_large_clusters_are_in_no_task_whole(spark):
+    """Sizes go to the rows of large components (before: a window sent all rows of one to one task)."""
+    labels = spark.createDataFrame([(i, 0) for i in range(50)] + [(60, 60), (61, 61), (62, 61)] + [(70 + i, 70) for i in range(3)], "id bigint, component bigint")
+    found = mining.clusters(labels)
+    assert dict(found.collect()) == {i: 0 for i in range(50)} | {60: -1, 61: -1, 62: -1, 70: 70, 71: 70, 72: 70}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert mining.clusters(labels.where("id < 0")).count() == 0
+    assert {r.cluster for r in mining.clusters(spark.createDataFrame([(i, None) for i in range(2)], "id bigint, component bigint")).collect()} == {-1}

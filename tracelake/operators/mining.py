@@ -57,9 +57,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def clusters(labels: DataFrame, least: int = 3) -> DataFrame:
-    """Components of fewer than ``least`` members become -1."""
-    size = F.count("*").over(Window.partitionBy("component"))
-    return labels.select("id", F.when(size >= least, F.col("component")).otherwise(-1).alias("cluster"))
+    """Components of fewer than ``least`` members become -1.
+
+    Those that hold a thousandth of all rows, a thousand at most, are sent to the rows, so that no task gets all members of one.
+    """
+    rows = shared_table(labels.select("id", "component"), "labels")
+    sizes = shared_table(rows.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    same = F.col("component").eqNullSafe(F.col("of"))
+    told = rows.join(F.broadcast(sizes.where((F.col("size") >= least) & (F.col("size") * 1000 >= total))), same, "left")
+    large = told.where("size IS NOT NULL").select("id", F.col("component").alias("cluster"))
+    rest = told.where("size IS NULL").select("id", "component").join(sizes, same)
+    return large.unionByName(rest.select("id", F.when(F.col("size") >= least, F.col("component")).otherwise(-1).alias("cluster")))
 
 
 def medoids(vectors: DataFrame, members: DataFrame) -> DataFrame:
