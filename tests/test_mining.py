@@ -160,6 +160,16 @@ def counted(monkeypatch):
     return sent
 
 
+def test_rows_that_hang_together_are_sent_once(spark, monkeypatch):
+    """Rows near enough to be one component meet in parts of their own and few rows (before: each row was sent to all parts)."""
+    rows = [(i, v) for i, v in dense_rows(800, spread=0.02)[:800] if i % 12 == 0] + [(1000 + i, v) for i, v in dense_rows(800, spread=0.03)[:800] if i % 12 == 0]
+    frame = spark.createDataFrame(rows, "id bigint, v array<double>")
+    sent = counted(monkeypatch)
+    links = similarity.dense_links(frame, 0.5, 16)
+    assert {c for _, c in mining.components(frame.select("id"), links).collect()} == {0}
+    assert sum(sent) < 2 * len(rows) and links.count() < 2 * len(rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_what_is_not_reached_meets_all(spark, monkeypatch, seed):
     """A large component, rows that few of its rows are near, small groups, rows alone: components and noise are those of all pairs."""
